@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contextframe.llm import chunking, encoding, leakage, percentiles
+from contextframe.llm import chunking, encoding, language, leakage, percentiles
 from contextframe.sources.tables import load
 
 #: The word of functions/text.py, for SQL.
@@ -58,6 +58,21 @@ def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "eval_items", "item_id", "text"), places=True)
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = load(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return language.find_segments(documents, language.fit(language.sample(documents, "text", "lang", "doc_id")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of the documents that are mixed or have a missing or wrong label."""
+    return _segments(spark, sf_dir).where(language.is_case()).select("doc_id", "seg_no", "lang")
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language segment with its words and confidence."""
+    return _segments(spark, sf_dir)
+
+
 QUERIES = {
     "p2_percentiles": p2_percentiles,
     "p2_counts": p2_counts,
@@ -66,6 +81,8 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_passages": p7_passages,
+    "p8_found": p8_found,
+    "p8_segments": p8_segments,
 }
 
 _OVERSIZED = """
