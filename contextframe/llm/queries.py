@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contextframe.llm import chunking, encoding, language, leakage, percentiles
+from contextframe.llm import chunking, encoding, language, leakage, neardup, percentiles
 from contextframe.sources.tables import load
 
 #: The word of functions/text.py, for SQL.
@@ -43,6 +43,16 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of observations with 0.8 of the longer text's words in common."""
+    return neardup.near_pairs(load(spark, sf_dir, "observations", "id", "text"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near-duplicates of every observation with words, and its class's links."""
+    return neardup.near_groups(load(spark, sf_dir, "observations", "id", "text"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return encoding.encode_corpus(load(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
@@ -78,6 +88,8 @@ QUERIES = {
     "p2_counts": p2_counts,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_passages": p7_passages,
@@ -92,7 +104,20 @@ SELECT source_table, item_id FROM (
 WHERE length(t) > 2048 OR len(regexp_extract_all(t, '{word}')) > 384
 """
 
+_NEAR = r"""
+WITH w AS (
+  SELECT id, word, count(*) AS n FROM (
+    SELECT id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM observations)
+  GROUP BY id, word),
+l AS (SELECT id, sum(n) AS n FROM w GROUP BY id)
+SELECT a.id AS id_a, b.id AS id_b
+FROM w a JOIN w b ON a.word = b.word AND a.id < b.id JOIN l la ON la.id = a.id JOIN l lb ON lb.id = b.id
+GROUP BY a.id, b.id, la.n, lb.n
+HAVING sum(least(a.n, b.n)) * 10 >= greatest(la.n, lb.n) * 8
+"""
+
 SQL = {
+    "p5_found": _NEAR,
     "p2_counts": """
 WITH once AS (
   SELECT DISTINCT id, tool, category, CAST(created_at AS DATE) AS day, savings_ratio, saved_tokens FROM token_events),
