@@ -5,13 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contextframe.llm import chunking, encoding, language, leakage, neardup, percentiles
+from contextframe.llm import chunking, encoding, language, leakage, neardup, percentiles, secrets
 from contextframe.sources.tables import load
 
 #: The word of functions/text.py, for SQL.
 _WORD = r"[^\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
+SECRET_TEXTS = (("context_items", "item_id", "content"), ("observations", "id", "text"), ("run_results", "run_id", "compressed_output"))
+
+
+def _secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = [load(spark, sf_dir, name, key, text).toDF("row_id", "text").withColumn("source_table", F.lit(name)) for name, key, text in SECRET_TEXTS]
+    texts = tables[0].unionByName(tables[1]).unionByName(tables[2])
+    words = secrets.dictionary(texts, "row_id", "text")
+    scan = secrets.scanned(F.col("text"), words, spark.sparkContext)
+    return texts.withColumn("_s", scan)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines on which a credential begins; a resent run counts once."""
+    return _secret_scan(spark, sf_dir).select("source_table", "row_id", F.explode(F.col("_s.found.line_no")).alias("line_no")).distinct()
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its right flag and with credentials masked; a resent run comes once."""
+    scan = _secret_scan(spark, sf_dir)
+    return scan.select("source_table", "row_id", (F.size("_s.found") > 0).alias("secrets_detected"), F.coalesce("_s.redacted", "text").alias("redacted")).distinct()
+
+
+def p1_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs by the flag they came with and the right one."""
+    runs = load(spark, sf_dir, "run_results", "run_id", "compressed_output", "secrets_detected").distinct()
+    words = secrets.dictionary(runs, "run_id", "compressed_output")
+    scan = secrets.scanned(F.col("compressed_output"), words, spark.sparkContext)
+    return runs.select("secrets_detected", (F.size(scan["found"]) > 0).alias("right_flag")).groupBy("secrets_detected", "right_flag").agg(F.count("*").alias("runs"))
+
+
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of savings_ratio and saved_tokens by tool, category and day, with the bound on their ranks."""
     events = load(spark, sf_dir, "token_events", "id", "tool", "category", "created_at", "savings_ratio", "saved_tokens")
@@ -84,6 +114,9 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
+    "p1_flags": p1_flags,
     "p2_percentiles": p2_percentiles,
     "p2_counts": p2_counts,
     "p3_found": p3_found,
