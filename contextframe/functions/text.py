@@ -27,3 +27,18 @@ def tokens_over(text: Column, limit: int) -> Column:
     chars = F.length(text)
     most_words = limit * 3 // 4
     return F.when(chars > 4 * limit, True).when(chars <= 2 * most_words, False).otherwise(word_count(text) > most_words)
+
+
+#: White space and the punctuation of ASCII.
+MARK = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}!-/:-@\[-`{-~]"
+
+
+def estimate_tokens_marks(text: Column) -> Column:
+    """Tokens by code points / 4 and by white space and punctuation / 12, each rounded down; 1 at least."""
+    marks = F.floor(F.regexp_count(text, F.lit(MARK)) / 12)
+    return F.when(text.isNotNull(), F.greatest(F.lit(1).cast("bigint"), F.floor(F.length(text) / 4) + marks))
+
+
+def estimate_tokens_bytes(text: Column) -> Column:
+    """Tokens by bytes / 4, rounded down."""
+    return F.floor(F.octet_length(text) / 4).cast("bigint")
