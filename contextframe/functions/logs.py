@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from contextframe.functions.text import let
+
 #: Commands by the kind of their output, by the first word or the first two.
 KINDS_BY_TWO = (
     ("test_runner", ("cargo test", "go test", "npm test", "npx vitest", "npx jest")),
@@ -60,12 +62,15 @@ def _join(parts: Column) -> Column:
 
 def generic(text: Column, most: int) -> Column:
     """The first two thirds of ``most`` lines and the last third, with a note of what lies between."""
-    all_lines = lines(text)
     head = most * 2 // 3
     tail = most - head
-    note = F.concat(F.lit("... "), (F.size(all_lines) - most).cast("string"), F.lit(" Zeilen ausgelassen ..."))
-    short = _join(F.concat(F.slice(all_lines, 1, head), F.array(note), F.slice(all_lines, F.size(all_lines) - tail + 1, tail)))
-    return F.when((F.size(all_lines) <= most) | F.lit(most == 0), text).otherwise(short)
+
+    def short(all_lines: Column) -> Column:
+        note = F.concat(F.lit("... "), (F.size(all_lines) - most).cast("string"), F.lit(" Zeilen ausgelassen ..."))
+        cut = _join(F.concat(F.slice(all_lines, 1, head), F.array(note), F.slice(all_lines, F.size(all_lines) - tail + 1, tail)))
+        return F.when((F.size(all_lines) <= most) | F.lit(most == 0), text).otherwise(cut)
+
+    return let(lines(text), short)
 
 
 def _blocks(all_lines: Column, begins) -> Column:  # noqa: ANN001
@@ -97,7 +102,10 @@ def _budget(blocks: Column, most: int | Column, skip: bool, used: Column | int =
 
 def compiler(text: Column, most: int) -> Column:
     """Errors that fit, then closing lines, then warnings up to the first that does not fit."""
-    all_lines = lines(text)
+    return let(lines(text), lambda all_lines: _compiler(text, all_lines, most))
+
+
+def _compiler(text: Column, all_lines: Column, most: int) -> Column:
     closing = lambda x: x.startswith("error: aborting") | x.startswith("error: could not compile")
     errors = _budget(_blocks(all_lines, lambda x: ~closing(x) & (x.startswith("error[") | (x.startswith("error") & x.contains("]:")))), most, True)
     ends = F.filter(all_lines, closing)
@@ -109,7 +117,10 @@ def compiler(text: Column, most: int) -> Column:
 
 def linter(text: Column, most: int) -> Column:
     """Errors, warnings and suggestions in this order, up to the first that does not fit."""
-    all_lines = lines(text)
+    return let(lines(text), lambda all_lines: _linter(text, all_lines, most))
+
+
+def _linter(text: Column, all_lines: Column, most: int) -> Column:
     kinds = (("error:", "error["), ("warning:",), ("suggestion:", "note:", "help:"))
     blocks = F.concat(*[_blocks(all_lines, lambda x, p=prefixes: any_prefix(x, p)) for prefixes in kinds])
     return F.when(F.size(all_lines) <= most, text).otherwise(_join(_budget(blocks, most, False)["kept"]))
@@ -117,7 +128,10 @@ def linter(text: Column, most: int) -> Column:
 
 def package_manager(text: Column, most: int) -> Column:
     """Lines without progress; if still too many, those that matter; then the first ``most`` and a note; the end of the output if none is left."""
-    all_lines = lines(text)
+    return let(lines(text), lambda all_lines: _package_manager(text, all_lines, most))
+
+
+def _package_manager(text: Column, all_lines: Column, most: int) -> Column:
     noise = lambda x: F.regexp_like(x, F.lit("^(?: {1,4}Downloading | {2,4}Fetching | {2,3}Unpacking |  Locking )"))
     quiet = F.filter(all_lines, lambda x: ~noise(x))
     kept = F.when(F.size(quiet) > most, F.filter(all_lines, lambda x: any_prefix(F.ltrim(x), KEPT))).otherwise(quiet)
@@ -174,19 +188,24 @@ def git(text: Column, most: int) -> Column:
 
 def search(text: Column, most: int) -> Column:
     """The first two matches of each file and how many more it has, within the budget; then how many files are left."""
-    all_lines = lines(text)
+    return let(lines(text), lambda all_lines: _search(text, all_lines, most))
+
+
+def _search(text: Column, all_lines: Column, most: int) -> Column:
     file_of = lambda x: F.substring_index(x, ":", 1)
-    files = F.array_distinct(F.transform(all_lines, file_of))
+    none = F.array().cast("array<string>")
 
     def of(file: Column) -> Column:
-        own = F.filter(all_lines, lambda x: file_of(x) == file)
-        more = F.when(F.size(own) > 2, F.array(F.format_string("  ... and %d more matches in %s", F.size(own) - 2, file))).otherwise(F.array().cast("array<string>"))
-        return F.concat(F.slice(own, 1, 2), more)
+        more = lambda own: F.when(F.size(own) > 2, F.array(F.format_string("  ... and %d more matches in %s", F.size(own) - 2, file))).otherwise(none)
+        return let(F.filter(all_lines, lambda x: file_of(x) == file), lambda own: F.concat(F.slice(own, 1, 2), more(own)))
+
+    def noted(files: Column, shown: Column) -> Column:
+        # every file takes a line at least, so no more than the first ``most`` files can be shown
+        left = F.size(files) - F.size(F.filter(F.slice(files, 1, most), lambda f: F.exists(shown, lambda x: (file_of(x) == f) & F.array_contains(all_lines, x))))
+        return _join(F.concat(shown, F.when(left > 0, F.array(F.format_string("... %d more files with matches", left))).otherwise(none)))
 
-    shown = F.slice(F.flatten(F.transform(files, of)), 1, most)
-    left = F.size(F.filter(files, lambda f: ~F.exists(shown, lambda x: (file_of(x) == f) & F.array_contains(all_lines, x))))
-    note = F.when(left > 0, F.array(F.format_string("... %d more files with matches", left))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(all_lines) <= most, text).otherwise(_join(F.concat(shown, note)))
+    short = let(F.array_distinct(F.transform(all_lines, file_of)), lambda files: let(F.slice(F.flatten(F.transform(F.slice(files, 1, most), of)), 1, most), lambda shown: noted(files, shown)))
+    return F.when(F.size(all_lines) <= most, text).otherwise(short)
 
 
 def failure_blocks(all_lines: Column) -> Column:
@@ -214,7 +233,10 @@ def failure_blocks(all_lines: Column) -> Column:
 
 def test_output(text: Column, most: int) -> Column:
     """The result line and the failures of a test run of either kind; other output as :func:`generic`."""
-    all_lines = lines(text)
+    return let(lines(text), lambda all_lines: _test_output(text, all_lines, most))
+
+
+def _test_output(text: Column, all_lines: Column, most: int) -> Column:
     result = F.try_element_at(F.filter(all_lines, lambda x: x.startswith("test result:")), F.lit(1))
     heading = F.array(F.lit(""), F.lit("Failures:"))
     room = max(most - 1 - 3, 1)

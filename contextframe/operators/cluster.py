@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contextframe.functions.text import let
 from contextframe.operators.memory import csv_set
 from contextframe.sources.tables import cut_lineage
 
@@ -102,8 +103,10 @@ def topics(observations: DataFrame, clustered: DataFrame) -> DataFrame:
 
 def shingles(text: Column, n: int) -> Column:
     """The distinct runs of n words in lower case, as numbers; one run of all words where there are fewer."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
+    runs = let(
+        F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""),
+        lambda words: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " "))),
+    )
     return F.array_distinct(runs)
 
 
