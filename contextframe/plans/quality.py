@@ -118,7 +118,7 @@ QUERIES = {
     "config_findings": lambda s, d: Q.config_findings(CONFIGS.df(s)),
     "config_score": lambda s, d: Q.config_score(Q.config_findings(CONFIGS.df(s))),
     "deny_list": lambda s, d: PATHS.df(s).select("id", P.read_denied(F.col("path")).alias("read"), P.edit_denied(F.col("path")).alias("edit"), P.command_denied(F.col("command")).alias("command")),
-    "deny_list_runs": lambda s, d: load(s, d, "token_events", "id", "subject").distinct().where(P.read_denied(F.col("subject")) | P.edit_denied(F.col("subject")) | P.command_denied(F.col("subject"))).select("id"),
+    "deny_list_runs": lambda s, d: load(s, d, "token_events", "id", "subject").distinct().groupBy(P.read_denied(F.col("subject")).alias("read"), P.edit_denied(F.col("subject")).alias("edit"), P.command_denied(F.col("subject")).alias("command")).agg(F.count("*").alias("events")),
     "policy_findings": lambda s, d: P.findings(PATHS.df(s), "id"),
     "governance_events": lambda s, d: CALLS.df(s).select("id", P.governance(F.col("tool"), F.col("path"), F.col("result")).alias("event")),
     "path_normalise": lambda s, d: PATHS.df(s).select("id", P.normalised(F.col("path")).alias("clean"), P.within(F.col("path"), "/work").alias("inside")),
@@ -195,7 +195,7 @@ SQL = {
         WITH r AS (SELECT DISTINCT run_id, command, command_type FROM run_results), c AS (SELECT (trim(command) LIKE 'git %') = coalesce(command_type = 'git', false) AS ok FROM r)
         SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS "right", round(count(*) FILTER (WHERE ok) / count(*), 6) AS precision FROM c""",
     "deny_list": f"SELECT id, {_path_matches('path', P.READ)} AS read, {_path_matches('path', P.EDIT)} AS edit, {_matches('command', P.COMMAND)} AS command FROM {PATHS.sql}",
-    "deny_list_runs": f"SELECT DISTINCT id FROM token_events WHERE {_path_matches('subject', P.READ)} OR {_path_matches('subject', P.EDIT)} OR {_matches('subject', P.COMMAND)}",
+    "deny_list_runs": f"SELECT {_path_matches('subject', P.READ)} AS read, {_path_matches('subject', P.EDIT)} AS edit, {_matches('subject', P.COMMAND)} AS command, count(*) AS events FROM (SELECT DISTINCT id, subject FROM token_events) GROUP BY 1, 2, 3",
     "policy_findings": f"""
         SELECT id, 'SEC-CMD-001' AS code, 'Denied command pattern detected: ' || c AS message FROM {PATHS.sql}, (SELECT unnest(['rm -rf /', 'shutdown']) AS c) WHERE contains(command, c)
         UNION ALL SELECT id, 'SEC-PATH-001', 'Denied path access: /etc' FROM {PATHS.sql} WHERE starts_with(path, '/etc')""",

@@ -86,10 +86,8 @@ SQL = {
         SELECT slot AS block, reader, seq, version, CASE WHEN b IS NULL THEN 'full' WHEN b < version THEN 'changed' ELSE 'unchanged' END AS delivery FROM r""",
     "seen_files": """
         WITH o AS (SELECT path, hash, row_number() OVER (PARTITION BY path ORDER BY summary_id DESC) AS k FROM file_summaries),
-        l AS (SELECT path, arg_max(hash, summary_id) AS hash, max(summary_id) AS last FROM file_summaries GROUP BY path),
-        h AS (SELECT path, hash FROM o WHERE k = 1), n AS (SELECT path, arg_max(hash, summary_id) AS hash FROM file_summaries WHERE hash IS NOT NULL GROUP BY path),
-        s AS (SELECT f.path, arg_max(f.hash, f.summary_id) AS hash FROM file_summaries f JOIN l USING (path) WHERE f.summary_id < l.last GROUP BY f.path)
-        SELECT h.path, n.hash, NOT EXISTS (SELECT 1 FROM s WHERE s.path = h.path) OR n.hash IS DISTINCT FROM (SELECT s.hash FROM s WHERE s.path = h.path) AS stale FROM h LEFT JOIN n USING (path)""",
+        h AS (SELECT path, hash FROM o WHERE k = 1), s AS (SELECT path, hash FROM o WHERE k = 2)
+        SELECT h.path, h.hash, s.path IS NULL OR h.hash IS DISTINCT FROM s.hash AS stale FROM h LEFT JOIN s ON h.path = s.path""",
     "co_access_graph": """
         WITH t AS (SELECT DISTINCT id, unnest(from_json(files_touched, '[{"path":"VARCHAR"}]')).path AS p FROM sessions)
         SELECT a.p AS file_a, b.p AS file_b, count(*) AS evidence FROM t a JOIN t b ON a.id = b.id AND a.p < b.p GROUP BY 1, 2""",
