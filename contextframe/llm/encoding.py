@@ -192,8 +192,10 @@ def encode_corpus(df: DataFrame, key: str, text: str, path: str | None = None) -
             encoder = _ENCODERS[path] = Encoder(shared.value)
         for batch in batches:
             texts = batch.column(1)
-            sizes = np.cumsum(np.nan_to_num(pa.compute.utf8_length(texts).to_numpy(zero_copy_only=False).astype(float)))
-            cuts = np.unique(np.searchsorted(sizes, np.arange(SLICE_CHARS, (sizes[-1] if len(sizes) else 0) + SLICE_CHARS, SLICE_CHARS), "left").clip(0, max(0, len(sizes) - 1)) + 1)
+            chars = np.cumsum(pa.compute.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+            # a slice ends with the row in which it reaches its share of characters, the last with the batch
+            ends = np.searchsorted(chars, np.arange(SLICE_CHARS, chars[-1], SLICE_CHARS), "left") + 1 if len(chars) else []
+            cuts = np.unique([*ends, len(texts)])
             begin = 0
             for cut in cuts.tolist():
                 ids, counts = encoder.encode(texts.slice(begin, cut - begin).to_pylist())
