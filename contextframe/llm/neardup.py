@@ -49,7 +49,9 @@ def elements(text: str) -> np.ndarray:
     found = []
     for word, n in Counter(_WORDS.findall(text.lower())).items():
         data = word.encode("utf-8", "surrogatepass")
-        found += [xxhash.xxh3_64_intdigest(data, seed) for seed in range(n)]
+        found.append(xxhash.xxh3_64_intdigest(data))
+        # the occurrence goes into the bytes: seeds of this hash make short words collide
+        found += [xxhash.xxh3_64_intdigest(data + b" " + str(k).encode()) for k in range(1, n)]
     return np.sort(np.array(found, np.uint64).view(np.int64))
 
 
