@@ -5,9 +5,11 @@ Times are compared as text, as they are stored; the id breaks every tie.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contextframe.operators.running import numbered
+
 #: The types and concepts a record may have, and the bytes its text may take.
 TYPES = ("bugfix", "feature", "refactor", "change", "discovery", "decision")
 CONCEPTS = ("how-it-works", "why-it-exists", "what-changed", "problem-solution", "gotcha", "pattern", "trade-off")
@@ -31,8 +33,8 @@ def valid(observations: DataFrame) -> DataFrame:
 def appended(stored: DataFrame, new: DataFrame) -> DataFrame:
     """``stored`` and ``new`` records, the new ones numbered on from the largest id; missing columns become null."""
     last = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    numbered = new.crossJoin(F.broadcast(last)).withColumn("id", F.col("last") + F.row_number().over(Window.orderBy("seq"))).drop("last", "seq")
-    return stored.unionByName(numbered, allowMissingColumns=True)
+    added = numbered(new, ["seq"], "_no").crossJoin(F.broadcast(last)).withColumn("id", F.col("last") + F.col("_no")).drop("last", "seq", "_no")
+    return stored.unionByName(added, allowMissingColumns=True)
 
 
 def insert_or_ignore(observations: DataFrame, key: str = "dedup_hash") -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from contextframe.operators.matching import contained
 
+#: A bound that no factor reaches.
+_FAR = 1_000_000_000
 #: Points a finding costs by its severity, and the weights of scores.
 DEDUCTIONS = {"critical": 3.0, "warning": 1.0, "suggestion": 0.5}
 CATEGORIES = {"SEC": "security", "QUL": "quality", "EFF": "efficiency"}
@@ -137,24 +139,34 @@ def after_read(loc: Column, symbols: Column, documented: Column) -> list[Column]
     return [_steps(loc, ((50, 100), (100, 85), (200, 70), (500, 50)), 30).alias("complexity"), doc.alias("documentation")]
 
 
-def folded_health(log: DataFrame) -> DataFrame:
+def folded_health(log: DataFrame, part: int = 1_000) -> DataFrame:
     """(file, stability, test_coverage, error_rate): factors after all edits and test runs of a file, in order, from 50 each.
 
-    Edits cost 5 of stability down to 10. A test that passes adds 10 and 5, one that fails
-    takes 15 of the error rate. The fold runs over a file's own sorted log.
+    Edits cost 5 of stability down to 10. A test that passes adds 10 and 5 up to 100, one that
+    fails takes 15 of the error rate down to 0. Each event moves a factor and keeps it within
+    bounds, and such moves, one after another, are again one move with bounds. So parts of a
+    file's log are folded apart, and no task holds a whole log.
     """
-    events = log.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("seq", "event"))).alias("log"))
-    start = F.struct(F.lit(50).alias("stability"), F.lit(50).alias("test_coverage"), F.lit(50).alias("error_rate"))
-
-    def step(s: Column, e: Column) -> Column:
-        edit, good, bad = (e["event"] == kind for kind in ("edit", "passed", "failed"))
-        return F.struct(
-            F.when(edit, F.greatest(s["stability"] - 5, F.lit(10))).otherwise(s["stability"]).alias("stability"),
-            F.when(good, F.least(s["test_coverage"] + 10, F.lit(100))).otherwise(s["test_coverage"]).alias("test_coverage"),
-            F.when(good, F.least(s["error_rate"] + 5, F.lit(100))).when(bad, F.greatest(s["error_rate"] - 15, F.lit(0))).otherwise(s["error_rate"]).alias("error_rate"),
-        )
+    edit, good, bad = (F.col("event") == kind for kind in ("edit", "passed", "failed"))
+    moves = {
+        "stability": F.when(edit, F.struct(F.lit(-5).alias("by"), F.lit(10).alias("low"), F.lit(_FAR).alias("high"))),
+        "test_coverage": F.when(good, F.struct(F.lit(10).alias("by"), F.lit(-_FAR).alias("low"), F.lit(100).alias("high"))),
+        "error_rate": F.when(good, F.struct(F.lit(5).alias("by"), F.lit(-_FAR).alias("low"), F.lit(100).alias("high"))).when(bad, F.struct(F.lit(-15).alias("by"), F.lit(0).alias("low"), F.lit(_FAR).alias("high"))),
+    }
+
+    def composed(moved: Column) -> Column:
+        still = F.struct(F.lit(0).alias("by"), F.lit(-_FAR).alias("low"), F.lit(_FAR).alias("high"))
+        clamp = lambda x, m: F.least(F.greatest(x + m["by"], m["low"]), m["high"])
+        return F.aggregate(moved, still, lambda s, m: F.struct((s["by"] + m["by"]).alias("by"), clamp(s["low"], m).alias("low"), clamp(s["high"], m).alias("high")))
+
+    def fold(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+        lists = rows.groupBy(*keys).agg(*[F.array_sort(F.collect_list(F.when(F.col(n).isNotNull(), F.struct(F.col(order).alias("o"), F.col(n).alias("m"))))).alias(n) for n in moves])
+        return lists.select(*keys, *[composed(F.transform(n, lambda x: x["m"])).alias(n) for n in moves])
 
-    return events.select("file", F.aggregate("log", start, step).alias("s")).select("file", "s.*")
+    rows = log.select("file", "seq", F.floor(F.col("seq") / part).alias("part"), *[move.alias(n) for n, move in moves.items()])
+    parts = fold(rows, ["file", "part"], "seq")
+    whole = fold(parts, ["file"], "part")
+    return whole.select("file", *[F.least(F.greatest(50 + F.col(f"{n}.by"), F.col(f"{n}.low")), F.col(f"{n}.high")).alias(n) for n in moves])
 
 
 def unhealthiest(scores: DataFrame, k: int) -> DataFrame:

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contextframe.operators.running import carried
+
 #: The phase that each tool call or event leads to.
 PHASES = {"smart_read": "Analyzing", "smart_edit": "Editing", "smart_run": "Verifying", "task_complete": "Complete"}
 #: Slots of a workspace, bytes of a block, and how confidence in patterns starts and grows.
 SLOTS = ("goal", "plan", "files", "notes", "decisions", "errors")
 BLOCK_BYTES = 10_000
 START, STEP, FIX_START = 0.3, 0.1, 0.5
+#: Items of a basket whose pairs are made within one row.
+BASKET = 1_000
 
 
 def loops(errors: DataFrame, least: int = 3) -> DataFrame:
@@ -22,12 +26,16 @@ def _so_far(order: list[str], *keys: str):  # noqa: ANN202
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def phases(calls: DataFrame) -> DataFrame:
-    """(session_id, seq, tool, phase): the phase after each call; other tools leave it as it is, and it starts as Idle."""
+def phases(calls: DataFrame, bucket: Column | None = None) -> DataFrame:
+    """(session_id, seq, tool, phase): the phase after each call; other tools leave it as it is, and it starts as Idle.
+
+    ``bucket`` cuts a session's calls into parts along ``seq``, such as days, that run apart.
+    """
     phase = F.lit(None).cast("string")
     for tool, name in PHASES.items():
         phase = F.when(F.col("tool") == tool, name).otherwise(phase)
-    return calls.select("session_id", "seq", "tool", F.coalesce(F.last(phase, True).over(_so_far(["seq"], "session_id")), F.lit("Idle")).alias("phase"))
+    found = carried(calls.select("session_id", "seq", "tool"), "session_id", F.lit(0) if bucket is None else bucket, ["seq"], phase, "phase")
+    return found.withColumn("phase", F.coalesce("phase", F.lit("Idle")))
 
 
 def slots(actions: DataFrame) -> DataFrame:
@@ -64,15 +72,21 @@ def stale(files: DataFrame, seen: DataFrame) -> DataFrame:
     return files.join(last, "path", "left").select("path", "hash", (F.col("known").isNull() | ~F.col("hash").eqNullSafe(F.col("seen_hash"))).alias("stale"))
 
 
-def pairs(baskets: DataFrame, basket: str, item: str) -> DataFrame:
+def pairs(baskets: DataFrame, basket: str, item: str, most: int = BASKET) -> DataFrame:
     """(file_a, file_b, evidence): items of the same basket, each undirected pair once, counted over baskets.
 
-    Baskets are what one session or order touched; a basket's pairs are made within the row
-    of its sorted items, so no self-join is needed.
+    Baskets are what one session or order touched. The pairs of a basket of up to ``most``
+    items are made within the row of its sorted items; larger baskets are joined with
+    themselves item by item instead, so that no row or task holds all of one.
     """
-    sets = baskets.groupBy(basket).agg(F.array_sort(F.collect_set(item)).alias("items"))
+    items = baskets.where(F.col(item).isNotNull()).select(F.col(basket).alias("_k"), F.col(item).alias("_i")).distinct()
+    large = items.groupBy("_k").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("_k")
+    sets = items.join(large, "_k", "left_anti").groupBy("_k").agg(F.array_sort(F.collect_set("_i")).alias("items"))
     two = F.flatten(F.transform("items", lambda a, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda b: F.struct(a.alias("file_a"), b.alias("file_b")))))
-    return sets.select(F.explode(two).alias("p")).groupBy("p.file_a", "p.file_b").agg(F.count("*").alias("evidence"))
+    hot = items.join(large, "_k", "left_semi")
+    joined = hot.toDF("_k", "file_a").join(hot.toDF("_k", "file_b"), "_k").where("file_a < file_b").select("file_a", "file_b")
+    made = sets.select(F.explode(two).alias("p")).select("p.file_a", "p.file_b").unionByName(joined)
+    return made.groupBy("file_a", "file_b").agg(F.count("*").alias("evidence"))
 
 
 def confidence(evidence: Column, start: float = START) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contextframe.operators.running import running_sums
+
 #: Share of the raw tokens, in percent, that each tool's answer is taken to keep.
 KEPT_PERCENT = {"smart_read": 10, "project_map": 10, "smart_run": 8, "smart_edit": 50}
 KEPT_OTHERWISE = 80
@@ -119,17 +121,15 @@ def report(totals: DataFrame, kind: str = "markdown") -> DataFrame:
 def hints(calls: DataFrame, most_calls: int = 40, most_tokens: int = 500_000) -> DataFrame:
     """The call at which a session first passes each limit of calls and of raw tokens; each limit hints once.
 
-    Calls are ordered by ``created_at`` and ``id``. A running count within the session only,
-    so sessions spread over the cluster.
+    Calls are ordered by ``created_at`` and ``id``; they run within a session's days, so a
+    session with a third of all calls is many tasks. Calls without a time come last.
     """
-    order = Window.partitionBy("session_id").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("session_id").orderBy("created_at", "id")
-    running = calls.withColumn("calls", F.count("*").over(order)).withColumn("tokens", F.sum(F.coalesce("estimated_raw_tokens", F.lit(0))).over(order))
-    running = running.withColumn("before", F.coalesce(F.lag("tokens").over(before), F.lit(0)))
-    found = F.array(
-        F.when(F.col("calls") == most_calls + 1, "calls"),
-        F.when((F.col("tokens") > most_tokens) & (F.col("before") <= most_tokens), "tokens"),
-    )
+    amount = F.coalesce("estimated_raw_tokens", F.lit(0))
+    day = F.coalesce(F.to_date("created_at"), F.lit("9999-12-31").cast("date"))
+    ordered = calls.withColumn("_at", F.coalesce(F.col("created_at").cast("timestamp_ntz"), F.lit("9999-12-31").cast("timestamp_ntz")))
+    running = running_sums(ordered, "session_id", day, ["_at", "id"], {"calls": F.lit(1), "tokens": amount})
+    before = F.col("tokens") - amount
+    found = F.array(F.when(F.col("calls") == most_calls + 1, "calls"), F.when((F.col("tokens") > most_tokens) & (before <= most_tokens), "tokens"))
     return running.select("session_id", "id", "calls", "tokens", F.explode(F.array_compact(found)).alias("hint"))
 
 

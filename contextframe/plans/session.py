@@ -35,7 +35,7 @@ def _baskets(spark: SparkSession, d: str) -> DataFrame:
 
 def phase_state(spark: SparkSession, d: str) -> DataFrame:
     """How many calls each session made in each phase."""
-    return S.phases(_calls(spark, d)).groupBy("session_id", "phase").agg(F.count("*").alias("calls"))
+    return S.phases(_calls(spark, d), F.to_date("seq.created_at")).groupBy("session_id", "phase").agg(F.count("*").alias("calls"))
 
 
 def seen_files(spark: SparkSession, d: str) -> DataFrame:

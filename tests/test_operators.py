@@ -13,7 +13,7 @@ from contextframe.functions import logs as L
 from contextframe.functions import text as T
 from contextframe.operators import cluster as C
 from contextframe.operators import codegraph as G
-from contextframe.operators import matching, memory, policy, quality, search, session, tokens
+from contextframe.operators import matching, memory, policy, quality, running, search, session, tokens
 from contextframe.plans.fixtures import LOGS
 from contextframe.sources import config, files, git
 from contextframe.streaming import events as E
@@ -208,3 +208,37 @@ def test_stream_writes_snapshots(spark, data, tmp_path):
         query.stop()
     total = spark.read.json(str(tmp_path / "out")).groupBy("tool").agg(F.max("calls").alias("n")).agg(F.sum("n")).first()[0]
     assert total == spark.read.parquet(f"{data}/token_events.parquet").count()
+
+
+@pytest.mark.parametrize("part", [1, 4, 1000])
+def test_health_fold_in_parts(spark, part):
+    rng = random.Random(part)
+    rows = [(f, k, rng.choice(["edit", "passed", "failed", "other"])) for f in "ab" for k in range(60)]
+    got = {r.file: (r.stability, r.test_coverage, r.error_rate) for r in quality.folded_health(spark.createDataFrame(rows, "file string, seq int, event string"), part).collect()}
+    for file in "ab":
+        stability = tests = errors = 50
+        for _, _, event in sorted(r for r in rows if r[0] == file):
+            stability = max(stability - 5, 10) if event == "edit" else stability
+            tests = min(tests + 10, 100) if event == "passed" else tests
+            errors = min(errors + 5, 100) if event == "passed" else max(errors - 15, 0) if event == "failed" else errors
+        assert got[file] == (stability, tests, errors)
+
+
+def test_running_values_across_buckets(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), k, rng.randint(0, 9), rng.choice([None, "x", "y"])) for k in range(200)]
+    df = spark.createDataFrame(rows, "g string, k int, v int, w string")
+    sums = {(r.g, r.k): r.total for r in running.running_sums(df, "g", F.floor(F.col("k") / 7), ["k"], {"total": F.col("v")}).collect()}
+    last = {(r.g, r.k): r.seen for r in running.carried(df, "g", F.floor(F.col("k") / 7), ["k"], F.col("w"), "seen").collect()}
+    for g in "ab":
+        total, seen = 0, None
+        for _, k, v, w in (r for r in rows if r[0] == g):
+            total, seen = total + v, w or seen
+            assert (sums[(g, k)], last[(g, k)]) == (total, seen)
+    assert [r.no for r in running.numbered(df, ["k"], "no").orderBy("k").collect()] == list(range(1, 201))
+
+
+def test_large_baskets_are_joined(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(rng.randint(0, 5), f"f{rng.randint(0, 12)}") for _ in range(120)] + [(9, None)], "s int, f string")
+    assert sorted(map(tuple, session.pairs(df, "s", "f", 3).collect())) == sorted(map(tuple, session.pairs(df, "s", "f").collect()))
