@@ -12,6 +12,7 @@ from contextframe.plans.codegraph import SOURCES
 from contextframe.plans.fixtures import Fixture
 from contextframe.sources import files as S
 from contextframe.sources.python_symbols import python_symbols
+from contextframe.sources.symbols import symbols
 from contextframe.sources.tables import load
 
 EDITS = Fixture(
@@ -54,6 +55,7 @@ QUERIES = {
     "workspace_members": lambda s, d: S.members(MANIFESTS.df(s), TREE.df(s)),
     "discovery_topk": lambda s, d: S.discover(load(s, d, "file_summaries", "path").distinct(), "server store query", 100),
     "python_symbols": lambda s, d: python_symbols(SOURCES.df(s).where("path LIKE '%.py'")).select("path", "name", "kind", "parent", "start_line", "end_line", "visibility"),
+    "symbols_tree": lambda s, d: symbols(SOURCES.df(s)).select("path", "name", "kind", "parent", "signature", "start_line", "end_line", "visibility"),
     "registered_functions": registered_functions,
     "resent_events": lambda s, d: load(s, d, "token_events", "id").groupBy("id").agg(F.count("*").alias("times")).where("times > 1"),
     "savings_ratio_check": lambda s, d: load(s, d, "token_events", "id", "estimated_raw_tokens", "estimated_compressed_tokens", "saved_tokens").distinct().select(

@@ -19,14 +19,16 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the reliable checkpoint folder and read from there.
 
-    The folder is the one in ``spark.checkpoint.dir``. Only a session without that
-    setting (tests, local use) gets a folder of its own.
+    The folder is the one in ``spark.checkpoint.dir``. Only a local session without that
+    setting (tests, local use) gets a folder of its own; on a cluster it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = checkpoint_dir(spark)
         if shared is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             shared = tempfile.mkdtemp(prefix="contextframe-checkpoint-")
