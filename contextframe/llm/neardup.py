@@ -17,7 +17,7 @@ longer one's words. The join goes through regions:
 - Within a region, texts are compared in order of their length, the pairs that the bit maps
   leave are counted exactly.
 
-Texts with the same words form one class, which takes part in the join once.
+Copies of a text form one class, which takes part in the join once.
 """
 
 from __future__ import annotations
@@ -55,23 +55,23 @@ def elements(text: str) -> np.ndarray:
     return np.sort(np.array(found, np.uint64).view(np.int64))
 
 
-def bags(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, class, elements) of every row with a word in it; rows of the same words have the same class."""
+def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, class, text) of every row with a word in it; rows of the same text have the same class."""
+    own = F.col(text)
+    return df.select(F.col(key).alias("id"), F.substring(F.unhex(F.sha2(own, 256)), 1, 16).alias("class"), own.alias("text")).where(F.regexp_like("text", F.lit(r"[\p{L}\p{N}_]")))
+
+
+def bags(texts: DataFrame) -> DataFrame:
+    """(class, elements) of every text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, found = [], []
-            for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if value and len(words := elements(value)):
-                    keys.append(k)
-                    found.append(words)
+            found = [elements(value) for value in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(words) for words in found])])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found]), pa.int64()))
-            classes = pa.array([xxhash.xxh3_128_digest(words.tobytes()) for words in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), classes, lists], ["id", "class", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["class", "elements"])
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(read, f"id {kind}, class binary, elements array<bigint>")
+    return texts.select("class", "text").mapInArrow(read, "class binary, elements array<bigint>").where("size(elements) > 0")
 
 
 def frequencies(distinct: DataFrame) -> np.ndarray:
@@ -253,10 +253,9 @@ def class_links(distinct: DataFrame, leaf: int = LEAF) -> DataFrame:
 
 def joined(df: DataFrame, key: str, text: str, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
     """Members (id, class) of every class, and the links between classes."""
-    read = bags(df, key, text)
-    members = cut_lineage(read.select("id", "class"))
-    distinct = read.groupBy("class").agg(F.first("elements").alias("elements"))
-    return members, class_links(distinct, leaf)
+    rows = keyed(df, key, text)
+    members = cut_lineage(rows.select("id", "class"))
+    return members, class_links(bags(rows.groupBy("class").agg(F.first("text").alias("text"))), leaf)
 
 
 def near_pairs(df: DataFrame, key: str = "id", text: str = "text", leaf: int = LEAF) -> DataFrame:
