@@ -15,11 +15,14 @@ _WORD = r"[^\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\
 SECRET_TEXTS = (("context_items", "item_id", "content"), ("observations", "id", "text"), ("run_results", "run_id", "compressed_output"))
 
 
-def _secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _secret_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = [load(spark, sf_dir, name, key, text).toDF("row_id", "text").withColumn("source_table", F.lit(name)) for name, key, text in SECRET_TEXTS]
-    texts = tables[0].unionByName(tables[1]).unionByName(tables[2])
-    words = secrets.dictionary(texts, "row_id", "text")
-    scan = secrets.scanned(F.col("text"), words, spark.sparkContext)
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+
+
+def _secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _secret_texts(spark, sf_dir)
+    scan = secrets.scanned(F.col("text"), secrets.dictionary(texts, "row_id", "text"), spark.sparkContext)
     return texts.withColumn("_s", scan)
 
 
@@ -37,7 +40,7 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs by the flag they came with and the right one."""
     runs = load(spark, sf_dir, "run_results", "run_id", "compressed_output", "secrets_detected").distinct()
-    words = secrets.dictionary(runs, "run_id", "compressed_output")
+    words = secrets.dictionary(_secret_texts(spark, sf_dir), "row_id", "text")
     scan = secrets.scanned(F.col("compressed_output"), words, spark.sparkContext)
     return runs.select("secrets_detected", (F.size(scan["found"]) > 0).alias("right_flag")).groupBy("secrets_detected", "right_flag").agg(F.count("*").alias("runs"))
 

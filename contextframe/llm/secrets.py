@@ -6,7 +6,7 @@ its residual. Near a context that assigns, sends or names a credential, a litera
 long residual is one. Placeholders, references to variables and vaults, names, known hash
 formats in hash contexts, public keys and blobs are none.
 
-The dictionary is learned from a bounded sample of rows.
+The dictionary is counted over all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that the dictionary is learned from, and rows that a word must occur in.
-SAMPLE_ROWS, LEAST_ROWS = 4_000, 4
+#: Rows that a word must occur in: one in SHARE_ROWS, so the same words at every size, and at least LEAST_ROWS,
+#: or the few copies of a literal in a small table would explain it.
+SHARE_ROWS, LEAST_ROWS = 4_000, 4
 #: Unexplained characters that make a literal a credential near a context, and in running text.
 RESIDUAL, RESIDUAL_PROSE = 3, 7
 MASK = "********"
@@ -365,12 +366,15 @@ def scanned(text: Column, words: frozenset[str], spark_context) -> Column:  # no
     return scan(text)
 
 
-def dictionary(texts: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS) -> frozenset[str]:
-    """The dictionary of a hash sample of about ``rows`` texts, at most twice as many, of at most 20,000 characters each."""
-    total = max(1, texts.count())
-    share = max(1, int(min(1.0, rows / total) * 1_000_000))
-    sample = texts.where((F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share) & F.col(text).isNotNull() & (F.length(text) <= 20_000)).select(text).limit(2 * rows)
-    return learn_words([row[0] for row in sample.collect()])
+def dictionary(texts: DataFrame, key: str, text: str, share: int = SHARE_ROWS) -> frozenset[str]:  # noqa: ARG001
+    """The words of at least four letters that one in ``share`` of all rows holds, and at least LEAST_ROWS; repeated rows count again.
+
+    No more than ``share`` times the distinct words of a mean text reach that, whatever the number of rows.
+    """
+    least = max(LEAST_ROWS, texts.count() // share)
+    apart = F.lower(F.regexp_replace(F.col(text), "(?<=[a-z])(?=[A-Z])", " "))
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(apart, F.lit("[a-z]{4,14}"), F.lit(0)))).alias("word"))
+    return frozenset(row.word for row in words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("word").collect())
 
 
 def find_secrets(df: DataFrame, key: str, text: str, words: frozenset[str]) -> DataFrame:

@@ -90,3 +90,23 @@ def test_table(spark):
     assert [r.redacted for r in S.find_secrets(df, "id", "t", WORDS).where("row_id IN (2, 3)").orderBy("row_id").collect()] == [None, ""]
     assert S.find_secrets(df.limit(0), "id", "t", WORDS).count() == 0
     assert S.dictionary(df.limit(0), "id", "t") == frozenset()
+
+
+def test_dictionary_of_all_rows(spark):
+    texts = ["x " * 15_000 + f"rareWord{k}" for k in range(8)] + ["plain filler text"] * 9_000
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    words = S.dictionary(df, "id", "t")
+    assert words == S.learn_words(texts) == {"rare", "word", "plain", "filler", "text"}
+    thrice = df.union(df).union(df)
+    assert S.dictionary(thrice, "id", "t") == words
+
+
+def test_one_dictionary(spark, data, monkeypatch):
+    from contextframe.llm import queries
+
+    seen = []
+    scanned = S.scanned
+    monkeypatch.setattr(S, "scanned", lambda text, words, context: seen.append(words) or scanned(text, words, context))
+    for query in (queries.p1_found, queries.p1_redacted, queries.p1_flags):
+        query(spark, data)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) > 0
