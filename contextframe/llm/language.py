@@ -41,8 +41,6 @@ NO_LANGUAGE = ("", "und", "mul", "mis", "zxx", "unknown", "none", "null", "n/a",
 
 #: Foreign words that make a segment of their own, and words that make a document's only stretch one.
 SEGMENT_WORDS, ONLY_WORDS = 8, 4
-#: Least mean probability of a segment that has others beside it.
-SEGMENT_CONFIDENCE = 0.9
 #: Labelled rows the model is fitted on, and the longest text among them in code points.
 SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 20_000
 
@@ -413,23 +411,51 @@ class Tagger:
 
 
 def joined(runs: list[list]) -> list[list]:
-    """Runs of a document made into segments: short foreign ones are dropped and end nothing.
+    """Runs of a document made into segments: short foreign ones end nothing, whatever the confidence.
 
-    A document whose stretches are all short has one segment, of the language of most of its
-    words, if there are ONLY_WORDS of them.
+    Runs of one language with only short ones between them are merged before their words are
+    counted. A document whose stretches are all short has one segment, of the language of
+    most of its words, if there are ONLY_WORDS of them.
     """
-    long = [run for run in runs if run[3] >= SEGMENT_WORDS]
-    long = [run for run in long if run[4] >= SEGMENT_CONFIDENCE * run[5]] or long
-    if not long:
-        total: Counter[int] = Counter()
-        for run in runs:
-            total[run[0]] += run[3]
-        label, count = total.most_common(1)[0]
-        if count < ONLY_WORDS:
-            return []
-        long = [run for run in runs if run[0] == label]
+    if kept := _merged(_kept(runs)):
+        return kept
+    total: Counter[int] = Counter()
+    for run in runs:
+        total[run[0]] += run[3]
+    label, count = total.most_common(1)[0]
+    return _merged([run for run in runs if run[0] == label]) if count >= ONLY_WORDS else []
+
+
+def _kept(runs: list[list]) -> list[list]:
+    """The runs without the short ones to pass over, so that every merged stretch has SEGMENT_WORDS and the most words are in one."""
+    if all(run[3] >= SEGMENT_WORDS for run in runs):
+        return runs
+    # (language, words of its stretch so far) -> (words in stretches, stretches, counted down, runs kept, the last one first)
+    states: dict[tuple, tuple] = {(None, SEGMENT_WORDS): (0, 0, None)}
+    for run in runs:
+        after = dict(states) if run[3] < SEGMENT_WORDS else {}
+        for (label, n), (words, stretches, chain) in states.items():
+            if label == run[0]:
+                state, value = (label, min(SEGMENT_WORDS, n + run[3])), (words + run[3], stretches, (run, chain))
+            elif n >= SEGMENT_WORDS:
+                state, value = (run[0], min(SEGMENT_WORDS, run[3])), (words + run[3], stretches - 1, (run, chain))
+            else:
+                continue
+            if state not in after or value[:2] > after[state][:2]:
+                after[state] = value
+        states = after
+    chain = max((value for (_, n), value in states.items() if n >= SEGMENT_WORDS), key=lambda value: value[:2])[2]
+    kept = []
+    while chain:
+        kept.append(chain[0])
+        chain = chain[1]
+    return kept[::-1]
+
+
+def _merged(runs: list[list]) -> list[list]:
+    """Neighbours of one language made one, with the words, probabilities and counts of its own runs."""
     merged: list[list] = []
-    for run in long:
+    for run in runs:
         if merged and merged[-1][0] == run[0]:
             merged[-1][2] = run[2]
             for k in (3, 4, 5):

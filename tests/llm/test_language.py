@@ -67,3 +67,23 @@ def test_table(spark, model):
 def test_no_labels(spark):
     df = spark.createDataFrame([(1, EN, "und")], "doc_id bigint, text string, lang string")
     assert L.find_segments(df, L.fit(L.sample(df, "text", "lang", "doc_id"))).count() >= 0
+
+
+def _joined(*runs):
+    """(language, words, confidence) of segments; runs are (language, words) or (language, words, confidence)."""
+    ends = [sum(run[1] for run in runs[: k + 1]) for k in range(len(runs))]
+    full = [[lang, end - n, end, n, n * (of[0] if of else 1.0), n] for (lang, n, *of), end in zip(runs, ends, strict=True)]
+    return [(run[0], run[3], round(run[4] / run[5], 3)) for run in L.joined(full)]
+
+
+def test_short_runs_are_absorbed_before_the_limit():
+    assert _joined(("en", 30), ("de", 5), ("en", 3), ("de", 6)) == [("en", 30, 1.0), ("de", 11, 1.0)]
+    assert _joined(("en", 30), ("de", 5), ("fr", 2), ("en", 3), ("de", 6), ("en", 9)) == [("en", 30, 1.0), ("de", 11, 1.0), ("en", 9, 1.0)]
+    assert _joined(("en", 4), ("de", 3), ("en", 3), ("de", 2), ("en", 2)) == [("en", 9, 1.0)]
+    assert _joined(("en", 30), ("de", 7), ("en", 30)) == [("en", 60, 1.0)]
+    assert _joined(("en", 30), ("de", 8), ("en", 30)) == [("en", 30, 1.0), ("de", 8, 1.0), ("en", 30, 1.0)]
+    assert _joined(("de", 3), ("en", 2)) == [] and _joined(("de", 3), ("en", 5)) == [("en", 5, 1.0)]
+
+
+def test_unsure_segments_come_with_their_confidence():
+    assert _joined(("es", 40), ("pt", 12, 0.7), ("es", 40)) == [("es", 40, 1.0), ("pt", 12, 0.7), ("es", 40, 1.0)]
