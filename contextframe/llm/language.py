@@ -219,7 +219,7 @@ def _sentences(rows: list[tuple[str, str]]) -> list[tuple[int, list[str]]]:
     return [(label, words) for label, words in found if logs[[vocabulary[word] for word in words]].sum(0).argmax() == label]
 
 
-def fit(rows: list[tuple[str, str]], *, steps: int = 100, length: int = 40, batch: int = 64, rate: float = 0.3, decay: float = 1e-5, seed: int = 7) -> Model:
+def fit(rows: list[tuple[str, str]], *, steps: int = 400, length: int = 40, batch: int = 64, rate: float = 0.3, decay: float = 1e-5, seed: int = 7) -> Model:
     """A model fitted to (text, language) rows by gradient ascent on the chains' log-likelihood.
 
     Chains are made of sentences of one language, one in three of which switches the

@@ -87,3 +87,9 @@ def test_short_runs_are_absorbed_before_the_limit():
 
 def test_unsure_segments_come_with_their_confidence():
     assert _joined(("es", 40), ("pt", 12, 0.7), ("es", 40)) == [("es", 40, 1.0), ("pt", 12, 0.7), ("es", 40, 1.0)]
+
+
+def test_fitting_is_not_cut_short():
+    import inspect
+
+    assert inspect.signature(L.fit).parameters["steps"].default >= 160
