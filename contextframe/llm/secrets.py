@@ -97,6 +97,11 @@ _SCHEMES = [
 ]
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: What stands between the lines of a key and before them, the headers of a key, and a line of its body.
+_KEY_GAP = re.compile(r"(?:\\[rnt]|[\s>|#\"'`,\\-]|\+(?=\s|[\"']))*")
+_KEY_HEADER = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset): [^\n\\]*")
+_KEY_LINE = re.compile(r"[A-Za-z0-9+/]+={0,2}(?=\\[rn]|[\s\"'`,;)\]}<…\\]|\.\.\.|\Z)")
+_KEY_LINE_END = re.compile(r"[ \t\r\"'`,;+]*(?:\\[rn]|\n|\\|…|\.\.\.|\Z)")
 _CHUNK = re.compile(r"[^\s\"'`<>(){}\[\],;«»“”„‘’、，。：；（）]+")
 _JOINED = re.compile(r"[\"']\s*(?:\+|\.\.|\.|&|\\\r?\n)?\s*[\"']")
 #: One of these stands in every line that holds a credential (the last ones are issued prefixes).
@@ -228,8 +233,9 @@ class Finder:
                 continue
             if self._value(value, quoted=quoted):
                 add(begin, begin + len(value), "assigned")
-        if not found and (triggers := [t for t in _PROSE.finditer(line) if not _OTHER_KEYS.search(line, max(0, t.start() - 24), t.start())]):
-            found += self._prose(line, triggers)
+        if (triggers := [t for t in _PROSE.finditer(line) if not _OTHER_KEYS.search(line, max(0, t.start() - 24), t.start())]):
+            for span in self._prose(line, triggers):
+                add(*span)
         return found
 
     def _prose(self, line: str, triggers: list[re.Match[str]]) -> list[tuple[int, int, str]]:
@@ -267,9 +273,14 @@ class Finder:
         if at >= 0:
             for match in _PEM.finditer(text):
                 stop = _PEM_END.search(text, match.end())
-                body = text[match.end() : stop.start() if stop else len(text)]
-                if len(re.sub(r"[^A-Za-z0-9+/=]", "", body)) >= 32 and (stop is None or "-----BEGIN" not in body) and not re.search(r"\.\.\.|…|REDACTED|<[a-z -]+>", body):
-                    end = stop.end() if stop else match.end()
+                after = text.find("-----BEGIN", match.end())
+                if stop is None or 0 <= after < stop.start():
+                    end = _open_key(text, match.end(), after if after >= 0 else len(text))
+                    body = text[match.end() : end]
+                else:
+                    end = stop.end()
+                    body = text[match.end() : stop.start()]
+                if len(re.sub(r"[^A-Za-z0-9+/=]", "", body)) >= 32 and not re.search(r"\.\.\.|…|REDACTED|<[a-z -]+>", body):
                     blocks.append((match.start(), end))
                     found.append((text.count("\n", 0, match.start()) + 1, match.start(), end, "private key"))
         low = text.lower()
@@ -305,6 +316,25 @@ class Finder:
         return [span for span in spans if not any(b < span[1] and span[0] < e for b, e, _ in joined)] + joined
 
 
+def _open_key(text: str, begin: int, limit: int) -> int:
+    """Where the body of a private key without an END line ends, at most ``limit``; ``begin`` if there is none."""
+    end, lines = begin, 0
+    while True:
+        at = _KEY_GAP.match(text, end, limit).end()
+        if header := _KEY_HEADER.match(text, at, limit):
+            end = header.end()
+            continue
+        line = _KEY_LINE.match(text, at, limit)
+        if not line:
+            return end if lines else begin
+        part = line[0]
+        long = len(part) >= 16 and any(c.isupper() for c in part) and any(c.islower() for c in part)
+        last = lines and (part.endswith("=") or line.end() == limit or _mixed(part)) and _KEY_LINE_END.match(text, line.end(), limit)
+        if not (long or last):
+            return end if lines else begin
+        end, lines = line.end(), lines + 1
+
+
 def _like_a_name(literal: str) -> bool:
     """Whether a literal is made of words as names are, of at least 3.5 letters each on average."""
     if not _IDENTIFIER.match(literal):

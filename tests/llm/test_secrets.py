@@ -110,3 +110,24 @@ def test_one_dictionary(spark, data, monkeypatch):
     for query in (queries.p1_found, queries.p1_redacted, queries.p1_flags):
         query(spark, data)
     assert seen[0] == seen[1] == seen[2] and len(seen[0]) > 0
+
+
+def test_prose_beside_an_assignment(finder):
+    text = f"DB_PASSWORD={RANDOM}, the deploy token is {RANDOM[::-1]}7xYq since today"
+    found = finder.find(text)
+    assert len(found) == 2
+    assert S.redact(text, found) == "DB_PASSWORD=********, the deploy token is ******** since today"
+
+
+@pytest.mark.parametrize("lead", ["", "  ", "> "])
+def test_private_key_without_end(finder, lead):
+    head, one, two, _ = KEY.split("\n")
+    body = f"{lead}{head}\n{lead}{one}aB3dE5fG7h\n{lead}{two}\n{lead}qZ4="
+    text = f"{body}\n{lead}the log ends here\n"
+    found = finder.find(text)
+    clean = S.redact(text, found)
+    assert [f[0] for f in found] == [1] and one not in clean and two not in clean and "qZ4" not in clean
+    assert clean.endswith(f"\n{lead}the log ends here\n") and clean.count("\n") == text.count("\n")
+    both = text + KEY
+    assert [f[0] for f in finder.find(both)] == [1, 6] and "Q2mZ" not in S.redact(both, finder.find(both))
+    assert finder.find(f"{head}\nis the first line of a key in the repository documentation\n") == []
