@@ -25,6 +25,13 @@ def _fixture(how, id: int | None = None):  # noqa: A002, ANN001, ANN202
     return query
 
 
+def _outputs(how):  # noqa: ANN001, ANN202
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return _runs(spark, d).select("run_id", how(F.col("compressed_output"), MOST).alias("short"))
+
+    return query
+
+
 def search_prefixes(spark: SparkSession, d: str) -> DataFrame:
     """How many output lines name each file first."""
     line = _runs(spark, d).select(F.explode(L.lines(F.col("compressed_output"))).alias("line"))
@@ -54,17 +61,20 @@ QUERIES = {
     "compress_generic": lambda s, d: _runs(s, d).select("run_id", L.generic(F.col("compressed_output"), MOST).alias("short")),
     "compress_search": lambda s, d: _runs(s, d).select("run_id", L.search(F.col("compressed_output"), MOST).alias("short")),
     "compress_git": lambda s, d: load(s, d, "context_items", "item_id", "content").select("item_id", L.git(F.col("content"), MOST).alias("short")),
-    "compress_test": _fixture(L.test_output),
-    "compress_compiler": _fixture(L.compiler),
+    "compress_test": _outputs(L.test_output),
+    "compress_compiler": _outputs(L.compiler),
     "compress_linter": _fixture(L.linter),
     "compress_packages": _fixture(L.package_manager),
     "compress_formatter": _fixture(L.formatter),
-    "compress_dispatch": lambda s, d: LOGS.df(s).select("id", L.classify(F.col("command")).alias("kind"), L.compress(F.col("command"), F.col("raw"), MOST).alias("short")),
+    "compress_linter_runs": _outputs(L.linter),
+    "compress_packages_runs": _outputs(L.package_manager),
+    "compress_formatter_runs": _outputs(L.formatter),
+    "compress_dispatch": lambda s, d: _runs(s, d).select("run_id", L.classify(F.col("command")).alias("kind"), L.compress(F.col("command"), F.col("compressed_output"), MOST).alias("short")),
     "search_prefixes": search_prefixes,
     "diff_totals": diff_totals,
     "error_signature": lambda s, d: _runs(s, d).select("run_id", L.error_signature(F.col("compressed_output")).alias("signature")),
     "error_loops": error_loops,
-    "run_summary_line": lambda s, d: LOGS.df(s).select("id", L.summary_line(L.classify(F.col("command")), F.col("raw"), F.col("raw")).alias("summary")),
+    "run_summary_line": lambda s, d: _runs(s, d).select("run_id", L.summary_line(L.classify(F.col("command")), F.col("compressed_output"), F.col("compressed_output")).alias("summary")),
     "line_ratio": lambda s, d: _runs(s, d).select("run_id", L.line_ratio(F.col("raw_lines"), F.col("compressed_lines")).alias("ratio")),
     "bounded_output": lambda s, d: load(s, d, "context_items", "item_id", "content").select("item_id", F.octet_length(L.bounded(F.repeat(F.col("content"), 50))).alias("bytes")),
     "relevant_test_errors": lambda s, d: _runs(s, d).select("run_id", F.size(L.test_errors(F.col("compressed_output"))).alias("errors"), F.array_join(F.array_sort(L.file_hints(F.col("compressed_output"))), ",").alias("files")),

@@ -242,3 +242,11 @@ def test_large_baskets_are_joined(spark):
     rng = random.Random(2)
     df = spark.createDataFrame([(rng.randint(0, 5), f"f{rng.randint(0, 12)}") for _ in range(120)] + [(9, None)], "s int, f string")
     assert sorted(map(tuple, session.pairs(df, "s", "f", 3).collect())) == sorted(map(tuple, session.pairs(df, "s", "f").collect()))
+
+
+def test_log_queries_read_all_runs(spark, data):
+    from contextframe.plans import logs
+
+    runs = logs._runs(spark, data).count()
+    for name in ("compress_test", "compress_compiler", "compress_linter_runs", "compress_packages_runs", "compress_formatter_runs", "compress_dispatch", "run_summary_line"):
+        assert logs.QUERIES[name](spark, data).count() == runs, name
