@@ -1,17 +1,25 @@
 """Credentials embedded in source code, configuration, logs and prose.
 
-A literal counts as a credential by where it stands and by what is left of it. Viterbi
-segmentation explains as much of it as it can by dictionary words; what no word explains is
-its residual. Near a context that assigns, sends or names a credential, a literal with a
-long residual is one. Placeholders, references to variables and vaults, names, known hash
-formats in hash contexts, public keys and blobs are none.
+All places of a text on which a credential's value can stand are collected: assignments, also
+with the value in the next line or in several strings, forms of their own (URLs, headers,
+flags, logins, elements, calls), issued keys by their prefix, and literals of sentences that
+speak of a credential. Viterbi segmentation then explains as much of each value as it can by
+dictionary words; what no word explains is its residual, and a value with a long residual is
+a credential. Only private keys have a form that needs no such test.
+
+Placeholders, references to variables and vaults, names, paths, ids, public keys, blobs,
+formats of password hashes, digests that are named as such and digests of nothing are none.
+Hexadecimal digits of a digest's length in a credential's own place are one, because keys
+are often written so.
 
 The dictionary is counted over all rows and whole texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +35,10 @@ from pyspark.sql import functions as F
 SHARE_ROWS, LEAST_ROWS = 4_000, 4
 #: Unexplained characters that make a literal a credential near a context, and in running text.
 RESIDUAL, RESIDUAL_PROSE = 3, 7
+#: Those of a place that holds nothing but credentials and of words joined to digits, of letters of one case, and of a pass phrase.
+RESIDUAL_STRONG, RESIDUAL_PLAIN, RESIDUAL_PHRASE = 2, 10, 6
+#: Least characters of a literal, and in running text; most words of a pass phrase.
+LEAST_CHARS, LEAST_PROSE, PHRASE_WORDS = 6, 10, 8
 MASK = "********"
 
 #: Words for credentials in code and in the languages of the texts.
@@ -68,33 +80,40 @@ _BUILT_SHORT = re.compile(r"^[A-Z][a-z]{2,}[-_.!][a-z]{3,}\d{2,}[^\s/:@]{0,2}$")
 _TIME = re.compile(r"^\d{4}-\d\d-\d\d(?:[T ].*)?$|^[\d:.,+-]+Z?$|^v?\d+(?:\.\d+)+\S{0,8}$")
 _HEX = re.compile(r"^(?:[0-9a-f]{7,8}|[0-9a-f]{16}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})$")
 
-_ASSIGNED = re.compile(
-    r"""(?:pass|pwd|pw|secret|token|key|cred|auth|kennwort|geheimnis|schlüssel|contraseña|clave|senha|chave|segredo|wachtwoord|sleutel|geheim|парол|ключ|секрет|токен|密码|密钥|口令|令牌)[\w.\-]*
-    ["'`\]]{0,2}[ \t]{0,3}(?::=|=>|==?|:|：|＝)[ \t]{0,3}(?:[bruf]{1,2}(?=["']))?
-    (?:"(?P<d>(?:[^"\\\n]|\\.)*)"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<t>[^`\n]*)`|«\s?(?P<f>[^»\n]*?)\s?»|(?P<u>[^\s"'`,;<>«»]+))""",
-    re.I | re.X,
-)
-_NAME_BEFORE = re.compile(r"[\w.\-]*$")
-#: Places that hold a credential whatever it looks like, if it is no placeholder.
-_STRONG = re.compile(r"(?i)(?:pass\w*|pwd|secret\w*|token|key|пароль|contraseña|kennwort|passwort)[\"']?[ \t]*[:=：][ \t]*[\"']?[^\s\"'${<]{8}|://[^\s/:@]+:[^\s/@]+@|-u \S+:|\bA[KS]IA[A-Z]|_credentials?\(|creds?:|\blogin\b|</pass")
-#: Only a line with one of these can hold a literal that no words explain.
-_ODD = re.compile(r"[A-Za-z][-_.!*+/~^%$#@&]?[0-9]|[0-9][-_.!*+/~^%$#@&]?[A-Za-z]|[a-z][A-Z]{1,3}[a-z]?[A-Z]|[A-Z]{2,}[a-z]|[a-z][-_!*+/~][A-Z]|[A-Z][-_!*+/~][a-z]|[A-Za-z][!*#$%^~&]+[A-Za-z0-9]")
+#: A name with what assigns to it; the name begins where no other could, so that no text is read twice.
+_ASSIGNED = re.compile(r"(?<![\w.\-])(?P<name>[\w.\-]++)(?:\\*+[\"'`]\]?|\])?+(?:[ \t]++string)?[ \t]*+(?::=|=>|==?|:|：|＝)[ \t]*+(?:(?:&(?:'\w++ )?)?[A-Za-z_][\w.\[\]<>:]*+(?:[ \t]*+\|[ \t]*+None)?[ \t]++=(?![=>])[ \t]*+)?")
+#: A name and its value in two fields of one entry.
+_PAIR = re.compile(r"(?i)\b(?:name|key)[\"']?[ \t]*+[:=][ \t]*+[\"']?(?P<name>[\w.\-]++)[\"']?,?\s*+[\"']?value[\"']?[ \t]*+[:=][ \t]*+")
+#: Ways to begin a literal, a literal in quotes, and one without.
+_OPENED = re.compile(r"(?:(?:String::from|Some|str)\()?(?:[bruf]{1,2}(?=[\"']))?")
+_QUOTED = re.compile(r"\"(?P<d>(?:[^\"\\\n]|\\.)*+)\"|'(?P<s>(?:[^'\\\n]|\\.)*+)'|`(?P<t>[^`\n]*+)`|«\s?(?P<f>[^«»\n]*+)»|\\+\"(?P<e>[^\"\\\n]*+)\\+\"|\\+'(?P<g>[^'\\\n]*+)\\+'")
+_BARE = re.compile(r"[^\s\"'`,;<>«»]+")
+_BARE_ON = re.compile(r"[,;](?![\w.\-]+[\"']?[ \t]*[:=])(?P<v>[^\s\"'`,;<>«»]{4,})")
+#: What joins the quoted parts of one literal: on a line, over a line's end, and within brackets by the line's end alone.
+_JOINED = re.compile(r"([\"'][ \t]*(?:(?:\+|\.\.?|&)?[ \t]*|\\\r?\n[ \t]*|(?:\+|\.\.?|&)[ \t]*\r?\n[ \t]*|\r?\n[ \t]*(?:\+|\.\.?|&)[ \t]*)[\"'])")
+_JOINED_LINES = re.compile(r"([\"'][ \t]*(?:\+|\.\.?|&)?[ \t]*\r?\n[ \t]*(?:\+|\.\.?|&)?[ \t]*[\"'])")
+_JOINED_ANY = re.compile(f"{_JOINED.pattern}|{_JOINED_LINES.pattern}")
+#: What may stand after an assignment whose value is in the next line, and before a value there.
+_NEXT = re.compile(r"[|>][-+\d]{0,2}[ \t]*\r?$|[(\[{\\]?[ \t]*\r?$", re.M)
+_NEXT_LEAD = re.compile(r"\s*+(?:[-*>#][ \t]++|//[ \t]*+)*+(?:[\"']?(?:value|data|default|string|text|literal)[\"']?[ \t]*+[:=][ \t]*+)?")
 _SCHEMES = [
-    ("url", ("://",), re.compile(r"(?i)\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"'<>]*:(?P<v>[^\s/@\"'<>]+)@")),
-    ("url", ("=",), re.compile(r"(?i)[?&;](?:access_token|api_?key|apikey|auth|token|secret|client_secret|password|passwd|pwd|sig|signature|key)=(?P<v>[^\s&#\"'<>]+)")),
-    ("header", ("bearer", "basic"), re.compile(r"(?i)\b(?:bearer|basic)[ \t]+(?P<v>[\w+/=.~!*-]{8,})")),
-    ("header", ("authorization",), re.compile(r"(?i)\bauthorization[\"']?\s*[:=]\s*[\"']?(?:token|apikey|digest)[ \t]+(?P<v>[\w+/=.~-]{8,})")),
-    ("header", ("x-",), re.compile(r"(?i)\bx-[\w-]*(?:key|token|secret|auth)[\w-]*[\"']?\s*:\s*[\"']?(?P<v>[^\s\"',]{8,})")),
-    ("flag", ("-u",), re.compile(r"(?i)(?:^|\s)(?:-u|--user(?:name)?)[ =][\"']?[\w.@-]+:(?P<v>[^\s\"']+)")),
-    ("flag", ("-",), re.compile(r"(?i)(?:^|\s)--?(?:[a-z-]*pass(?:word|wd|phrase)?|[a-z-]*token|[a-z-]*secret|api-key)[ =][\"']?(?P<v>[^\s\"']+)")),
-    ("flag", ("mysql",), re.compile(r"(?i)\bmysql\w*\b.*?\s-p(?P<v>[^\s\"'-][^\s\"']*)")),
-    ("login", ("login",), re.compile(r"(?i)\blogin[ \t:=]+\S+[ \t]+pass(?:word)?[ \t:=]+[\"']?(?P<v>[^\s\"']+)")),
-    ("login", ("cred",), re.compile(r"(?i)\bcre(?:ds|dentials)[ \t]*[:=][ \t]*[\w.@-]+[ \t]*[/:|,][ \t]*[\"'`]?(?P<v>[^\s\"'`,;]+)")),
-    ("login", ("identified",), re.compile(r"(?i)\bidentified\s+by\s+[\"'](?P<v>[^\"'\n]+)[\"']")),
-    ("element", ("</",), re.compile(r"(?i)<(?:[\w:]*(?:password|passwd|secret|token|apikey|api-key|passphrase|credential)[\w]*)>\s*(?P<v>[^<\n]+?)\s*</")),
-    ("call", ("(",), re.compile(r"(?i)\b\w*(?:credential|auth|login|password|secret|token|connect|client)\w*(?:::\w+|\.\w+)?\((?:[^()\n]*?,)?\s*[\"'](?P<v>[^\"'\s]{8,})[\"']\s*\)")),
-    ("hook", ("hook",), re.compile(r"(?i)https?://hooks?\.[^\s/\"'<>]+/(?:services|workflows|triggers)/(?P<v>[\w-]+/[\w-]+/[A-Za-z0-9]{12,})")),
+    ("url", "url", re.compile(r"(?i)(?<![a-z0-9+.-])[a-z0-9+.-]*+://[^\s/:@\"'<>]*+:(?P<v>[^\s/@\"'<>]++)@")),
+    ("url", "query", re.compile(r"(?i)[?&;](?:access_token|api_?key|apikey|auth|token|secret|client_secret|password|passwd|pwd|sig|signature|key)=(?P<v>[^\s&#\"'<>]++)")),
+    ("header", "name", re.compile(r"(?i)\b(?:bearer|basic)[ \t]++(?P<v>[\w+/=.~!*-]{8,})")),
+    ("header", "name", re.compile(r"(?i)\bauthorization[\"']?[ \t]*+[:=][ \t]*+[\"']?(?:token|apikey|digest)[ \t]++(?P<v>[\w+/=.~-]{8,})")),
+    ("header", "name", re.compile(r"(?i)(?<![\w-])(?=x-[\w-]*?(?:key|token|secret|auth))[\w-]++[\"']?[ \t]*+:[ \t]*+[\"']?(?P<v>[^\s\"',]{8,})")),
+    ("flag", "user", re.compile(r"(?i)(?<!\S)(?:-u|--user(?:name)?)[ =][\"']?[\w.@-]++:(?P<v>[^\s\"']++)")),
+    ("flag", "name", re.compile(r"(?i)(?<!\S)--?(?:[a-z-]*pass(?:word|wd|phrase)?|[a-z-]*token|[a-z-]*secret|api-key)[ =][\"']?(?P<v>[^\s\"']++)")),
+    ("login", "name", re.compile(r"(?i)\blogin[ \t:=]++[^\s:=]++\s++pass(?:word)?[ \t:=]++[\"']?(?P<v>[^\s\"']++)")),
+    ("login", "name", re.compile(r"(?i)\bcre(?:ds|dentials)[ \t]*+[:=][ \t]*+[\w.@-]++[ \t]*+[/:|,][ \t]*+[\"'`]?(?P<v>[^\s\"'`,;]++)")),
+    ("login", "identified", re.compile(r"(?i)\bidentified[ \t]++by[ \t]++[\"'](?P<v>[^\"'\n]++)[\"']")),
+    ("element", "name", re.compile(r"(?i)<(?=[\w:]*?(?:password|passwd|secret|token|apikey|passphrase|credential)|[\w:-]*?api-key)[\w:-]++>[ \t]*+(?P<v>[^<\n]++)</")),
+    ("call", "call", re.compile(r"(?i)(?<![\w.:])(?P<call>[\w.:]++)\((?:[^()\n\"']*+(?:\"[^\"()\n]*+\"|'[^'()\n]*+')?+,)*+[ \t]*+[\"'](?P<v>[^\"'\s]{8,})[\"'][ \t]*+\)")),
+    ("hook", "hook", re.compile(r"(?i)https?://hooks?\.[^\s/\"'<>]++/(?:services|workflows|triggers)/(?P<v>[\w-]++/[\w-]++/[A-Za-z0-9]{12,})")),
 ]
+_CALL = re.compile(r"(?i)(?:credential|auth|login|password|secret|token|connect|client)\w*(?:(?:::|\.)\w+)?$")
+_MYSQL = re.compile(r"(?i)\bmysql")
+_MYSQL_FLAG = re.compile(r"(?<!\S)-p[\"']?(?P<v>[^\s\"'-][^\s\"']*)")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 #: What stands between the lines of a key and before them, the headers of a key, and a line of its body.
@@ -103,9 +122,24 @@ _KEY_HEADER = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):
 _KEY_LINE = re.compile(r"[A-Za-z0-9+/]+={0,2}(?=\\[rn]|[\s\"'`,;)\]}<…\\]|\.\.\.|\Z)")
 _KEY_LINE_END = re.compile(r"[ \t\r\"'`,;+]*(?:\\[rn]|\n|\\|…|\.\.\.|\Z)")
 _CHUNK = re.compile(r"[^\s\"'`<>(){}\[\],;«»“”„‘’、，。：；（）]+")
-_JOINED = re.compile(r"[\"']\s*(?:\+|\.\.|\.|&|\\\r?\n)?\s*[\"']")
-#: One of these stands in every line that holds a credential (the last ones are issued prefixes).
-_TRIGGERS = ("pass", "pwd", "pw ", "pw:", "pw=", "secret", "token", "key", "cred", "auth", "bearer", "basic ", "://", " -u ", "curl -u", "identified by", "kennwort", "geheim", "schlüssel", "contraseñ", "clave", "jeton", "clé", "senha", "chave", "segredo", "wachtwoord", "sleutel", "парол", "ключ", "секрет", "токен", "密码", "密钥", "口令", "令牌", "凭证", "akia", "asia", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat", "glpat-", "sk-", "sk_", "rk_", "xox", "aiza", "npm_", "pypi-", "hvs.", "sg.", "dop_v1", "eyj")
+#: Where a sentence ends.
+_SENTENCE = re.compile(r"[.!?。！？](?:\s|$)")
+#: What every place of a kind has on its line, in lower case; only there are patterns tried.
+_PREFIXES = "akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- sk- sk_live_ sk_test_ rk_live_ rk_test_ xoxa- xoxb- xoxp- xoxr- xoxs- aiza npm_ pypi- hvs. sg. dop_v1_ eyj".split()
+_KEYWORDS = {
+    "issued": _PREFIXES,
+    "name": ["pass", "pwd", "pw", "secret", "token", "key", "cred", "auth", "bearer", "basic", "login", "kennwort", "geheim", "schlüssel", "contraseñ", "clave", "mot de passe", "mot_de_passe", "jeton", "clé", "senha", "chave", "segredo", "palavra-passe", "wachtwoord", "sleutel", "парол", "ключ", "секрет", "токен", "密码", "密钥", "口令", "令牌", "凭证", "钥匙", "秘钥"],
+    "url": ["://"],
+    "query": ["token=", "key=", "auth=", "secret=", "password=", "passwd=", "pwd=", "sig=", "signature="],
+    "user": ["-u ", "-u=", "--user"],
+    "identified": ["identified"],
+    "call": ["credential", "auth", "login", "password", "secret", "token", "connect", "client"],
+    "hook": ["://hook"],
+    "mysql": ["mysql"],
+}
+#: Formats of password hashes and of digests with their name, and the digests of nothing.
+_DIGEST = re.compile(r"(?i)^(?:\$(?:2[abxy]?|[1567]|y|argon2\w*|pbkdf2[\w-]*|scrypt)\$|\{(?:S?SHA\d*|S?MD5|CRYPT)\}|pbkdf2_\w+\$|(?:sha|md)\d+[:-])")
+_EMPTY_DIGESTS = frozenset(hashlib.new(name).hexdigest() for name in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"))
 
 
 def learn_words(texts: list[str], least: int = LEAST_ROWS) -> frozenset[str]:
@@ -123,10 +157,15 @@ class Finder:
         self.words = words | {w for w in (*_NAMES, *_KEY_OF) if len(w) >= 4}
         self.longest = max(map(len, self.words), default=0)
         self.residual = lru_cache(maxsize=100_000)(self._residual)
-        self.triggers = ahocorasick.Automaton()
-        for trigger in _TRIGGERS:
-            self.triggers.add_word(trigger, len(trigger))
-        self.triggers.make_automaton()
+        self.named = lru_cache(maxsize=100_000)(self._named)
+        kinds: dict[str, set[str]] = {}
+        for kind, keywords in _KEYWORDS.items():
+            for keyword in keywords:
+                kinds.setdefault(keyword, set()).add(kind)
+        self.keywords = ahocorasick.Automaton()
+        for keyword, of in kinds.items():
+            self.keywords.add_word(keyword, (len(keyword), tuple(of)))
+        self.keywords.make_automaton()
 
     def _residual(self, literal: str) -> int:
         """How many letters and digits of a literal the best cover by words leaves."""
@@ -143,23 +182,29 @@ class Finder:
 
     def _value(self, literal: str, *, quoted: bool, least: int = RESIDUAL, strong: bool = False) -> bool:
         """Whether a literal in a credential's place is one; a strong place takes names and short residuals too."""
-        if len(literal) < 6 or _PLACEHOLDER.match(literal) or _UUID.match(literal) or _TIME.match(literal):
+        if len(literal) < LEAST_CHARS or _PLACEHOLDER.match(literal) or _UUID.match(literal) or _TIME.match(literal):
+            return False
+        if _DIGEST.match(literal) or literal.lower() in _EMPTY_DIGESTS:
             return False
-        if any(c.isspace() for c in literal) or not literal.isascii():
+        digits, letters = sum(c.isdigit() for c in literal), sum(c.isalpha() for c in literal)
+        if any(c.isspace() for c in literal):  # a pass phrase: sentences have no numbers that no blank sets apart from letters
+            return quoted and least == RESIDUAL and 0 < digits and len(literal.split()) <= PHRASE_WORDS and not _SENTENCE.search(literal) and self.residual(literal) >= RESIDUAL_PHRASE
+        if not literal.isascii() and not (digits and any(c.isascii() and c.isalpha() for c in literal)):
             return False
         if _ISSUED.fullmatch(literal):
-            return True
-        digits, named = sum(c.isdigit() for c in literal), _like_a_name(literal)
+            return self.residual(literal) >= RESIDUAL
+        named = _like_a_name(literal)
         if strong:
             mixed = digits > 0 or (any(c.isupper() for c in literal) and any(c.islower() for c in literal))
-            return mixed and digits < len(literal) and not (named and not digits) and self.residual(literal) >= 2
+            if mixed:
+                return digits < len(literal) and not (named and not digits) and self.residual(literal) >= RESIDUAL_STRONG
         if not digits:
+            if not (any(c.isupper() for c in literal) and any(c.islower() for c in literal)):
+                return (quoted or strong) and letters == len(literal) and least == RESIDUAL and self.residual(literal) >= RESIDUAL_PLAIN
             if named or len(literal) < 8:
                 return False
             if not quoted and _CODE.match(literal):
                 return False
-            if not (any(c.isupper() for c in literal) and any(c.islower() for c in literal)):
-                return False
         elif digits == len(literal):
             return False
         if _PATH.match(literal) and not _mixed(literal):
@@ -167,7 +212,7 @@ class Finder:
         if not quoted and ("(" in literal or re.match(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+$|[A-Za-z_]\w*::", literal)) and not _BUILT.match(literal):
             return False
         if quoted and least == RESIDUAL and digits >= 2 and _BUILT_SHORT.match(literal):
-            return True
+            return self.residual(literal) >= RESIDUAL_STRONG
         if named and digits < 3 and len(re.findall(r"\d+", literal)) < 2:
             return False
         return self.residual(literal) >= least
@@ -189,131 +234,211 @@ class Finder:
                 return True
         return False
 
-    def line(self, line: str) -> list[tuple[int, int, str]]:
-        """(begin, end, kind) of each credential of a line."""
-        found: list[tuple[int, int, str]] = []
-        if not _ODD.search(line) and not _STRONG.search(line):
-            return found
-        low = line.lower()
-
-        def add(begin: int, end: int, kind: str) -> None:
-            if not any(b < end and begin < e for b, e, _ in found):
-                found.append((begin, end, kind))
-
-        for match in _ISSUED.finditer(line):
-            if not _PLACEHOLDER.match(match[0]) and self.residual(match[0]) >= RESIDUAL and not _BLOB.search(line[max(0, match.start() - 60) : match.start()]):
-                add(match.start(), match.end(), "issued")
-        for kind, gates, pattern in _SCHEMES:
-            if not any(gate in low for gate in gates):
-                continue
-            for match in pattern.finditer(line):
-                value = match["v"]
-                end = match.end("v")
-                if kind == "flag" or kind == "login":
-                    stripped = value.rstrip(".,;:)")
-                    end -= len(value) - len(stripped)
-                    value = stripped
-                if kind == "hook" or (self._value(value, quoted=True, strong=kind in ("url", "flag", "login", "element")) and not (kind == "call" and _HEX.match(value))):
-                    add(match.start("v"), end, kind)
-        for match in _ASSIGNED.finditer(line):
-            group = next(g for g in "dstfu" if match[g] is not None)
-            value, begin = match[group], match.start(group)
-            name = _NAME_BEFORE.search(line, max(0, match.start() - 80), match.start())[0] + re.match(r"[\w.\-]*", match[0])[0]
-            if not self._named(name):
-                continue
-            quoted = group != "u"
-            if not quoted:
-                stripped = value.rstrip(".,;:)")
-                value = stripped
-            if group in "ds" and (parts := _JOINED.match(line, begin + len(match[group]))):
-                rest = re.match(r"[^\"'\n]*", line[parts.end() :])
-                value_all = value + rest[0]
-                if self._value(value_all, quoted=True):
-                    add(begin, parts.end() + len(rest[0]), "assigned")
-                continue
-            if self._value(value, quoted=quoted):
-                add(begin, begin + len(value), "assigned")
-        if (triggers := [t for t in _PROSE.finditer(line) if not _OTHER_KEYS.search(line, max(0, t.start() - 24), t.start())]):
-            for span in self._prose(line, triggers):
-                add(*span)
+    def find(self, text: str) -> list[tuple[int, int, int, str]]:
+        """(line, begin, end, kind) of each credential of a text, in order; lines count from 1.
+
+        Every place on which a value stands is asked, the more certain kinds first; of places
+        that overlap the first one counts. Time is in proportion to the text.
+        """
+        spans = _Spans(_private_keys(text))
+        low = text.lower()
+        if len(low) != len(text):
+            low = "".join(lc if len(lc := c.lower()) == 1 else c for c in text)
+        lines: dict[str, list[tuple[int, int]]] = {}
+        issued: list[int] = []
+        ends: dict[str, int] = {}
+        begin, end = 0, -1
+        for last, (size, kinds) in self.keywords.iter(low):
+            if last >= end:
+                begin = text.rfind("\n", 0, last + 1) + 1
+                end = text.find("\n", last)
+                end = len(text) if end < 0 else end
+            for kind in kinds:
+                if kind == "issued":
+                    issued.append(last + 1 - size)
+                elif ends.get(kind, -1) < end:
+                    ends[kind] = end
+                    lines.setdefault(kind, []).append((begin, end))
+        for at in issued:
+            match = _ISSUED.match(text, at)
+            if match and not _PLACEHOLDER.match(match[0]) and self.residual(match[0]) >= RESIDUAL and not _BLOB.search(text[max(0, at - 60) : at].rpartition("\n")[2]):
+                spans.add(match.start(), match.end(), "issued")
+        for kind, keyword, pattern in _SCHEMES:
+            for begin, end in lines.get(keyword, ()):
+                if kind == "login":  # the parts of a login may stand on lines of their own
+                    after = text.find("\n", end + 1)
+                    end = len(text) if after < 0 else after
+                for match in pattern.finditer(text, begin, end):
+                    self._scheme(match, kind, spans)
+        for begin, end in lines.get("mysql", ()):
+            if first := _MYSQL.search(text, begin, end):
+                for match in _MYSQL_FLAG.finditer(text, first.end(), end):
+                    self._scheme(match, "flag", spans)
+        for begin, end in lines.get("name", ()):
+            named = [match.span() for match in _ASSIGNED.finditer(text, begin, end) if self.named(match["name"])]
+            for (_, at), (following, _) in zip(named, [*named[1:], (end, end)], strict=False):
+                self._assigned(text, at, end, following, spans)
+            after = text.find("\n", end + 1)
+            for match in _PAIR.finditer(text, begin, len(text) if after < 0 else after):
+                if match.start() < end and self.named(match["name"]):
+                    stop = text.find("\n", match.end())
+                    stop = len(text) if stop < 0 else stop
+                    self._assigned(text, match.end(), stop, stop, spans)
+        for begin, end in lines.get("name", ()):
+            self._prose(text, begin, end, spans)
+        found, line, counted = [], 1, 0
+        for begin, end, kind in spans.all():
+            line += text.count("\n", counted, begin)
+            counted = begin
+            found.append((line, begin, end, kind))
         return found
 
-    def _prose(self, line: str, triggers: list[re.Match[str]]) -> list[tuple[int, int, str]]:
-        """Literals of running text in a sentence that speaks of a credential."""
-        found = []
-        for match in _CHUNK.finditer(line):
+    def _scheme(self, match: re.Match[str], kind: str, spans: _Spans) -> None:
+        """The value of a place with a form of its own."""
+        value, begin = match["v"], match.start("v")
+        if kind == "element":
+            value = value.rstrip()
+        if kind in ("flag", "login"):
+            value = value.rstrip(".,;:)")
+        if kind == "hook":
+            held = self.residual(value.rpartition("/")[2]) >= RESIDUAL_PROSE
+        elif kind == "call":
+            held = bool(_CALL.search(match["call"])) and not _HEX.match(value) and self._value(value, quoted=True)
+        else:
+            held = self._value(value, quoted=True, strong=kind in ("url", "flag", "login", "element"))
+        if held:
+            spans.add(begin, begin + len(value), kind)
+
+    def _assigned(self, text: str, at: int, end: int, following: int, spans: _Spans) -> None:
+        """The value that begins at ``at``, or in the next line that is not blank where nothing else follows.
+
+        A value without quotes ends where the next credential's name begins.
+        """
+        within = False
+        if below := _NEXT.match(text, at):
+            within = text[at : at + 1] in "([{" and below.end() > at
+            lead = _NEXT_LEAD.match(text, below.end())
+            if text.startswith("\\", at):
+                lead = re.compile(r"\s*").match(text, below.end())
+            at = lead.end()
+            end = text.find("\n", at)
+            end = following = len(text) if end < 0 else end
+            if at >= end:
+                return
+        at = _OPENED.match(text, at, end).end()
+        if quoted := _QUOTED.match(text, at, end):
+            group = quoted.lastgroup
+            begin, stop, value = quoted.start(group), quoted.end(group), quoted[group].rstrip() if group == "f" else quoted[group]
+            if group == "f":
+                stop = begin + len(value)
+            kind = "assigned"
+            while group in "ds":
+                joint = (_JOINED.match(text, stop) or (within and _JOINED_LINES.match(text, stop))) or None
+                if joint is None:
+                    break
+                rest = re.compile(r"(?:[^\"'\\\n]|\\.)*").match(text, joint.end())
+                kind, value, stop = "joined", value + rest[0], rest.end()
+            if self._value(value, quoted=True):
+                spans.add(begin, stop, kind)
+            return
+        if text[at : at + 1] in ('"', "'", "`"):  # never closed
+            at += 1
+        bare = _BARE.match(text, at, following)
+        if not bare:
+            return
+        stop = bare.end()
+        while on := _BARE_ON.match(text, stop, following):
+            if not _mixed(on["v"]) or self.residual(on["v"]) < RESIDUAL:
+                break
+            stop = on.end()
+        value = text[at:stop].rstrip(".,;:)")
+        if below and text[stop:end].strip(" \t\r,;)"):
+            return  # a line of more than a value
+        if self._value(value, quoted=False):
+            spans.add(at, at + len(value), "assigned")
+
+    def _prose(self, text: str, begin: int, end: int, spans: _Spans) -> None:
+        """Literals of running text in a sentence that speaks of a credential; a sentence that ends its line with a colon goes on below."""
+        triggers = [t.span() for t in _PROSE.finditer(text, begin, end) if not _OTHER_KEYS.search(text, max(begin, t.start() - 24), t.start())]
+        if not triggers:
+            return
+        stops = [m.start() for m in _SENTENCE.finditer(text, begin, end)]
+        if text[begin:end].rstrip().endswith((":", "：")) and not any(stop >= triggers[-1][1] for stop in stops):
+            below = _NEXT_LEAD.match(text, end).end()
+            line_end = text.find("\n", below)
+            line_end = len(text) if line_end < 0 else line_end
+            chunk = _CHUNK.search(text, below, line_end)
+            if chunk and not text[below : chunk.start()].strip("\"'`<([{ \t") and not text[chunk.end() : line_end].strip("\"'`>)]};., \t\r"):
+                end = line_end
+        starts = [s for s, _ in triggers]
+        for match in _CHUNK.finditer(text, begin, end):
             literal = match[0].rstrip(".:?…")
             if literal.startswith("*"):
                 literal = literal.strip("*")
-            if len(literal) < 10:
+            if len(literal) < LEAST_PROSE:
                 continue
-            begin = match.start() + match[0].index(literal)
-            near = [t for t in triggers if -120 <= t.start() - begin <= 140 and not (t.start() >= begin and t.end() <= begin + len(literal))]
+            here = match.start() + match[0].index(literal)
+            after = here + len(literal)
+            k = bisect_left(starts, here)
+            near = k > 0 and not _between(stops, triggers[k - 1][1], here)
+            if not near:
+                while k < len(triggers) and triggers[k][1] <= after:  # within the literal itself
+                    k += 1
+                near = k < len(triggers) and not _between(stops, after, triggers[k][0])
             if not near or not _mixed(literal) or not self._value(literal, quoted=True, least=RESIDUAL if _BUILT.match(literal) else RESIDUAL_PROSE):
                 continue
             if re.match(r"(?i)(?:sha|md)\d+[:-]|(?:ssh|ecdsa)-", literal) or "://" in literal or "=" in literal.rstrip("=") or "@" in literal or _PATH.match(literal) and literal.count("/") and "." in literal:
                 continue
             if literal.count("/") > 2 and not (len(literal) >= 32 and "." not in literal and self.residual(literal) * 10 >= 6 * len(literal)):
                 continue
-            before = line[max(0, begin - 60) : begin]
+            before = text[max(begin, here - 60) : here]
             if _BLOB.search(before) or _HASHES.search(before):
                 continue
-            between = [line[t.end() : begin] if t.start() < begin else line[begin + len(literal) : t.start()] for t in near]
-            if all(re.search(r"[.!?。！？](?:\s|$)|\n", gap) for gap in between):
-                continue
-            found.append((begin, begin + len(literal), "prose"))
-        return found
-
-    def find(self, text: str) -> list[tuple[int, int, int, str]]:
-        """(line, begin, end, kind) of each credential of a text, in order; lines count from 1."""
-        found: list[tuple[int, int, int, str]] = []
-        done = -1
-        blocks: list[tuple[int, int]] = []
-        at = text.find("PRIVATE KEY")
-        if at >= 0:
-            for match in _PEM.finditer(text):
-                stop = _PEM_END.search(text, match.end())
-                after = text.find("-----BEGIN", match.end())
-                if stop is None or 0 <= after < stop.start():
-                    end = _open_key(text, match.end(), after if after >= 0 else len(text))
-                    body = text[match.end() : end]
-                else:
-                    end = stop.end()
-                    body = text[match.end() : stop.start()]
-                if len(re.sub(r"[^A-Za-z0-9+/=]", "", body)) >= 32 and not re.search(r"\.\.\.|…|REDACTED|<[a-z -]+>", body):
-                    blocks.append((match.start(), end))
-                    found.append((text.count("\n", 0, match.start()) + 1, match.start(), end, "private key"))
-        low = text.lower()
-        if len(low) != len(text):
-            low = "".join(lc if len(lc := c.lower()) == 1 else c for c in text)
-        counted, lines = 0, 1
-        for last, _ in self.triggers.iter(low):
-            if last <= done:
-                continue
-            begin = text.rfind("\n", 0, last + 1) + 1
-            end = text.find("\n", last)
-            end = len(text) if end < 0 else end
-            done = end
-            if any(b <= begin and end <= e for b, e in blocks):
-                continue
-            line = text[begin:end]
-            spans = self.line(line)
-            if line.rstrip("\r ").endswith("\\"):
-                spans = self._continued(text, begin, end, line, spans)
-            if spans:
-                lines += text.count("\n", counted, begin)
-                counted = begin
-                for b, e, kind in spans:
-                    if not any(x <= begin + b < y for x, y in blocks):
-                        found.append((lines + line.count("\n", 0, b), begin + b, begin + e, kind))
-        return sorted(found, key=lambda x: x[1])
-
-    def _continued(self, text: str, begin: int, end: int, line: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        """A literal that goes on in the next line after a backslash."""
-        after = text.find("\n", end + 1)
-        both = line + text[end : len(text) if after < 0 else after]
-        joined = [span for span in self.line(both) if span[1] > len(line)]
-        return [span for span in spans if not any(b < span[1] and span[0] < e for b, e, _ in joined)] + joined
+            spans.add(here, after, "prose")
+
+
+class _Spans:
+    """Spans that do not overlap, in order."""
+
+    def __init__(self, first: list[tuple[int, int, str]]) -> None:
+        self.begins = [begin for begin, _, _ in first]
+        self.rest = [(end, kind) for _, end, kind in first]
+
+    def add(self, begin: int, end: int, kind: str) -> None:
+        k = bisect_left(self.begins, end)
+        if k and self.rest[k - 1][0] > begin:
+            return
+        self.begins.insert(k, begin)
+        self.rest.insert(k, (end, kind))
+
+    def all(self) -> list[tuple[int, int, str]]:
+        return [(begin, *rest) for begin, rest in zip(self.begins, self.rest, strict=True)]
+
+
+def _between(stops: list[int], begin: int, end: int) -> bool:
+    k = bisect_left(stops, begin)
+    return k < len(stops) and stops[k] < end
+
+
+def _private_keys(text: str) -> list[tuple[int, int, str]]:
+    """The private keys of a text, with or without their END line."""
+    if "PRIVATE KEY" not in text:
+        return []
+    found = []
+    stops = [m.span() for m in _PEM_END.finditer(text)]
+    heads = [m.start() for m in re.finditer("-----BEGIN", text)]
+    stop_at = [begin for begin, _ in stops]
+    for match in _PEM.finditer(text):
+        k, h = bisect_left(stop_at, match.end()), bisect_left(heads, match.end())
+        after = heads[h] if h < len(heads) else len(text)
+        if k == len(stops) or after < stops[k][0]:
+            end = _open_key(text, match.end(), after)
+            body = text[match.end() : end]
+        else:
+            end, body = stops[k][1], text[match.end() : stops[k][0]]
+        if len(re.sub(r"[^A-Za-z0-9+/=]", "", body)) >= 32 and not re.search(r"\.\.\.|…|REDACTED|<[a-z -]+>", body):
+            found.append((match.start(), end, "private key"))
+    return found
 
 
 def _open_key(text: str, begin: int, limit: int) -> int:
@@ -361,9 +486,10 @@ def redact(text: str, found: list[tuple[int, int, int, str]]) -> str:
         if kind == "private key":
             head, tail = _PEM.match(value), _PEM_END.search(value)
             body = value[head.end() : tail.start() if tail else len(value)]
-            kept.append(head[0] + re.sub(r"[A-Za-z0-9+/=:,.-]+", MASK, body) + (tail[0] if tail else ""))
-        elif parts := _JOINED.search(value):
-            kept.append(MASK + value[parts.start() : parts.end()] + MASK)
+            kept.append(head[0] + re.sub(r"(\\[rnt])|[A-Za-z0-9+/=:,.-]+", lambda m: m[1] or MASK, body) + (tail[0] if tail else ""))
+        elif kind == "joined":
+            joints = [m[0] for m in _JOINED_ANY.finditer(value)]
+            kept.append(MASK.join(["", *joints, ""]))
         else:
             kept.append(MASK)
         at = end
