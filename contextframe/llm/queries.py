@@ -154,8 +154,8 @@ HAVING sum(least(a.n, b.n)) * 10 >= greatest(la.n, lb.n) * 8
 
 _LEAKS = r"""
 WITH d AS (
-  SELECT doc_id, unnest([lower(text), regexp_replace(regexp_replace(lower(text), '<[^<>\n]{1,200}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});|\]\([^()\s]{1,300}\)', ' ', 'g'),
-    '(?m)^[ \t\r]*(?:(?:\d{1,7}[ \t]*[|:.)\]]|[>#*+|•–%;$-]+|//+|\d{1,7}[ \t])[ \t]*)+', ' ', 'g')]) AS t FROM documents),
+  SELECT doc_id, unnest([lower(text), regexp_replace(regexp_replace(lower(text), '<[^<>\n]*>|&(?:[a-zA-Z]+[0-9]*|#[0-9]+|#x[0-9a-f]+);|\]\([^()\s]*\)', ' ', 'g'),
+    '(?m)^[ \t\r]*(?:(?:\d+[ \t]*[|:.)\]]|[>#*+|•–%;$-]+|//+|\d+[ \t])[ \t]*)+', ' ', 'g')]) AS t FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(t, '[\p{L}\p{N}]+') AS w FROM d),
 i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
 x AS (SELECT doc_id, array_to_string(w[k:k + 15], ' ') AS run FROM w, unnest(range(1, len(w) - 14)) AS u(k) WHERE len(w) >= 16),

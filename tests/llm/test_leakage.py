@@ -30,6 +30,9 @@ def leaked(text):
         " ".join(f"**{w}**" for w in FIRST),
         " ".join(f"<b>{w}</b>&nbsp;" for w in FIRST),
         "\r\n".join("// " + w for w in FIRST),
+        " ".join(FIRST[:8]) + f'<a href="{"x" * 400}">' + " ".join(FIRST[8:]),
+        "[" + " ".join(FIRST[:8]) + "](" + "y" * 500 + ") " + " ".join(FIRST[8:]),
+        "\n".join(f"{k + 1234567890} | {w}" for k, w in enumerate(FIRST)),
     ],
 )
 def test_layouts(text):
@@ -67,3 +70,28 @@ def test_table(spark):
         assert sorted(tuple(r) for r in find_leaks(docs, items, block=block).collect()) == [(1, 7), (1, 10), (4, 7), (4, 10)]
     assert find_leaks(docs, items.limit(0)).count() == 0 and find_leaks(docs.limit(0), items).count() == 0
     assert re.match("word0", " ".join(FIRST))
+
+
+def test_automaton_of_many_items():
+    import time
+
+    rng = random.Random(5)
+    vocabulary = [f"v{k}" for k in range(20_000)]
+    text = " ".join(rng.choices(vocabulary, k=50_000))
+    took = []
+    for n in (500, 5_000):
+        items = [(k, " ".join(rng.choices(vocabulary, k=200))) for k in range(n)]
+        began = time.perf_counter()
+        passages = Passages(items, 16)
+        built = time.perf_counter() - began
+        assert built < 10
+        began = time.perf_counter()
+        assert passages.items(text + " " + " ".join(items[7][1].split()[90:106])) == {7}
+        took.append(time.perf_counter() - began)
+    assert took[1] < 4 * took[0] + 0.2
+
+
+def test_a_run_over_and_over():
+    text = " ".join(["same"] * 4_000)
+    passages = Passages([(1, " ".join(["same"] * 100)), (2, " ".join(["same"] * 15))], 16)
+    assert passages.items(text) == {1}
