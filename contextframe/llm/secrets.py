@@ -81,7 +81,11 @@ _TIME = re.compile(r"^\d{4}-\d\d-\d\d(?:[T ].*)?$|^[\d:.,+-]+Z?$|^v?\d+(?:\.\d+)
 _HEX = re.compile(r"^(?:[0-9a-f]{7,8}|[0-9a-f]{16}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})$")
 
 #: A name with what assigns to it; the name begins where no other could, so that no text is read twice.
-_ASSIGNED = re.compile(r"(?<![\w.\-])(?P<name>[\w.\-]++)(?:\\*+[\"'`]\]?|\])?+(?:[ \t]++string)?[ \t]*+(?::=|=>|==?|:|：|＝)[ \t]*+(?:(?:&(?:'\w++ )?)?[A-Za-z_][\w.\[\]<>:]*+(?:[ \t]*+\|[ \t]*+None)?[ \t]++=(?![=>])[ \t]*+)?")
+_ASSIGNED = re.compile(r"(?<![\w.\-])(?P<name>[\w.\-]++)(?:\\*+[\"'`]\]?|\])?+(?:[ \t]++string)?[ \t]*+(?::=|=>|==?|:|：|＝)[ \t]*+")
+#: The type between a name's colon and what assigns to it.
+_TYPED = re.compile(r"(?:&(?:'\w++ )?)?[A-Za-z_][\w.\[\]<>:]*+(?:[ \t]*+\|[ \t]*+None)?[ \t]++=(?![=>])[ \t]*+")
+#: What may stand between a name and the value that it names.
+_USED = re.compile(r"(?i)[\w.\-]*+[\"'`\]\\]*+[ \t]*+[:=：>]*+[ \t]*+(?:(?:bearer|basic|token)[ \t]++)?[\"'`\\]*+")
 #: A name and its value in two fields of one entry.
 _PAIR = re.compile(r"(?i)\b(?:name|key)[\"']?[ \t]*+[:=][ \t]*+[\"']?(?P<name>[\w.\-]++)[\"']?,?\s*+[\"']?value[\"']?[ \t]*+[:=][ \t]*+")
 #: Ways to begin a literal, a literal in quotes, and one without.
@@ -122,8 +126,9 @@ _KEY_HEADER = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):
 _KEY_LINE = re.compile(r"[A-Za-z0-9+/]+={0,2}(?=\\[rn]|[\s\"'`,;)\]}<…\\]|\.\.\.|\Z)")
 _KEY_LINE_END = re.compile(r"[ \t\r\"'`,;+]*(?:\\[rn]|\n|\\|…|\.\.\.|\Z)")
 _CHUNK = re.compile(r"[^\s\"'`<>(){}\[\],;«»“”„‘’、，。：；（）]+")
-#: Where a sentence ends.
+#: Where a sentence ends, and where the part of it ends that speaks of one thing: with the braces and brackets of data, too.
 _SENTENCE = re.compile(r"[.!?。！？](?:\s|$)")
+_APART = re.compile(r"[.!?。！？](?:\s|$)|[{}\[\]]")
 #: What every place of a kind has on its line, in lower case; only there are patterns tried.
 _PREFIXES = "akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- sk- sk_live_ sk_test_ rk_live_ rk_test_ xoxa- xoxb- xoxp- xoxr- xoxs- aiza npm_ pypi- hvs. sg. dop_v1_ eyj".split()
 _KEYWORDS = {
@@ -207,12 +212,13 @@ class Finder:
                 return False
         elif digits == len(literal):
             return False
+        if least == RESIDUAL and digits >= 2 and _BUILT_SHORT.match(literal):
+            member = not quoted and re.fullmatch(r"[\w.]+", literal)  # could be a value that code refers to
+            return self.residual(literal) >= (RESIDUAL if member else RESIDUAL_STRONG)
         if _PATH.match(literal) and not _mixed(literal):
             return False
         if not quoted and ("(" in literal or re.match(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+$|[A-Za-z_]\w*::", literal)) and not _BUILT.match(literal):
             return False
-        if quoted and least == RESIDUAL and digits >= 2 and _BUILT_SHORT.match(literal):
-            return self.residual(literal) >= RESIDUAL_STRONG
         if named and digits < 3 and len(re.findall(r"\d+", literal)) < 2:
             return False
         return self.residual(literal) >= least
@@ -277,6 +283,8 @@ class Finder:
         for begin, end in lines.get("name", ()):
             named = [match.span() for match in _ASSIGNED.finditer(text, begin, end) if self.named(match["name"])]
             for (_, at), (following, _) in zip(named, [*named[1:], (end, end)], strict=False):
+                if typed := _TYPED.match(text, at, end):
+                    at, following = typed.end(), end
                 self._assigned(text, at, end, following, spans)
             after = text.find("\n", end + 1)
             for match in _PAIR.finditer(text, begin, len(text) if after < 0 else after):
@@ -360,9 +368,10 @@ class Finder:
     def _prose(self, text: str, begin: int, end: int, spans: _Spans) -> None:
         """Literals of running text in a sentence that speaks of a credential; a sentence that ends its line with a colon goes on below."""
         triggers = [t.span() for t in _PROSE.finditer(text, begin, end) if not _OTHER_KEYS.search(text, max(begin, t.start() - 24), t.start())]
+        triggers = [t for t in triggers if not spans.named_by(text, t[1]) and not text.startswith("</", max(begin, t[0] - 2))]
         if not triggers:
             return
-        stops = [m.start() for m in _SENTENCE.finditer(text, begin, end)]
+        stops = [m.start() for m in _APART.finditer(text, begin, end)]
         if text[begin:end].rstrip().endswith((":", "：")) and not any(stop >= triggers[-1][1] for stop in stops):
             below = _NEXT_LEAD.match(text, end).end()
             line_end = text.find("\n", below)
@@ -411,6 +420,11 @@ class _Spans:
         self.begins.insert(k, begin)
         self.rest.insert(k, (end, kind))
 
+    def named_by(self, text: str, at: int) -> bool:
+        """Whether a name that ends at ``at`` names the next span."""
+        k = bisect_left(self.begins, at)
+        return k < len(self.begins) and self.rest[k][1] != "prose" and self.begins[k] - at <= 200 and bool(_USED.fullmatch(text, at, self.begins[k]))
+
     def all(self) -> list[tuple[int, int, str]]:
         return [(begin, *rest) for begin, rest in zip(self.begins, self.rest, strict=True)]
 
