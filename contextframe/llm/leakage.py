@@ -141,14 +141,18 @@ class Passages:
         return {item for reading in readings(text) for item, _, _ in self.runs(_WORDS.findall(reading))}
 
     def places(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, begin, end, words) of each longest passage in the original text."""
+        """(item, begin, end, words) of each passage in the original text that no other of its item holds."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for reading in readings(text):
             matches = list(_WORDS.finditer(reading))
             for item, first, last in self.runs([match[0] for match in matches]):
                 key = item, matches[first].start()
                 best[key] = max(best.get(key, (0, 0)), (matches[last].end(), last - first + 1))
-        return sorted((item, begin, end, words) for (item, begin), (end, words) in best.items())
+        kept: list[tuple[int, int, int, int]] = []
+        for (item, begin), (end, words) in sorted(best.items()):
+            if not (kept and kept[-1][0] == item and end <= kept[-1][2]):
+                kept.append((item, begin, end, words))
+        return kept
 
 
 def _scan(documents: DataFrame, key: str, text: str, items: list[tuple[int, str | None]], least: int, places: bool, alone: bool) -> DataFrame:
