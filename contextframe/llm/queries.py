@@ -54,7 +54,12 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many values each digest of problem 2 stands for."""
     events = load(spark, sf_dir, "token_events", "id", "tool", "category", "created_at", "savings_ratio", "saved_tokens")
-    return percentiles.event_digests(events).groupBy(*percentiles.KEYS).agg(F.sum("count").alias("n"))
+    return percentiles.event_digests(events).select(*percentiles.KEYS, F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c).alias("n"))
+
+
+def p2_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the true rank of each percentile of problem 2 is within the stated error."""
+    return percentiles.rank_checks(load(spark, sf_dir, "token_events", "id", "tool", "category", "created_at", "savings_ratio", "saved_tokens"))
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +127,7 @@ QUERIES = {
     "p1_flags": p1_flags,
     "p2_percentiles": p2_percentiles,
     "p2_counts": p2_counts,
+    "p2_ranks": p2_ranks,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p5_found": p5_found,
@@ -140,6 +146,17 @@ SELECT source_table, item_id FROM (
 WHERE length(t) > 2048 OR len(regexp_extract_all(t, '{word}')) > 384
 """
 
+_COUNTS = """
+WITH once AS (
+  SELECT DISTINCT id, tool, category, CAST(created_at AS DATE) AS day, savings_ratio, saved_tokens FROM token_events),
+v AS (
+  SELECT tool, category, day, 'savings_ratio' AS measure, savings_ratio AS value FROM once WHERE savings_ratio IS NOT NULL AND NOT isnan(savings_ratio)
+  UNION ALL SELECT tool, category, day, 'saved_tokens', saved_tokens FROM once WHERE saved_tokens IS NOT NULL)
+SELECT 'tool' AS grouping, tool AS member, measure, count(*) AS n{right} FROM v GROUP BY tool, measure
+UNION ALL SELECT 'category', category, measure, count(*){right} FROM v GROUP BY category, measure
+UNION ALL SELECT 'day', CAST(day AS VARCHAR), measure, count(*){right} FROM v WHERE day IS NOT NULL GROUP BY day, measure
+"""
+
 _NEAR = r"""
 WITH w AS (
   SELECT id, word, count(*) AS n FROM (
@@ -166,15 +183,7 @@ SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (run)
 SQL = {
     "p7_found": _LEAKS,
     "p5_found": _NEAR,
-    "p2_counts": """
-WITH once AS (
-  SELECT DISTINCT id, tool, category, CAST(created_at AS DATE) AS day, savings_ratio, saved_tokens FROM token_events),
-v AS (
-  SELECT tool, category, day, 'savings_ratio' AS measure, savings_ratio AS value FROM once WHERE savings_ratio IS NOT NULL AND NOT isnan(savings_ratio)
-  UNION ALL SELECT tool, category, day, 'saved_tokens', saved_tokens FROM once WHERE saved_tokens IS NOT NULL)
-SELECT 'tool' AS grouping, tool AS member, measure, count(*) AS n FROM v GROUP BY tool, measure
-UNION ALL SELECT 'category', category, measure, count(*) FROM v GROUP BY category, measure
-UNION ALL SELECT 'day', CAST(day AS VARCHAR), measure, count(*) FROM v WHERE day IS NOT NULL GROUP BY day, measure
-""",
+    "p2_counts": _COUNTS.replace("{right}", ""),
+    "p2_ranks": _COUNTS.replace("{right}", ", true AS \"right\""),
     "p3_found": _OVERSIZED.replace("{word}", _WORD),
 }

@@ -65,9 +65,27 @@ def test_merging_days_gives_the_union(spark):
 def test_what_counts(spark):
     rows = [("a", "t", "c", 1.0, 5), ("a", "t", "c", 1.0, 5), ("b", None, "c", float("nan"), 7), ("d", "t", None, None, None), (None, "t", "c", 3.0, 1), (None, "t", "c", 3.0, 1)]
     df = spark.createDataFrame(rows, "id string, tool string, category string, savings_ratio double, saved_tokens bigint").withColumn("created_at", F.lit("2025-01-01 10:00:00").cast("timestamp"))
-    n = {(r.grouping, r.member, r.measure): r.n for r in P.event_digests(df).groupBy("grouping", "member", "measure").agg(F.sum("count").alias("n")).collect()}
+    n = {(r.grouping, r.member, r.measure): r.n for r in P.event_digests(df).withColumn("n", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c)).collect()}
     assert n[("tool", "t", "savings_ratio")] == 3 and n[("tool", None, "saved_tokens")] == 1
     assert ("tool", None, "savings_ratio") not in n and n[("day", "2025-01-01", "saved_tokens")] == 4
     assert P.event_digests(df.limit(0)).count() == 0
     ends = df.select(F.lit("x").alias("g"), F.explode(F.array(F.lit(float("inf")), F.lit(-float("inf")), F.lit(1e300)))).limit(3)
-    assert P.digests(ends, ["g"], F.col("col")).agg(F.sum("count")).first()[0] == 3
+    assert sum(P.digests(ends, ["g"], F.col("col")).first().counts) == 3
+    assert {(r.grouping, r.member, r.measure): r.n for r in P.rank_checks(df).where("right").collect()} == n
+
+
+def test_names_of_percentiles(spark):
+    found = P.percentiles(P.digests(spark.range(1_000), ["id"], F.col("id")).where("id = 7"), ["id"], (0.5, 0.99, 0.999))
+    assert found.columns == ["id", "n", "p50", "p99", "p99_9", "rank_error"] and abs(found.first().p99_9 - 7) < 1e-3
+
+
+def test_a_hot_key_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(P, "FAN", 4)
+    df = spark.range(0, 60_000, 1, 40).select(F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 997).cast("string")).alias("g"), F.hash("id").alias("x"))
+    made = P.digests(df, ["g"], F.col("x"), 100)
+    hot = made.where("g = 'hot'").collect()
+    assert len(hot) == 1 and len(hot[0].nodes) <= 300 + P.LEVELS and sum(hot[0].counts) == 40_000
+    assert made.count() == df.select("g").distinct().count()
+    (row,) = P.percentiles(made.where("g = 'hot'"), ["g"], k=100).collect()
+    below = df.where((F.col("g") == "hot") & (F.col("x") < row.p90)).count()
+    assert abs(below - 36_000) <= row.rank_error + 1
