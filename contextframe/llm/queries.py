@@ -81,6 +81,15 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir)
 
 
+def p3_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the pieces of each item over 512 tokens are its text again, within the limit and linked."""
+    parts = []
+    for name, key, text in (("context_items", "item_id", "content"), ("file_summaries", "summary_id", "summary")):
+        items = load(spark, sf_dir, name, key, text)
+        parts.append(chunking.whole_again(chunking.split_oversized(items, key, text), items, key, text).withColumn("source_table", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of observations with 0.8 of the longer text's words in common."""
     return neardup.near_pairs(load(spark, sf_dir, "observations", "id", "text"))
@@ -130,6 +139,7 @@ QUERIES = {
     "p2_ranks": p2_ranks,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p3_whole": p3_whole,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_ids": p6_ids,
@@ -140,7 +150,7 @@ QUERIES = {
 }
 
 _OVERSIZED = """
-SELECT source_table, item_id FROM (
+SELECT source_table, item_id{right} FROM (
   SELECT 'context_items' AS source_table, item_id, content AS t FROM context_items
   UNION ALL SELECT 'file_summaries', summary_id, summary FROM file_summaries)
 WHERE length(t) > 2048 OR len(regexp_extract_all(t, '{word}')) > 384
@@ -185,5 +195,6 @@ SQL = {
     "p5_found": _NEAR,
     "p2_counts": _COUNTS.replace("{right}", ""),
     "p2_ranks": _COUNTS.replace("{right}", ", true AS \"right\""),
-    "p3_found": _OVERSIZED.replace("{word}", _WORD),
+    "p3_found": _OVERSIZED.replace("{word}", _WORD).replace("{right}", ""),
+    "p3_whole": _OVERSIZED.replace("{word}", _WORD).replace("{right}", ', true AS "whole", true AS "within", true AS "linked"'),
 }

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 import random
+import time
+from collections import Counter
+
+import numpy as np
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from contextframe.llm.chunking import Sizes, spans, split_oversized
+from contextframe.llm.chunking import Sizes, snapped, spans, split_oversized, whole_again
 
 
 def tokens(text):
@@ -52,12 +56,41 @@ def test_cuts_are_natural():
     assert all(text[end - 1] in "\n " for _, _, end in found[:-1])
 
 
+def _changed(text, edited):
+    before, after = ([t[c:e] for _, c, e in spans(t)] for t in (text, edited))
+    return len(Counter(before) - Counter(after)), len(Counter(after) - Counter(before))
+
+
 def test_an_edit_alters_only_neighbours():
     rng = random.Random(3)
-    text = " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) + ("." if rng.random() < 0.1 else "") for _ in range(20_000))
-    edited = text[:40_000] + "some inserted words here " + text[40_000:]
-    before, after = ({t[c:e] for _, c, e in spans(t)} for t in (text, edited))
-    assert len(before - after) <= 4 and len(after - before) <= 4
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    prose = " ".join(word() + ("." if rng.random() < 0.1 else "") for _ in range(20_000))
+    lines = "\n".join(",".join(word() for _ in range(6)) for _ in range(4_000))
+    for text in (prose, lines):
+        most = []
+        for _ in range(60):
+            at = rng.randrange(len(text))
+            for edited in (text[:at] + " some inserted words " + text[at:], text[:at] + text[at + 15 :], text[:at] + word() + text[at + 8 :]):
+                most.append(max(_changed(text, edited)))
+        assert sum(n > 2 for n in most) <= len(most) // 20 and max(most) <= 5, Counter(most)
+
+
+def test_landmarks_snap_to_the_nearest_boundary():
+    kinds = np.full(1_001, -1, np.int8)
+    kinds[::10] = 0
+    kinds[[100, 180, 700]] = [3, 1, 2]
+    assert snapped(np.array([132, 150, 445, 999]), kinds, 240).tolist() == [100, 180, 440, 1000]
+    assert snapped(np.array([5]), np.full(11, -1, np.int8), 240).tolist() == [5]
+
+
+def test_long_texts_take_time_in_proportion():
+    took = []
+    for n in (300_000, 1_200_000):
+        text = "some words and then more of them. " * (n // 34)
+        began = time.perf_counter()
+        spans(text)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 1
 
 
 def test_table(spark):
@@ -69,3 +102,4 @@ def test_table(spark):
     assert "".join(piece[skip:] for _, piece, skip in own) == "word " * 2_000
     assert all(r.tokens == tokens(r.piece) <= 512 for r in found)
     assert split_oversized(df.limit(0), "id", "t").count() == 0
+    assert [tuple(r) for r in whole_again(split_oversized(df.distinct(), "id", "t"), df.distinct(), "id", "t").collect()] == [(4, True, True, True)]
