@@ -1,23 +1,27 @@
-"""Near-duplicate records by an exact join in the metric space of word multisets.
+"""Near-duplicate records by an exact join of word multisets.
 
 Two texts are near-duplicates if the words they have in common, each counted as often as it
 occurs in both, are at least ``SHARE`` of the longer one. One minus that share is a metric
 of the Jaccard family; a text within the threshold of A lacks at most ``(1 - SHARE)`` of the
-longer one's words. The join goes through regions:
-
-- Each word (with its number of occurrence) is a pivot, and a text lies in the region of its
-  rarest word. The triangle inequality bounds how many of its rarest words a text within the
-  threshold can lack, so the text is copied to the regions of just as many next words. Two
-  near-duplicates then meet in a region.
-- A region with more than ``LEAF`` texts is split again, around pivots that are texts of the
-  region: a text goes to the nearest pivot and, as a visitor, to each pivot whose distance
-  is larger by no more than twice the threshold. Distances are those of bit maps of the
-  words, which are never larger than those of the texts. Where the windows would copy most
-  texts everywhere, the region is cut into blocks that meet pairwise instead.
-- Within a region, texts are compared in order of their length, the pairs that the bit maps
-  leave are counted exactly.
-
-Copies of a text form one class, which takes part in the join once.
+longer one's words. The join goes through regions, level by level:
+
+- The first level is prefix filtering: words have one order, the rarest first, and a text
+  lies in the region of each of its first words, one more than a near-duplicate can lack.
+  Two near-duplicates share the first word that both have, and meet in its region.
+- A region with more than ``LEAF`` texts is split around pivots, texts of the region: a text
+  goes to the nearest pivot and, as a visitor, to each pivot whose distance is larger by no
+  more than twice the threshold (the triangle inequality). Distances are those of bit maps of
+  the words, which are never larger than those of the texts.
+- Where that does not halve the comparisons, the region is split by a second shared word,
+  then a third and so on: texts within the threshold that share many words have the first of
+  them among as many more of their rarest words.
+- What no level splits are texts that share many words and lie near each other; these are
+  cut into blocks that meet pairwise.
+- Within a region, texts are compared in order of their length, and of the pairs that bit
+  maps leave, the words are counted exactly.
+
+Copies of a text form one class, which takes part in the join once; a class of very many
+copies is cut into blocks where pairs of rows are asked for.
 """
 
 from __future__ import annotations
@@ -32,16 +36,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contextframe.sources.tables import cut_lineage
+from contextframe.sources.tables import cut_lineage, drop_cut
 
 #: Least share of the longer text, in tenths, so that comparisons are exact.
 TENTHS = 8
-#: Texts in a region before it is split, pivots of a split, and levels of splits.
-LEAF, PIVOTS, LEVELS = 20_000, 8, 3
-#: Counters of the sketch of word frequencies: its size is what is broadcast.
-COUNTERS = 1 << 18
+#: Texts in a region before it is split, and pivots of a split.
+LEAF, PIVOTS = 20_000, 8
+#: Copies of a text that meet in one task, and tasks that number the copies of a text.
+COPIES, SALT = 1_000, 64
+#: Counters of the sketch of word frequencies: its size is what is broadcast, 4 MB.
+COUNTERS = 1 << 20
 _WORDS = re.compile(r"\w+")
-_BITS = 256
+#: Bits of a word map in regions, and of the one that candidates are asked again by.
+_BITS, _WIDE = 256, 1024
 
 
 def elements(text: str) -> np.ndarray:
@@ -76,75 +83,129 @@ def bags(texts: DataFrame) -> DataFrame:
 
 def frequencies(distinct: DataFrame) -> np.ndarray:
     """How many bags have a word, by COUNTERS counters that several words may share; never too small."""
-    counts = distinct.select(F.explode("elements").alias("e")).groupBy(F.pmod("e", F.lit(COUNTERS)).alias("slot")).count()
-    sketch = np.zeros(COUNTERS, np.int64)
-    rows = counts.toPandas()
-    sketch[rows["slot"].to_numpy(np.int64)] = rows["count"].to_numpy(np.int64)
+    counts = distinct.select(F.explode("elements").alias("e")).groupBy(F.pmod("e", F.lit(COUNTERS)).cast("int").alias("slot")).agg(F.least(F.count("*"), F.lit(2**31 - 1)).cast("int").alias("n"))
+    rows = counts.toArrow()
+    sketch = np.zeros(COUNTERS, np.int32)
+    sketch[rows["slot"].to_numpy()] = rows["n"].to_numpy()
     return sketch
 
 
-def bitmap(words: np.ndarray) -> np.ndarray:
+def bitmap(words: np.ndarray, bits: int = _BITS) -> np.ndarray:
     """The words' bits; the bits in which two maps differ are at most as many as the words in which the bags do."""
-    bits = np.zeros(_BITS, np.uint8)
-    np.bitwise_xor.at(bits, ((words.view(np.uint64) >> np.uint64(24)) % np.uint64(_BITS)).astype(np.int64), 1)
-    return np.packbits(bits).view(np.int64)
+    counts = np.bincount((words.view(np.uint64) >> np.uint64(24)).astype(np.int64) & (bits - 1), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
+def rarest(words: np.ndarray, count: np.ndarray, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words, rarest first, among which a near-duplicate has the first ``shared`` words in common, as far as another bag has them; and their places."""
+    n = len(words)
+    often = count[words % COUNTERS]
+    order = np.lexsort((words, often))[: n - -(-TENTHS * n // 10) + shared]
+    places = np.flatnonzero(often[order] > 1)  # a word that no other bag has leads to none
+    return words[order[places]], places
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+
+
+_MAPS = [f"b{b}" for b in range(_BITS // 64)]
+_REGION = "region bigint, class binary, n int, rank int, " + ", ".join(f"{b} bigint" for b in _MAPS)
 
 
 def regions(distinct: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(region, class, n, b0, b1, b2, b3): every bag in the region of each of its rarest words that a near-duplicate may lack, and one more."""
+    """(region, class, n, rank, b0, ...): every bag in the region of each of its rarest words that a near-duplicate may lack, and one more."""
     shared = distinct.sparkSession.sparkContext.broadcast(sketch)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = shared.value
         for batch in batches:
-            classes, texts = batch.column(0), batch.column(1)
-            values, offsets = texts.flatten().to_numpy(), np.concatenate([[0], np.cumsum(texts.value_lengths().to_numpy())])
-            region, row, sizes, maps = [], [], [], []
+            classes = batch.column(0)
+            values, offsets = _lists(batch.column(1))
+            region, ranks, sizes, maps = [], [], [], []
             for k in range(len(classes)):
                 words = values[offsets[k] : offsets[k + 1]]
-                n = len(words)
-                often = count[words % COUNTERS]
-                window = n - -(-TENTHS * n // 10) + 1
-                order = np.lexsort((words, often))[:window]
-                order = order[often[order] > 1]  # a word that no other bag has leads to none
-                region.append(words[order])
-                row.append(np.full(len(order), k))
-                sizes.append(n)
+                first, places = rarest(words, count, 1)
+                region.append(first)
+                ranks.append(places)
+                sizes.append(len(words))
                 maps.append(bitmap(words))
             if not region:
                 continue
-            which = np.concatenate(row)
+            which = np.repeat(np.arange(len(region)), [len(r) for r in region])
             bits = np.stack(maps)[which]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(region)), classes.take(pa.array(which)), pa.array(np.array(sizes, np.int64)[which]), *(pa.array(np.ascontiguousarray(bits[:, b])) for b in range(4))],
-                ["region", "class", "n", "b0", "b1", "b2", "b3"],
+                [pa.array(np.concatenate(region)), classes.take(pa.array(which)), pa.array(np.array(sizes, np.int32)[which]), pa.array(np.concatenate(ranks).astype(np.int32)), *(pa.array(np.ascontiguousarray(bits[:, b])) for b in range(len(_MAPS)))],
+                ["region", "class", "n", "rank", *_MAPS],
             )
 
-    return distinct.select("class", "elements").mapInArrow(spread, "region bigint, class binary, n bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
+    return distinct.select("class", "elements").mapInArrow(spread, _REGION)
+
 
+def _deeper(hot: DataFrame, distinct: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """Rows of large regions in the regions of one more shared word; ``parent`` is the region they come from.
+
+    Bags too short to share so many words with a near-duplicate of their length stay together as well.
+    """
+    shared = distinct.sparkSession.sparkContext.broadcast(sketch)
+    names = ["parent", "class", "n", "rank", *_MAPS, "home", "depth"]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = shared.value
+        for batch in batches:
+            get = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            values, offsets = _lists(get["elements"])
+            which, word, rank = [], [], []
+            for k, (own, depth) in enumerate(zip(get["rank"].to_pylist(), get["depth"].to_pylist(), strict=True)):
+                words = values[offsets[k] : offsets[k + 1]]
+                further, places = rarest(words, count, depth + 1)
+                later = places > own
+                which.append(np.full(int(later.sum()), k))
+                word.append(further[later])
+                rank.append(places[later])
+                if -(-TENTHS * len(words) // 10) <= depth:
+                    which.append(np.array([k]))
+                    word.append(np.array([0]))
+                    rank.append(np.array([own]))
+            if not which:
+                continue
+            at = np.concatenate(which).astype(np.int64)
+            take = pa.array(at)
+            columns = {name: get[name].take(take) for name in names}
+            columns["rank"] = pa.array(np.concatenate(rank).astype(np.int32))
+            columns["depth"] = pa.array(columns["depth"].to_numpy() + np.int32(1), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(word).astype(np.int64)), *columns.values()], ["word", *names])
 
-def split(found: DataFrame, leaf: int = LEAF, pivots: int = PIVOTS, levels: int = LEVELS) -> DataFrame:
-    """Regions of more than ``leaf`` bags split around pivots, level by level; adds ``home`` and ``block``.
+    schema = "word bigint, parent bigint, class binary, n int, rank int, " + ", ".join(f"{b} bigint" for b in _MAPS) + ", home boolean, depth int"
+    rows = hot.withColumnRenamed("region", "parent").select(*names).join(distinct.select("class", "elements"), "class")
+    return rows.select(*names, "elements").mapInArrow(spread, schema).withColumn("region", F.xxhash64("parent", "word", "depth")).drop("word")
+
+
+def split(found: DataFrame, distinct: DataFrame, sketch: np.ndarray, leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
+    """Regions of more than ``leaf`` bags split level by level until none is left; adds ``home`` and ``block``.
 
     Two bags of a region meet if at least one is at home and, in a pair of blocks, they are
-    not both of the same block.
+    not both of the same block. A split counts if it leaves at most half of the comparisons,
+    so its largest part is smaller by a third and the levels end.
     """
+    kept = ["region", "class", "n", *_MAPS, "home"]
     done = []
-    here = found.withColumn("home", F.lit(True)).withColumn("block", F.lit(-1))
-    for level in range(levels):
-        sizes = here.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > leaf)
-        large = cut_lineage(sizes)
+    here = found.withColumn("home", F.lit(True)).withColumn("depth", F.lit(1))
+    level = 0
+    while True:
+        large = cut_lineage(here.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > leaf))
         if large.isEmpty():
+            done.append(here.select(*kept, F.lit(-1).alias("block")))
             break
-        done.append(here.join(large, "region", "left_anti"))
-        hot = here.join(large, "region")
+        done.append(here.join(large, "region", "left_anti").select(*kept, F.lit(-1).alias("block")))
+        hot = cut_lineage(here.join(large, "region"))
         share = F.greatest(F.lit(1), F.floor(F.col("size") / F.lit(pivots))).cast("bigint")
         chosen = (
             hot.where(F.pmod(F.xxhash64("class", F.lit(level)), share) == 0)
             .groupBy("region")
-            .agg(F.slice(F.array_sort(F.collect_set(F.struct("b0", "b1", "b2", "b3"))), 1, 4 * pivots).alias("pivots"))
+            .agg(F.slice(F.array_sort(F.collect_set(F.struct(*_MAPS))), 1, 4 * pivots).alias("pivots"))
         )
-        distance = F.transform("pivots", lambda p: sum((F.bit_count(p[f"b{b}"].bitwiseXOR(F.col(f"b{b}"))) for b in range(1, 4)), F.bit_count(p["b0"].bitwiseXOR(F.col("b0")))))
+        distance = F.transform("pivots", lambda p: sum((F.bit_count(p[b].bitwiseXOR(F.col(b))) for b in _MAPS[1:]), F.bit_count(p[_MAPS[0]].bitwiseXOR(F.col(_MAPS[0])))))
         # twice the threshold: bags of n words differ from one within it in no more than 0.4 * n / 0.8 words
         near = (
             hot.join(chosen, "region", "left")
@@ -154,30 +215,39 @@ def split(found: DataFrame, leaf: int = LEAF, pivots: int = PIVOTS, levels: int
             .withColumn("own", F.array_position("d", F.col("least")) - 1)
         )
         copies = near.withColumn("goes", F.filter(F.transform("d", lambda d, i: F.when(d <= F.col("reach"), i)), lambda i: i.isNotNull()))
-        gain = cut_lineage(copies.groupBy("region").agg(F.sum(F.size("goes")).alias("copies"), F.first("size").alias("size"), F.max(F.size("d")).alias("cells")).where(F.col("copies") <= F.col("size") * F.col("cells") / 2).select("region"))
-        split_up = (
-            copies.join(gain, "region", "left_semi")
+        cells = copies.select("region", F.explode("goes").alias("cell")).groupBy("region", "cell").agg(F.count("*").alias("c"))
+        around = cut_lineage(_halved(cells, large, "region"))
+        parts = [
+            copies.join(around, "region", "left_semi")
             .select(F.explode("goes").alias("cell"), "*")
-            .select(F.xxhash64("region", F.lit(level), "cell").alias("region"), "class", "n", "b0", "b1", "b2", "b3", (F.col("home") & (F.col("cell") == F.col("own"))).alias("home"), "block")
-        )
+            .select(F.xxhash64("region", F.lit(level), "cell").alias("region"), "class", "n", "rank", *_MAPS, (F.col("home") & (F.col("cell") == F.col("own"))).alias("home"), "depth")
+        ]
+        rest = hot.join(around, "region", "left_anti")
+        words = cut_lineage(_deeper(rest, distinct, sketch))
+        worded = cut_lineage(_halved(words.groupBy("parent", "region").agg(F.count("*").alias("c")), large.withColumnRenamed("region", "parent"), "parent"))
+        parts.append(words.join(worded, "parent", "left_semi").select("region", "class", "n", "rank", *_MAPS, "home", "depth"))
         k = F.ceil(F.col("size") / F.lit(leaf)).cast("int") + 1
-        block = F.pmod(F.xxhash64("class"), F.col("k")).cast("int")
-        blocked = (
-            hot.join(gain, "region", "left_anti")
+        done.append(
+            rest.join(worded.withColumnRenamed("parent", "region"), "region", "left_anti")
             .withColumn("k", k)
-            .withColumn("own", block)
+            .withColumn("own", F.pmod(F.xxhash64("class"), F.col("k")).cast("int"))
             .select(F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"), "*")
-            .select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"), F.lit("block")).alias("region"), "class", "n", "b0", "b1", "b2", "b3", "home", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("block"))
+            .select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"), F.lit("block")).alias("region"), "class", "n", *_MAPS, "home", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("block"))
         )
-        done.append(blocked)
-        here = split_up
-    done.append(here)
+        here = cut_lineage(parts[0].unionByName(parts[1]))
+        level += 1
     result = done[0]
     for part in done[1:]:
         result = result.unionByName(part)
     return result
 
 
+def _halved(parts: DataFrame, large: DataFrame, key: str) -> DataFrame:
+    """The regions of which the parts, of ``c`` bags each, have at most half of the comparisons."""
+    work = parts.groupBy(key).agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("work"))
+    return work.join(large, key).where(F.col("work") <= F.col("size").cast("double") * F.col("size") / 2).select(key)
+
+
 class _Sweep:
     """Rows in order of region and length, compared with those before them while they come in."""
 
@@ -222,25 +292,44 @@ def candidates(found: DataFrame) -> DataFrame:
             get = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
             part = {
                 "region": get["region"].to_numpy(),
-                "n": get["n"].to_numpy(),
+                "n": get["n"].to_numpy().astype(np.int64),
                 "home": get["home"].to_numpy(zero_copy_only=False),
                 "block": get["block"].to_numpy(),
-                "bits": np.stack([get[f"b{b}"].to_numpy() for b in range(4)], 1).view(np.uint64),
+                "bits": np.stack([get[b].to_numpy() for b in _MAPS], 1).view(np.uint64),
                 "class": np.frombuffer(b"".join(get["class"].to_pylist()), "V16"),
             }
             a, b = state.take(part)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary())], ["a", "b"])
 
-    ordered = found.repartition("region").sortWithinPartitions("region", "n", "class").select("region", "class", "n", "b0", "b1", "b2", "b3", "home", "block")
+    ordered = found.repartition("region").sortWithinPartitions("region", "n", "class").select("region", "class", "n", *_MAPS, "home", "block")
     pairs = ordered.mapInArrow(sweep, "a binary, b binary").where("a <> b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def sketches(distinct: DataFrame) -> DataFrame:
+    """(class, n, wide): how many words a bag has, and its wide bit map."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, offsets = _lists(batch.column(1))
+            maps = [bitmap(values[offsets[k] : offsets[k + 1]], _WIDE) for k in range(batch.num_rows)]
+            wide = pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1) * (_WIDE // 64), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *maps])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int32)), wide], ["class", "n", "wide"])
+
+    return distinct.select("class", "elements").mapInArrow(read, "class binary, n int, wide array<bigint>")
+
+
 def class_links(distinct: DataFrame, leaf: int = LEAF) -> DataFrame:
     """(a, b, common, longer): every pair of classes at or over the threshold."""
     distinct = cut_lineage(distinct)
-    pairs = candidates(split(regions(distinct, frequencies(distinct)), leaf))
+    sketch = frequencies(distinct)
+    pairs = candidates(split(regions(distinct, sketch), distinct, sketch, leaf))
+    wide = sketches(distinct)
+    for end in ("a", "b"):
+        pairs = pairs.join(wide.select(F.col("class").alias(end), F.col("n").alias(f"n{end}"), F.col("wide").alias(f"w{end}")), end)
+    differ = sum((F.bit_count(F.col("wa")[k].bitwiseXOR(F.col("wb")[k])) for k in range(1, _WIDE // 64)), F.bit_count(F.col("wa")[0].bitwiseXOR(F.col("wb")[0])))
+    pairs = pairs.where((F.col("na") + F.col("nb") - differ) * 10 >= F.greatest("na", "nb") * 2 * TENTHS).select("a", "b")
     one = distinct.select(F.col("class").alias("a"), F.col("elements").alias("ea"))
     two = distinct.select(F.col("class").alias("b"), F.col("elements").alias("eb"))
     return (
@@ -258,17 +347,41 @@ def joined(df: DataFrame, key: str, text: str, leaf: int = LEAF) -> tuple[DataFr
     return members, class_links(bags(rows.groupBy("class").agg(F.first("text").alias("text"))), leaf)
 
 
-def near_pairs(df: DataFrame, key: str = "id", text: str = "text", leaf: int = LEAF) -> DataFrame:
+def near_pairs(df: DataFrame, key: str = "id", text: str = "text", leaf: int = LEAF, copies: int = COPIES) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of rows at or over the threshold, copies among them.
 
     Null texts and texts without words are near-duplicates of none. A key that several rows
-    have counts once with each of its texts. Other columns are not read.
+    have counts once with each of its texts. Other columns are not read. A class of more than
+    ``copies`` rows is cut into blocks of about as many, which meet pairwise, so that no task
+    has more rows of a class than two blocks.
     """
     members, links = joined(df, key, text, leaf)
-    one, two = members.select(F.col("id").alias("x"), F.col("class").alias("a")), members.select(F.col("id").alias("y"), F.col("class").alias("b"))
-    copies = one.join(two.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y")
-    across = links.select("a", "b").join(one, "a").join(two, "b").where("x <> y").select("x", "y")
-    return copies.unionByName(across).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    members = members.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(SALT)))
+    large = cut_lineage(
+        members.groupBy("class", "_s").agg(F.count("*").alias("n")).groupBy("class").agg(F.sum("n").alias("n")).where(F.col("n") > copies).select("class", F.ceil(F.col("n") / copies).cast("int").alias("k"))
+    )
+    salted = large.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))).alias("_s"))
+    placed = (
+        members.join(salted, ["class", "_s"], "left")
+        .select("id", "class", F.coalesce("k", F.lit(1)).alias("k"))
+        .withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("k")).cast("int"))
+    )
+    meeting = placed.select("class", "id", "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).select(
+        "class", "id", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")
+    )
+    one, two = meeting.withColumnsRenamed({"id": "x", "block": "bx"}), meeting.withColumnsRenamed({"id": "y", "block": "by"})
+    same = one.join(two, ["class", "first", "second"]).where((F.col("x") < F.col("y")) & ((F.col("first") == F.col("second")) | (F.col("bx") != F.col("by")))).select("x", "y")
+    across = links.select("a", "b")
+    for end, row in (("a", "x"), ("b", "y")):
+        across = (
+            across.join(large.select(F.col("class").alias(end), "k"), end, "left")
+            .withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)))
+            .drop("k")
+            .join(placed.select(F.col("class").alias(end), "block", F.col("id").alias(row)), [end, "block"])
+            .drop("block")
+        )
+    across = across.where("x <> y").select("x", "y")
+    return same.unionByName(across).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def near_groups(df: DataFrame, key: str = "id", text: str = "text", leaf: int = LEAF) -> DataFrame:
@@ -280,15 +393,17 @@ def near_groups(df: DataFrame, key: str = "id", text: str = "text", leaf: int =
     members, links = joined(df, key, text, leaf)
     links = cut_lineage(links.select("a", "b"))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = cut_lineage(both.select(F.col("a").alias("v")).distinct().withColumn("label", F.col("v")))
+    labels = held = cut_lineage(both.select(F.col("a").alias("v")).distinct().withColumn("label", F.col("v")))
     while True:
         lower = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("low"))
         step = labels.join(lower, "v").select("v", F.least("label", "low").alias("new"), "label")
         # the label of the label: what its own neighbourhood has found
         jump = step.select(F.col("v").alias("new"), F.col("new").alias("far"))
         after = cut_lineage(step.join(jump, "new", "left").select("v", F.least("new", F.coalesce("far", "new")).alias("label"), F.col("label").alias("old")))
-        labels = after.select("v", "label")
-        if after.where("label <> old").isEmpty():
+        changed = not after.where("label <> old").isEmpty()
+        drop_cut(held)
+        held, labels = after, after.select("v", "label")
+        if not changed:
             break
     degree = both.groupBy(F.col("a").alias("class")).agg(F.count("*").alias("links"))
     named = members.join(labels.withColumnRenamed("v", "class"), "class", "left").select("id", "class", F.coalesce("label", "class").alias("label"))

@@ -34,9 +34,9 @@ def corpus(seed, size):
     return [*rows, (size, None), (size + 1, ""), (size + 2, "?!"), (size + 3, "é" * 50_000), (size + 4, "é" * 50_000), (size + 5, "long " * 5_000), (size + 6, "long " * 4_000), (size + 7, "long " * 3_999)]
 
 
-@pytest.mark.parametrize(("leaf", "pivots"), [(20_000, 8), (12, 4)])
+@pytest.mark.parametrize(("leaf", "pivots"), [(20_000, 8), (12, 4), (40, 4)])
 def test_pairs(spark, monkeypatch, leaf, pivots):
-    monkeypatch.setattr(N.split, "__defaults__", (leaf, pivots, 3))
+    monkeypatch.setattr(N.split, "__defaults__", (leaf, pivots))
     rows = corpus(leaf, 250)
     df = spark.createDataFrame(rows, "id bigint, text string").selectExpr("*", "'x' AS class", "1 AS elements").repartition(3)
     found = [tuple(r) for r in N.near_pairs(df, leaf=leaf).collect()]
@@ -68,3 +68,22 @@ def test_one_class_of_copies(spark):
     df = spark.range(60).selectExpr("id", "'same words here' AS text")
     assert N.near_pairs(df).count() == 60 * 59 // 2
     assert [tuple(r) for r in N.near_groups(df).select("group_id", "links").distinct().collect()] == [(0, 0)]
+
+
+def test_copies_in_blocks(spark):
+    rows = [(k, "one two three four five six seven eight nine ten") for k in range(70)] + [(k, "one two three four five six seven eight nine x") for k in range(70, 100)] + [(100, "one two three four five six seven eight nine ten y")]
+    found = [tuple(r) for r in N.near_pairs(spark.createDataFrame(rows, "id bigint, text string"), copies=9).collect()]
+    assert len(found) == len(set(found)) and set(found) == brute(rows)
+
+
+def test_splits_of_many_texts(spark, monkeypatch):
+    """100,000 texts of a template whose rarest words are few, so that regions are large; every planted pair and no other comes out."""
+    from pyspark.sql import functions as F
+
+    words = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.concat(F.lit("w"), F.pmod(F.xxhash64("base", k), F.lit(400)).cast("string")))
+    df = spark.range(100_000).withColumn("base", F.floor(F.col("id") / 2)).select("id", F.concat_ws(" ", words, F.concat(F.lit("v"), (F.col("id") % 2).cast("string"))).alias("text"))
+    seen = []
+    deeper = N._deeper
+    monkeypatch.setattr(N, "_deeper", lambda *args: seen.append(1) or deeper(*args))
+    found = N.near_pairs(df, leaf=1_000)
+    assert found.count() == found.where("id_b = id_a + 1 AND id_a % 2 = 0").count() == 50_000 and seen
