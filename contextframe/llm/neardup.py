@@ -110,20 +110,23 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 _MAPS = [f"b{b}" for b in range(_BITS // 64)]
-_REGION = "region bigint, class binary, n int, rank int, " + ", ".join(f"{b} bigint" for b in _MAPS)
+_REGION = "region bigint, no bigint, n int, rank int, often int, " + ", ".join(f"{b} bigint" for b in _MAPS)
 
 
 def regions(distinct: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(region, class, n, rank, b0, ...): every bag in the region of each of its rarest words that a near-duplicate may lack, and one more."""
+    """(region, no, n, rank, often, b0, ...): every bag in the region of each of its rarest words that a near-duplicate may lack, and one more.
+
+    ``often`` is at least the size of the region.
+    """
     shared = distinct.sparkSession.sparkContext.broadcast(sketch)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = shared.value
         for batch in batches:
-            classes = batch.column(0)
+            numbers = batch.column(0)
             values, offsets = _lists(batch.column(1))
             region, ranks, sizes, maps = [], [], [], []
-            for k in range(len(classes)):
+            for k in range(len(numbers)):
                 words = values[offsets[k] : offsets[k + 1]]
                 first, places = rarest(words, count, 1)
                 region.append(first)
@@ -134,12 +137,13 @@ def regions(distinct: DataFrame, sketch: np.ndarray) -> DataFrame:
                 continue
             which = np.repeat(np.arange(len(region)), [len(r) for r in region])
             bits = np.stack(maps)[which]
+            words = np.concatenate(region)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(region)), classes.take(pa.array(which)), pa.array(np.array(sizes, np.int32)[which]), pa.array(np.concatenate(ranks).astype(np.int32)), *(pa.array(np.ascontiguousarray(bits[:, b])) for b in range(len(_MAPS)))],
-                ["region", "class", "n", "rank", *_MAPS],
+                [pa.array(words), numbers.take(pa.array(which)), pa.array(np.array(sizes, np.int32)[which]), pa.array(np.concatenate(ranks).astype(np.int32)), pa.array(count[words % COUNTERS]), *(pa.array(np.ascontiguousarray(bits[:, b])) for b in range(len(_MAPS)))],
+                ["region", "no", "n", "rank", "often", *_MAPS],
             )
 
-    return distinct.select("class", "elements").mapInArrow(spread, _REGION)
+    return distinct.select("no", "elements").mapInArrow(spread, _REGION)
 
 
 def _deeper(hot: DataFrame, distinct: DataFrame, sketch: np.ndarray) -> DataFrame:
@@ -148,7 +152,7 @@ def _deeper(hot: DataFrame, distinct: DataFrame, sketch: np.ndarray) -> DataFram
     Bags too short to share so many words with a near-duplicate of their length stay together as well.
     """
     shared = distinct.sparkSession.sparkContext.broadcast(sketch)
-    names = ["parent", "class", "n", "rank", *_MAPS, "home", "depth"]
+    names = ["parent", "no", "n", "rank", *_MAPS, "home", "depth"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = shared.value
@@ -176,8 +180,8 @@ def _deeper(hot: DataFrame, distinct: DataFrame, sketch: np.ndarray) -> DataFram
             columns["depth"] = pa.array(columns["depth"].to_numpy() + np.int32(1), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(word).astype(np.int64)), *columns.values()], ["word", *names])
 
-    schema = "word bigint, parent bigint, class binary, n int, rank int, " + ", ".join(f"{b} bigint" for b in _MAPS) + ", home boolean, depth int"
-    rows = hot.withColumnRenamed("region", "parent").select(*names).join(distinct.select("class", "elements"), "class")
+    schema = "word bigint, parent bigint, no bigint, n int, rank int, " + ", ".join(f"{b} bigint" for b in _MAPS) + ", home boolean, depth int"
+    rows = hot.withColumnRenamed("region", "parent").select(*names).join(distinct.select("no", "elements"), "no")
     return rows.select(*names, "elements").mapInArrow(spread, schema).withColumn("region", F.xxhash64("parent", "word", "depth")).drop("word")
 
 
@@ -188,20 +192,21 @@ def split(found: DataFrame, distinct: DataFrame, sketch: np.ndarray, leaf: int =
     not both of the same block. A split counts if it leaves at most half of the comparisons,
     so its largest part is smaller by a third and the levels end.
     """
-    kept = ["region", "class", "n", *_MAPS, "home"]
+    kept = ["region", "no", "n", *_MAPS, "home"]
     done = []
     here = found.withColumn("home", F.lit(True)).withColumn("depth", F.lit(1))
     level = 0
     while True:
-        large = cut_lineage(here.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > leaf))
-        if large.isEmpty():
+        # words of no more bags than a leaf have no large region
+        large = None if level == 0 and sketch.max(initial=0) <= leaf else cut_lineage((here.where(F.col("often") > leaf) if level == 0 else here).groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > leaf))
+        if large is None or large.isEmpty():
             done.append(here.select(*kept, F.lit(-1).alias("block")))
             break
         done.append(here.join(large, "region", "left_anti").select(*kept, F.lit(-1).alias("block")))
         hot = cut_lineage(here.join(large, "region"))
         share = F.greatest(F.lit(1), F.floor(F.col("size") / F.lit(pivots))).cast("bigint")
         chosen = (
-            hot.where(F.pmod(F.xxhash64("class", F.lit(level)), share) == 0)
+            hot.where(F.pmod(F.xxhash64("no", F.lit(level)), share) == 0)
             .groupBy("region")
             .agg(F.slice(F.array_sort(F.collect_set(F.struct(*_MAPS))), 1, 4 * pivots).alias("pivots"))
         )
@@ -220,19 +225,19 @@ def split(found: DataFrame, distinct: DataFrame, sketch: np.ndarray, leaf: int =
         parts = [
             copies.join(around, "region", "left_semi")
             .select(F.explode("goes").alias("cell"), "*")
-            .select(F.xxhash64("region", F.lit(level), "cell").alias("region"), "class", "n", "rank", *_MAPS, (F.col("home") & (F.col("cell") == F.col("own"))).alias("home"), "depth")
+            .select(F.xxhash64("region", F.lit(level), "cell").alias("region"), "no", "n", "rank", *_MAPS, (F.col("home") & (F.col("cell") == F.col("own"))).alias("home"), "depth")
         ]
         rest = hot.join(around, "region", "left_anti")
         words = cut_lineage(_deeper(rest, distinct, sketch))
         worded = cut_lineage(_halved(words.groupBy("parent", "region").agg(F.count("*").alias("c")), large.withColumnRenamed("region", "parent"), "parent"))
-        parts.append(words.join(worded, "parent", "left_semi").select("region", "class", "n", "rank", *_MAPS, "home", "depth"))
+        parts.append(words.join(worded, "parent", "left_semi").select("region", "no", "n", "rank", *_MAPS, "home", "depth"))
         k = F.ceil(F.col("size") / F.lit(leaf)).cast("int") + 1
         done.append(
             rest.join(worded.withColumnRenamed("parent", "region"), "region", "left_anti")
             .withColumn("k", k)
-            .withColumn("own", F.pmod(F.xxhash64("class"), F.col("k")).cast("int"))
+            .withColumn("own", F.pmod(F.xxhash64("no"), F.col("k")).cast("int"))
             .select(F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"), "*")
-            .select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"), F.lit("block")).alias("region"), "class", "n", *_MAPS, "home", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("block"))
+            .select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"), F.lit("block")).alias("region"), "no", "n", *_MAPS, "home", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("block"))
         )
         here = cut_lineage(parts[0].unionByName(parts[1]))
         level += 1
@@ -273,18 +278,18 @@ class _Sweep:
             differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
             # with o words in common, the bags differ in n_a + n_b - 2 o words
             close = 10 * (n[a] + n[b] - differ) >= 2 * TENTHS * n[b]
-            left.append(rows["class"][a[close]])
-            right.append(rows["class"][b[close]])
+            left.append(rows["no"][a[close]])
+            right.append(rows["no"][b[close]])
             step += 1
         keep = np.zeros(total, bool)
         if total:
             keep = (region == region[-1]) & (10 * n >= TENTHS * n[-1])
         self.rest = {k: v[keep] for k, v in rows.items()}
-        return np.concatenate([np.empty(0, "V16"), *left]), np.concatenate([np.empty(0, "V16"), *right])
+        return np.concatenate([np.empty(0, np.int64), *left]), np.concatenate([np.empty(0, np.int64), *right])
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """(a, b): pairs of classes that the bit maps of some region leave, a before b."""
+    """(a, b): numbers of pairs of bags that the bit maps of some region leave, a before b."""
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = _Sweep()
@@ -296,46 +301,49 @@ def candidates(found: DataFrame) -> DataFrame:
                 "home": get["home"].to_numpy(zero_copy_only=False),
                 "block": get["block"].to_numpy(),
                 "bits": np.stack([get[b].to_numpy() for b in _MAPS], 1).view(np.uint64),
-                "class": np.frombuffer(b"".join(get["class"].to_pylist()), "V16"),
+                "no": get["no"].to_numpy(),
             }
             a, b = state.take(part)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    ordered = found.repartition("region").sortWithinPartitions("region", "n", "class").select("region", "class", "n", *_MAPS, "home", "block")
-    pairs = ordered.mapInArrow(sweep, "a binary, b binary").where("a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ordered = found.repartition("region").sortWithinPartitions("region", "n", "no").select("region", "no", "n", *_MAPS, "home", "block")
+    return ordered.mapInArrow(sweep, "a bigint, b bigint").where("a <> b").distinct()
 
 
 def sketches(distinct: DataFrame) -> DataFrame:
-    """(class, n, wide): how many words a bag has, and its wide bit map."""
+    """(no, n, wide): how many words a bag has, and its wide bit map."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, offsets = _lists(batch.column(1))
             maps = [bitmap(values[offsets[k] : offsets[k + 1]], _WIDE) for k in range(batch.num_rows)]
             wide = pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1) * (_WIDE // 64), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *maps])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int32)), wide], ["class", "n", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int32)), wide], ["no", "n", "wide"])
 
-    return distinct.select("class", "elements").mapInArrow(read, "class binary, n int, wide array<bigint>")
+    return distinct.select("no", "elements").mapInArrow(read, "no bigint, n int, wide array<bigint>")
 
 
 def class_links(distinct: DataFrame, leaf: int = LEAF) -> DataFrame:
     """(a, b, common, longer): every pair of classes at or over the threshold."""
-    distinct = cut_lineage(distinct)
+    distinct = cut_lineage(distinct.withColumn("no", F.monotonically_increasing_id()))
     sketch = frequencies(distinct)
     pairs = candidates(split(regions(distinct, sketch), distinct, sketch, leaf))
     wide = sketches(distinct)
     for end in ("a", "b"):
-        pairs = pairs.join(wide.select(F.col("class").alias(end), F.col("n").alias(f"n{end}"), F.col("wide").alias(f"w{end}")), end)
+        pairs = pairs.join(wide.select(F.col("no").alias(end), F.col("n").alias(f"n{end}"), F.col("wide").alias(f"w{end}")), end)
     differ = sum((F.bit_count(F.col("wa")[k].bitwiseXOR(F.col("wb")[k])) for k in range(1, _WIDE // 64)), F.bit_count(F.col("wa")[0].bitwiseXOR(F.col("wb")[0])))
-    pairs = pairs.where((F.col("na") + F.col("nb") - differ) * 10 >= F.greatest("na", "nb") * 2 * TENTHS).select("a", "b")
-    one = distinct.select(F.col("class").alias("a"), F.col("elements").alias("ea"))
-    two = distinct.select(F.col("class").alias("b"), F.col("elements").alias("eb"))
+    pairs = cut_lineage(pairs.where((F.col("na") + F.col("nb") - differ) * 10 >= F.greatest("na", "nb") * 2 * TENTHS).select("a", "b"))
+    # only bags that may be in a link have their words shuffled; a slot stands for one bag or a few
+    slot = lambda no: F.pmod(F.xxhash64(no), F.lit(COUNTERS)).cast("int")
+    slots = pairs.select(F.explode(F.array("a", "b")).alias("no")).select(slot(F.col("no")).alias("slot")).distinct()
+    linked = distinct.withColumn("slot", slot(F.col("no"))).join(F.broadcast(slots), "slot", "left_semi")
+    one = linked.select(F.col("no").alias("a"), F.col("class").alias("ca"), F.col("elements").alias("ea"))
+    two = linked.select(F.col("no").alias("b"), F.col("class").alias("cb"), F.col("elements").alias("eb"))
     return (
         pairs.join(one, "a")
         .join(two, "b")
-        .select("a", "b", F.size(F.array_intersect("ea", "eb")).cast("bigint").alias("common"), F.greatest(F.size("ea"), F.size("eb")).cast("bigint").alias("longer"))
+        .select(F.col("ca").alias("a"), F.col("cb").alias("b"), F.size(F.array_intersect("ea", "eb")).cast("bigint").alias("common"), F.greatest(F.size("ea"), F.size("eb")).cast("bigint").alias("longer"))
         .where(F.col("common") * 10 >= F.col("longer") * TENTHS)
     )
 
