@@ -38,13 +38,18 @@ def classes(rows: DataFrame, group: str, order: list[str], key: str = "id") -> D
 
 
 def set_edges(sets: DataFrame, group: str, tenths: int = JACCARD) -> DataFrame:
-    """(group, a, b, similarity): pairs of sets with a Jaccard similarity over the threshold, the earlier one as a."""
-    ranked = _rare_first(sets, group).join(sets.select(group, "set_id", "items", "first"), [group, "set_id"])
+    """(group, a, b, similarity): pairs of sets with a Jaccard similarity over the threshold, the earlier one as a.
+
+    Only ids and sizes travel with the values; the sets themselves are fetched for the pairs that are left.
+    """
     size = F.size("ranked")
-    heads = ranked.select(group, "set_id", "items", "first", F.explode(F.slice("ranked", F.lit(1), size - F.floor(size * tenths / 10).cast("int"))).alias("_r")).withColumn("item", F.col("_r.item")).drop("_r")
-    a, b = heads.toDF(group, "a", "items_a", "first_a", "item"), heads.toDF(group, "b", "items_b", "first_b", "item")
-    sizes = (F.size("items_a") * 10 > F.size("items_b") * tenths) & (F.size("items_b") * 10 > F.size("items_a") * tenths)
-    pairs = a.join(b, [group, "item"]).where((F.col("first_a") < F.col("first_b")) & sizes).dropDuplicates([group, "a", "b"])
+    heads = _rare_first(sets, group).select(group, "set_id", size.alias("n"), F.explode(F.slice("ranked", F.lit(1), size - F.floor(size * tenths / 10).cast("int"))).alias("_r")).withColumn("item", F.col("_r.item")).drop("_r")
+    a, b = heads.toDF(group, "a", "n_a", "item"), heads.toDF(group, "b", "n_b", "item")
+    fits = (F.col("n_a") * 10 > F.col("n_b") * tenths) & (F.col("n_b") * 10 > F.col("n_a") * tenths)
+    pairs = a.join(b, [group, "item"]).where((F.col("a") != F.col("b")) & fits).select(group, "a", "b").distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(sets.select(group, F.col("set_id").alias(end), F.col("items").alias(f"items_{end}"), F.col("first").alias(f"first_{end}")), [group, end])
+    pairs = pairs.where(F.col("first_a") < F.col("first_b"))
     return pairs.withColumn("similarity", jaccard(F.col("items_a"), F.col("items_b"))).where(F.col("similarity") * 10 > tenths).select(group, "a", "b", "first_a", "first_b", "similarity")
 
 
@@ -119,12 +124,15 @@ def duplicates(observations: DataFrame, clustered: DataFrame) -> DataFrame:
     latest = rows.groupBy("cluster", "items").agg(F.max("id").alias("set_id"))
     copies = rows.join(latest, ["cluster", "items"]).where("id <> set_id").select("id")
     sets = latest.withColumn("n", F.size("items"))
-    ranked = _rare_first(sets, "cluster").join(sets, ["cluster", "set_id"])
-    # more than 0.7 * n of the smaller set are shared, so one of its rarest is
-    heads = ranked.select("cluster", F.col("set_id").alias("a"), F.col("items").alias("items_a"), F.col("n").alias("n_a"), F.explode(F.slice("ranked", F.lit(1), F.col("n") - F.floor(F.col("n") * OVERLAP / 10).cast("int"))).alias("_r")).withColumn("item", F.col("_r.item")).drop("_r")
-    full = sets.select("cluster", F.col("set_id").alias("b"), F.col("items").alias("items_b"), F.col("n").alias("n_b"), F.explode("items").alias("item"))
-    pairs = heads.join(full, ["cluster", "item"]).where("a <> b AND (n_a < n_b OR n_a = n_b)").dropDuplicates(["cluster", "a", "b"])
-    close = pairs.where(F.size(F.array_intersect("items_a", "items_b")) * 10 > F.col("n_a") * OVERLAP)
+    # more than 0.7 * n of the smaller set are shared, so one of its rarest is; the larger one may have any number of others
+    head = F.slice("ranked", F.lit(1), F.size("ranked") - F.floor(F.size("ranked") * OVERLAP / 10).cast("int"))
+    ranked = _rare_first(sets, "cluster").select("cluster", "set_id", F.size("ranked").alias("n"), "ranked", head.alias("head"))
+    heads = ranked.select("cluster", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.explode("head.item").alias("item"))
+    full = ranked.select("cluster", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.explode("ranked.item").alias("item"))
+    pairs = heads.join(full, ["cluster", "item"]).where("a <> b AND n_a <= n_b").select("cluster", "a", "b").distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(sets.select("cluster", F.col("set_id").alias(end), F.col("items").alias(f"items_{end}")), ["cluster", end])
+    close = pairs.where(F.size(F.array_intersect("items_a", "items_b")) * 10 > F.size("items_a") * OVERLAP)
     return close.select(F.least("a", "b").alias("id")).union(copies).distinct()
 
 

@@ -9,7 +9,7 @@ from contextframe.operators.matching import contained
 
 #: A bound that no factor reaches.
 _FAR = 1_000_000_000
-#: Points a finding costs by its severity, and the weights of scores.
+#: Points a finding costs by its severity, the weights of scores, and the advice for each factor.
 DEDUCTIONS = {"critical": 3.0, "warning": 1.0, "suggestion": 0.5}
 CATEGORIES = {"SEC": "security", "QUL": "quality", "EFF": "efficiency"}
 CONFIDENCE = {"test_coverage": 0.30, "caller_impact": 0.20, "type_safety": 0.20, "git_stability": 0.15, "semantic_risk": 0.15}
@@ -38,7 +38,7 @@ def is_test_file(path: Column, content: Column, lang: Column) -> Column:
 
 def tested(functions: DataFrame, tests: DataFrame) -> DataFrame:
     """(path, name, line_no, test_files): each function with the number of test files that hold its name."""
-    hits = contained(tests, "path", "content", functions, "name").groupBy(F.col("needle").alias("name")).agg(F.count_distinct("key").alias("test_files"), F.array_sort(F.collect_set("key")).alias("tests"))
+    hits = contained(tests, "path", "content", functions, "name").groupBy(F.col("needle").alias("name")).agg(F.count_distinct("key").alias("test_files"))
     return functions.join(hits, "name", "left").withColumn("test_files", F.coalesce("test_files", F.lit(0)))
 
 
@@ -220,10 +220,13 @@ def prefetch(opened: DataFrame, files: DataFrame, read: DataFrame, most: int = 3
 
     stem, folder = F.regexp_extract("path", r"([^/]*?)\.[^./]*$", 1), F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
     here = opened.select("path", stem.alias("stem"), folder.alias("folder"))
-    known = files.select(F.col("path").alias("next"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), folder.alias("folder"))
+    unread = files.join(read.select("path"), "path", "left_anti")
+    known = unread.select(F.col("path").alias("next"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), folder.alias("folder"))
     tests = here.select("path", F.explode(F.array(*[F.concat(F.lit(a), F.col("stem"), F.lit(b)) for a, b in (("test_", ".py"), ("", "_test.rs"), ("test_", ".rs"), ("", ".test.ts"))])).alias("file"))
     by_name = tests.join(known.select("next", "file"), "file").select("path", "next", F.lit(0).alias("rank"))
-    beside = here.join(known, "folder").where("path <> next").select("path", "next", F.lit(1).alias("rank"))
-    wanted = by_name.unionByName(beside).groupBy("path", "next").agg(F.min("rank").alias("rank")).join(read.select(F.col("path").alias("next")), "next", "left_anti")
+    # of a folder, no file needs more siblings than it shows and itself
+    first = known.withColumn("k", F.row_number().over(Window.partitionBy("folder").orderBy("next"))).where(F.col("k") <= most + 1).drop("k")
+    beside = here.join(first, "folder").where("path <> next").select("path", "next", F.lit(1).alias("rank"))
+    wanted = by_name.unionByName(beside).groupBy("path", "next").agg(F.min("rank").alias("rank"))
     order = Window.partitionBy("path").orderBy("rank", "next")
     return wanted.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("path", "next", "k")

@@ -27,12 +27,12 @@ def running_sums(rows: DataFrame, key: str, bucket: Column, order: list[str], va
     return joined.select(*rows.columns, *[(F.sum(f"_v_{name}").over(here) + F.col(f"_o_{name}")).alias(name) for name in values])
 
 
-def carried(rows: DataFrame, key: str, bucket: Column, order: list[str], value: Column, name: str) -> DataFrame:
-    """``rows`` with the last value that is not null up to and with the row, by key, in order."""
+def carried(rows: DataFrame, key: str, bucket: Column, order: list[str], value: Column, name: str, *, before: bool = False) -> DataFrame:
+    """``rows`` with the last value that is not null up to and with the row, or only before it, by key, in order."""
     marked = rows.select("*", bucket.alias("_bucket"), value.alias("_v"))
     per = marked.groupBy(key, "_bucket").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_last"))
     offsets = per.select(key, "_bucket", _before(per, key, F.last("_last", True)).alias("_carried"))
-    here = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    here = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     return marked.join(offsets, [key, "_bucket"]).select(*rows.columns, F.coalesce(F.last("_v", True).over(here), "_carried").alias(name))
 
 

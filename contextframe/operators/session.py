@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contextframe.operators.running import carried
+from contextframe.operators.running import carried, running_sums
 
 #: The phase that each tool call or event leads to.
 PHASES = {"smart_read": "Analyzing", "smart_edit": "Editing", "smart_run": "Verifying", "task_complete": "Complete"}
@@ -13,8 +13,8 @@ PHASES = {"smart_read": "Analyzing", "smart_edit": "Editing", "smart_run": "Veri
 SLOTS = ("goal", "plan", "files", "notes", "decisions", "errors")
 BLOCK_BYTES = 10_000
 START, STEP, FIX_START = 0.3, 0.1, 0.5
-#: Items of a basket whose pairs are made within one row.
-BASKET = 1_000
+#: Items of a basket whose pairs are made within one row, and numbers of a log that run in one task.
+BASKET, PART = 1_000, 10_000
 
 
 def loops(errors: DataFrame, least: int = 3) -> DataFrame:
@@ -22,10 +22,6 @@ def loops(errors: DataFrame, least: int = 3) -> DataFrame:
     return errors.groupBy("session_id", "signature").agg(F.count("*").alias("times")).where(F.col("times") >= least)
 
 
-def _so_far(order: list[str], *keys: str):  # noqa: ANN202
-    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-
-
 def phases(calls: DataFrame, bucket: Column | None = None) -> DataFrame:
     """(session_id, seq, tool, phase): the phase after each call; other tools leave it as it is, and it starts as Idle.
 
@@ -38,16 +34,20 @@ def phases(calls: DataFrame, bucket: Column | None = None) -> DataFrame:
     return found.withColumn("phase", F.coalesce("phase", F.lit("Idle")))
 
 
-def slots(actions: DataFrame) -> DataFrame:
+def slots(actions: DataFrame, part: int = PART) -> DataFrame:
     """(slot, seq, value, full): each read of a slot with the last value written since it was cleared, full on the first read since then.
 
-    ``actions`` has slot, seq, action (read, write or clear) and value.
+    ``actions`` has slot, seq, action (read, write or clear) and value. Values run in parts of
+    ``part`` numbers of ``seq``, so a slot with most of the actions is many tasks.
     """
-    epoch = F.sum(F.when(F.col("action") == "clear", 1).otherwise(0)).over(_so_far(["seq"], "slot"))
-    rows = actions.withColumn("epoch", epoch)
-    rows = rows.withColumn("written", F.last(F.when(F.col("action") == "write", F.col("value")), True).over(_so_far(["seq"], "slot", "epoch")))
-    rows = rows.withColumn("reads", F.sum(F.when(F.col("action") == "read", 1).otherwise(0)).over(_so_far(["seq"], "slot", "epoch")))
-    return rows.where("action = 'read'").select("slot", "seq", F.col("written").alias("value"), (F.col("reads") == 1).alias("full"))
+    bucket = F.floor(F.col("seq") / part)
+    is_read, clears = F.col("action") == "read", F.col("action") == "clear"
+    rows = running_sums(actions, "slot", bucket, ["seq"], {"reads": is_read.cast("int")})
+    # what the last write or clear left: its value, and how many reads came before the last clear
+    left = F.when(F.col("action").isin("write", "clear"), F.struct(F.when(~clears, F.col("value")).alias("value")))
+    rows = carried(rows, "slot", bucket, ["seq"], left, "left")
+    rows = carried(rows, "slot", bucket, ["seq"], F.when(clears, F.col("reads")), "read_before")
+    return rows.where("action = 'read'").select("slot", "seq", F.col("left.value").alias("value"), (F.col("reads") - F.coalesce("read_before", F.lit(0)) == 1).alias("full"))
 
 
 def valid_slot(name: Column, value: Column) -> Column:
@@ -55,14 +55,16 @@ def valid_slot(name: Column, value: Column) -> Column:
     return name.isin(*SLOTS) & (F.octet_length(value) <= BLOCK_BYTES)
 
 
-def blocks(actions: DataFrame) -> DataFrame:
+def blocks(actions: DataFrame, part: int = PART) -> DataFrame:
     """(block, reader, seq, version, delivery): what each read of a versioned block delivers: full, changed or unchanged.
 
     ``actions`` has block, reader, seq and action; writes over the byte limit change nothing.
+    Versions run in parts as in :func:`slots`, and so do a reader's reads of a block.
     """
     write = (F.col("action") == "write") & (F.octet_length("value") <= BLOCK_BYTES)
-    rows = actions.withColumn("version", F.sum(F.when(write, 1).otherwise(0)).over(_so_far(["seq"], "block")))
-    reads = rows.where("action = 'read'").withColumn("before", F.lag("version").over(Window.partitionBy("block", "reader").orderBy("seq")))
+    rows = running_sums(actions, "block", F.floor(F.col("seq") / part), ["seq"], {"version": F.when(write, 1).otherwise(0)})
+    reads = rows.where("action = 'read'").withColumn("_own", F.struct("block", "reader"))
+    reads = carried(reads, "_own", F.floor(F.col("seq") / part), ["seq"], F.col("version"), "before", before=True)
     return reads.select("block", "reader", "seq", "version", F.when(F.col("before").isNull(), "full").when(F.col("before") < F.col("version"), "changed").otherwise("unchanged").alias("delivery"))
 
 
@@ -76,15 +78,16 @@ def pairs(baskets: DataFrame, basket: str, item: str, most: int = BASKET) -> Dat
     """(file_a, file_b, evidence): items of the same basket, each undirected pair once, counted over baskets.
 
     Baskets are what one session or order touched. The pairs of a basket of up to ``most``
-    items are made within the row of its sorted items; larger baskets are joined with
-    themselves item by item instead, so that no row or task holds all of one.
+    items are made within the row of its sorted items; the items of larger ones are cut into
+    blocks of about as many, which meet pairwise, so that no row or task holds all of one.
     """
     items = baskets.where(F.col(item).isNotNull()).select(F.col(basket).alias("_k"), F.col(item).alias("_i")).distinct()
-    large = items.groupBy("_k").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("_k")
+    large = items.groupBy("_k").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("_k", F.ceil(F.col("_n") / most).cast("int").alias("_p"))
     sets = items.join(large, "_k", "left_anti").groupBy("_k").agg(F.array_sort(F.collect_set("_i")).alias("items"))
     two = F.flatten(F.transform("items", lambda a, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda b: F.struct(a.alias("file_a"), b.alias("file_b")))))
-    hot = items.join(large, "_k", "left_semi")
-    joined = hot.toDF("_k", "file_a").join(hot.toDF("_k", "file_b"), "_k").where("file_a < file_b").select("file_a", "file_b")
+    blocked = items.join(large, "_k").withColumn("_b", F.pmod(F.xxhash64("_i"), F.col("_p")).cast("int"))
+    hot = blocked.select("_k", "_i", "_b", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)).alias("_o")).select("_k", F.least("_b", "_o").alias("_x"), F.greatest("_b", "_o").alias("_y"), "_i", "_b")
+    joined = hot.toDF("_k", "_x", "_y", "file_a", "_a").join(hot.toDF("_k", "_x", "_y", "file_b", "_b"), ["_k", "_x", "_y"]).where("file_a < file_b AND (_x = _y OR _a <> _b)").select("file_a", "file_b")
     made = sets.select(F.explode(two).alias("p")).select("p.file_a", "p.file_b").unionByName(joined)
     return made.groupBy("file_a", "file_b").agg(F.count("*").alias("evidence"))
 

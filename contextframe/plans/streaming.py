@@ -7,17 +7,12 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contextframe.sources.tables import checkpoint_dir
+from contextframe.sources.tables import shared_dir
 from contextframe.streaming import events as E
 
 
-def _place(spark: SparkSession) -> str | None:
-    shared = checkpoint_dir(spark)
-    return f"{shared}/stream-{uuid4().hex}" if shared else None
-
-
 def _drain(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    return E.drained(stream, f"stream_{uuid4().hex}", mode, _place(spark))
+    return E.drained(stream, f"{shared_dir(spark)}/stream-{uuid4().hex}", mode)
 
 
 def stream_metrics(spark: SparkSession, d: str) -> DataFrame:

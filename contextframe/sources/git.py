@@ -38,7 +38,7 @@ def changelog(captured: DataFrame, key: str) -> DataFrame:
     """(key, hash, author, subject, category, files) of a log in which ``COMMIT:hash|author|subject`` lines head the files."""
     head = F.col("line").startswith("COMMIT:")
     rows = _numbered(captured, key).withColumn("c", F.sum(head.cast("int")).over(Window.partitionBy(key).orderBy("n"))).where("c > 0")
-    parts = F.split(F.max(F.when(head, F.substring("line", 8, 1_000_000))), r"\|", 3)
+    parts = F.split(F.max(F.when(head, F.regexp_replace("line", "^COMMIT:", ""))), r"\|", 3)
     files = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~head & (F.trim("line") != ""), F.struct("n", F.trim("line").alias("f"))))), lambda x: x["f"]), ",")
     return rows.groupBy(key, "c").agg(parts.alias("p"), files.alias("files")).select(
         key, F.try_element_at("p", F.lit(1)).alias("hash"), F.try_element_at("p", F.lit(2)).alias("author"), F.try_element_at("p", F.lit(3)).alias("subject"), "files"
@@ -54,7 +54,7 @@ def blame(captured: DataFrame, key: str) -> DataFrame:
     rows = _numbered(captured, key).withColumn("h", F.when(head != "", head))
     back = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("hash", F.last("h", True).over(back)).withColumn("line_no", F.last(F.when(F.col("h").isNotNull(), F.regexp_extract("line", r"^\S+ \d+ (\d+)", 1)), True).over(back))
-    found = lambda word: F.max(F.when(F.col("line").startswith(word + " "), F.substring("line", len(word) + 2, 10_000)))
+    found = lambda word: F.max(F.when(F.col("line").startswith(word + " "), F.regexp_replace("line", f"^{word} ", "")))
     commits = rows.groupBy(key, "hash").agg(found("author").alias("author"), found("author-time").alias("time"))
-    own = rows.where(F.col("line").startswith("\t")).select(key, "hash", F.col("line_no").cast("int").alias("line_no"), F.substring("line", 2, 1_000_000).alias("content"))
+    own = rows.where(F.col("line").startswith("\t")).select(key, "hash", F.col("line_no").cast("int").alias("line_no"), F.regexp_replace("line", "^\t", "").alias("content"))
     return own.join(commits, [key, "hash"]).select(key, "line_no", "hash", "author", F.date_format(F.timestamp_seconds(F.col("time").cast("bigint")), "yyyy-MM-dd").alias("date"), "content")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: list[str] = []
+
+
 def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The table ``name`` of ``sf_dir``, with only ``columns`` if any are given."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,23 +19,33 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the reliable checkpoint folder and read from there.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    The folder is the one in ``spark.checkpoint.dir``. Only a local session without that
-    setting (tests, local use) gets a folder of its own; on a cluster it is an error.
+    Only a local session without that setting (tests, local use) gets a folder of its own,
+    which goes with the process; on a cluster it is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = checkpoint_dir(spark)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    shared = checkpoint_dir(spark)
+    if shared is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _OWN:
+            import atexit
+            import shutil
             import tempfile
 
-            shared = tempfile.mkdtemp(prefix="contextframe-checkpoint-")
-        context.setCheckpointDir(shared)
+            _OWN.append(tempfile.mkdtemp(prefix="contextframe-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        shared = _OWN[0]
+    return shared
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the reliable checkpoint folder and read from there."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

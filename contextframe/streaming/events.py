@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -82,14 +83,22 @@ def error_loops(errors: DataFrame, least: int = 3) -> DataFrame:
     return errors.groupBy("session_id").transformWithStateInPandas(_Loops(least), LOOP_SCHEMA, "Append", "None")
 
 
-def drained(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """All that is there run through a stream into a table in memory, and that table."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drained(stream: DataFrame, place: str, mode: str) -> DataFrame:
+    """All that is there run through a stream into files below ``place``, and those.
+
+    A batch that runs again after a loss writes its own folder again. In the complete mode
+    the last batch is the result.
+    """
+    empty = stream.sparkSession.createDataFrame([], stream.schema)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/result" if mode == "complete" else f"{place}/result/batch-{number}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    try:
+        return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{place}/result")
+    except AnalysisException:
+        return empty
 
 
 def append_snapshots(stream: DataFrame, path: str, checkpoint: str, seconds: int = 2):  # noqa: ANN201
