@@ -120,6 +120,12 @@ def impact(changed: str, found: DataFrame, used: DataFrame, tests: DataFrame) ->
     return counts.select(F.lit(changed).alias("changed_path"), "symbols", "imports", "tests", (3 * F.col("symbols") + 2 * F.col("imports") + F.col("tests")).alias("risk_score"))
 
 
+def index_counts(found: DataFrame, used: DataFrame, made: DataFrame, tests: DataFrame) -> DataFrame:
+    """(symbols, imports, calls, tests): how many rows each part of an index has; one row each, so the joins are of single rows."""
+    parts = [part.agg(F.count("*").alias(name)) for name, part in (("symbols", found), ("imports", used), ("calls", made), ("tests", tests))]
+    return parts[0].crossJoin(parts[1]).crossJoin(parts[2]).crossJoin(parts[3])
+
+
 def tier(symbols_n: Column, calls_n: Column, impact_n: Column) -> Column:
     """The model tier for a task of this complexity."""
     score = 2 * symbols_n + 2 * calls_n + impact_n

@@ -29,8 +29,15 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return items.select(F.concat(F.lit("item/"), "item_id").alias("path"), "content")
 
 
-def _index(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    files = SOURCES.df(spark)
+def code_files(spark: SparkSession, d: str) -> DataFrame:
+    """(path, content): the context items and code documents, each at a path of its own that ends as the stored one does."""
+    items = load(spark, d, "context_items", "item_id", "path", "content").select(F.concat(F.lit("item/"), "item_id", F.lit("/"), F.coalesce("path", F.lit(""))).alias("path"), "content")
+    documents = load(spark, d, "documents", "doc_id", "path", "kind", "text").where("kind = 'code'")
+    return items.unionByName(documents.select(F.concat(F.lit("doc/"), "doc_id", F.lit("/"), F.coalesce("path", F.lit(""))).alias("path"), F.col("text").alias("content"))).where("content IS NOT NULL")
+
+
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    files = code_files(spark, d).unionByName(SOURCES.df(spark))
     return G.symbols(files), G.imports(files), G.calls(files), G.test_lines(files)
 
 
@@ -56,15 +63,15 @@ def path_rank(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "symbols_regex": lambda s, d: G.symbols(_files(s, d)),
-    "import_edges": lambda s, d: G.imports(SOURCES.df(s)),
+    "import_edges": lambda s, d: _index(s, d)[1],
     "call_edges": lambda s, d: G.calls(_files(s, d)),
-    "test_refs": lambda s, d: G.test_lines(SOURCES.df(s)),
+    "test_refs": lambda s, d: _index(s, d)[3],
     "find_symbol": lambda s, d: G.find(G.symbols(_files(s, d)), "name", "Token"),
-    "find_callers": lambda s, d: G.find(_index(s)[2], "to_symbol", "login", fold=False),
-    "find_tests": lambda s, d: G.find(_index(s)[3], "test", "login", fold=False),
-    "outline": lambda s, d: _index(s)[0].where("path = 'src/db.rs'").select("name", "kind", "line_no"),
-    "diff_impact": lambda s, d: G.impact("src/auth.rs", _index(s)[0], _index(s)[1], _index(s)[3]),
-    "context_package": lambda s, d: G.context_items(*_index(s), "login", 3),
+    "find_callers": lambda s, d: G.find(_index(s, d)[2], "to_symbol", "login", fold=False),
+    "find_tests": lambda s, d: G.find(_index(s, d)[3], "test", "login", fold=False),
+    "outline": lambda s, d: _index(s, d)[0].where("path = 'src/db.rs'").select("name", "kind", "line_no"),
+    "diff_impact": lambda s, d: G.impact("src/auth.rs", _index(s, d)[0], _index(s, d)[1], _index(s, d)[3]),
+    "context_package": lambda s, d: G.context_items(*_index(s, d), "login", 3),
     "budget_check": budget_check,
     "package_token_cut": package_cut,
     "route_tier": lambda s, d: G.symbols(_files(s, d)).groupBy("path").agg(F.count("*").alias("n")).select("path", G.tier(F.col("n"), F.col("n"), F.lit(0)).alias("tier")),
@@ -72,17 +79,20 @@ QUERIES = {
     "file_summary_text": lambda s, d: _files(s, d).select("path", G.summary(F.col("path"), F.col("content")).alias("summary")),
     "code_search": lambda s, d: G.grep(_files(s, d), "return", 20),
     "focused_context": lambda s, d: G.focused(_files(s, d), "token", 5),
-    "skeletons": lambda s, d: G.skeleton(G.symbols(SOURCES.df(s)), SOURCES.df(s)),
+    "skeletons": lambda s, d: G.skeleton(_index(s, d)[0], code_files(s, d).unionByName(SOURCES.df(s))),
     "read_mode": lambda s, d: _files(s, d).select("path", G.read_mode(F.size(lines(F.col("content"))), F.lit(False)).alias("mode")),
-    "rename_preview": lambda s, d: G.renames(SOURCES.df(s), "main", "start"),
+    "rename_preview": lambda s, d: G.renames(code_files(s, d).unionByName(SOURCES.df(s)), "path", "place"),
     "language_detect": lambda s, d: load(s, d, "file_summaries", "summary_id", "path").select(
         "summary_id", G.language(F.col("path"), G.READ_LANGUAGES).alias("read"), G.language(F.col("path"), G.INDEX_LANGUAGES, "Unknown").alias("index"), G.language(F.col("path"), G.MAP_LANGUAGES, fold=True).alias("map"),
         G.intelligence(G.language(F.col("path"), G.READ_LANGUAGES), F.lit(False)).alias("level"),
     ),
-    "symbol_visibility": lambda s, d: G.symbols(SOURCES.df(s)).join(G.numbered(SOURCES.df(s)), ["path", "line_no"]).select("path", "name", G.visibility(G.language(F.col("path"), G.READ_LANGUAGES), F.trim("line"), F.col("name")).alias("visibility")),
+    "index_counts": lambda s, d: G.index_counts(*_index(s, d)),
+    "symbol_visibility": lambda s, d: _index(s, d)[0].join(G.numbered(code_files(s, d).unionByName(SOURCES.df(s))), ["path", "line_no"]).select("path", "name", G.visibility(G.language(F.col("path"), G.READ_LANGUAGES), F.trim("line"), F.col("name")).alias("visibility")),
 }
 
 _ITEMS = "(SELECT 'item/' || item_id AS path, content FROM context_items WHERE content IS NOT NULL)"
+_CODE = f"""(SELECT 'item/' || item_id || '/' || coalesce(path, '') AS path, content FROM context_items WHERE content IS NOT NULL
+  UNION ALL SELECT 'doc/' || doc_id || '/' || coalesce(path, ''), text FROM documents WHERE kind = 'code' AND text IS NOT NULL UNION ALL SELECT path, content FROM {SOURCES.sql})"""
 _PARTS = "string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10))"
 _LIST = f"CASE WHEN {_PARTS}[-1] = '' THEN {_PARTS}[:-2] ELSE {_PARTS} END"
 
@@ -107,8 +117,8 @@ def _calls(files: str) -> str:
       WHERE contains(t, to_symbol || '(') AND to_symbol <> from_symbol)"""
 
 
-_IMPORTS = f"(SELECT path, line_no, regexp_replace(trim(line), ';+$', '') AS \"import\" FROM {_lines(SOURCES.sql)} WHERE regexp_matches(trim(line), '^(?:use |pub use |mod )'))"
-_TESTS = f"(SELECT path, line_no, trim(line) AS test FROM {_lines(SOURCES.sql)} WHERE starts_with(trim(line), 'fn test_'))"
+_IMPORTS = f"(SELECT path, line_no, regexp_replace(trim(line), ';+$', '') AS \"import\" FROM {_lines(_CODE)} WHERE regexp_matches(trim(line), '^(?:use |pub use |mod )'))"
+_TESTS = f"(SELECT path, line_no, trim(line) AS test FROM {_lines(_CODE)} WHERE starts_with(trim(line), 'fn test_'))"
 _TOKENS = "greatest(1, length({c}) // 4 + len(regexp_extract_all({c}, '{m}')) // 12)"
 _MARK = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}!-/:-@\[-`{-~]"
 
@@ -126,18 +136,18 @@ SQL = {
     "call_edges": f"SELECT * FROM {_calls(_ITEMS)}",
     "test_refs": f"SELECT * FROM {_TESTS}",
     "find_symbol": f"SELECT * FROM {_symbols(_ITEMS)} WHERE contains(lower(name), 'token')",
-    "find_callers": f"SELECT * FROM {_calls(SOURCES.sql)} WHERE contains(to_symbol, 'login')",
+    "find_callers": f"SELECT * FROM {_calls(_CODE)} WHERE contains(to_symbol, 'login')",
     "find_tests": f"SELECT * FROM {_TESTS} WHERE contains(test, 'login')",
-    "outline": f"SELECT name, kind, line_no FROM {_symbols(SOURCES.sql)} WHERE path = 'src/db.rs'",
+    "outline": f"SELECT name, kind, line_no FROM {_symbols(_CODE)} WHERE path = 'src/db.rs'",
     "diff_impact": f"""
         SELECT 'src/auth.rs' AS changed_path, *, 3 * symbols + 2 * imports + tests AS risk_score FROM (SELECT
-          (SELECT count(*) FROM {_symbols(SOURCES.sql)} WHERE path = 'src/auth.rs') AS symbols, (SELECT count(*) FROM {_IMPORTS} WHERE path = 'src/auth.rs') AS imports,
+          (SELECT count(*) FROM {_symbols(_CODE)} WHERE path = 'src/auth.rs') AS symbols, (SELECT count(*) FROM {_IMPORTS} WHERE path = 'src/auth.rs') AS imports,
           (SELECT count(*) FROM {_TESTS} WHERE path = 'src/auth.rs') AS tests)""",
     "context_package": f"""
         WITH p AS (
-          SELECT 1 AS section, path, line_no, 'Symbol: ' || kind || ' ' || name || ' in ' || path || ':' || line_no AS content FROM {_symbols(SOURCES.sql)} WHERE contains(lower(name), 'login')
+          SELECT 1 AS section, path, line_no, 'Symbol: ' || kind || ' ' || name || ' in ' || path || ':' || line_no AS content FROM {_symbols(_CODE)} WHERE contains(lower(name), 'login')
           UNION ALL SELECT 2, path, line_no, 'Import: ' || path || ' -> ' || "import" FROM {_IMPORTS}
-          UNION ALL SELECT 3, path, line_no, 'Call: ' || from_symbol || ' -> ' || to_symbol || ' in ' || path FROM {_calls(SOURCES.sql)}
+          UNION ALL SELECT 3, path, line_no, 'Call: ' || from_symbol || ' -> ' || to_symbol || ' in ' || path FROM {_calls(_CODE)}
           UNION ALL SELECT 4, path, line_no, 'Test: ' || path || ' references ' || test FROM {_TESTS}),
         k AS (SELECT section, row_number() OVER (PARTITION BY section ORDER BY path, line_no, content) AS pos, content FROM p)
         SELECT section, pos, content, {_TOKENS.format(c="content", m=_MARK)} AS tokens FROM k WHERE pos <= 3""",
@@ -161,7 +171,13 @@ SQL = {
         SELECT path, line_no, line FROM {_lines(_ITEMS)} QUALIFY max(contains(line, 'token')::INTEGER) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) = 1""",
     "skeletons": f"""
         SELECT path, string_agg(lpad(line_no::VARCHAR, 4, ' ') || '| ' || line, chr(10) ORDER BY line_no) AS skeleton
-        FROM {_lines(SOURCES.sql)} JOIN {_symbols(SOURCES.sql)} USING (path, line_no) GROUP BY path""",
+        FROM {_lines(_CODE)} JOIN {_symbols(_CODE)} USING (path, line_no) GROUP BY path""",
+    "rename_preview": rf"""
+        SELECT path, line_no, line AS before, regexp_replace(line, '\bpath\b', 'place', 'g') AS after FROM (
+          SELECT *, list_transform(range(1, len(p)), lambda i: array_to_string(p[1:i], 'path')) AS b FROM (SELECT *, regexp_split_to_array(line, '\bpath\b') AS p FROM {_lines(_CODE)} WHERE regexp_matches(line, '\bpath\b')))
+        WHERE NOT regexp_matches(line, '^ *(?://|#|--|;;|%|/\*|\*)') AND len(list_filter(b, lambda x: {" AND ".join(f"(len(regexp_extract_all(regexp_replace(x, $r$\\{q}$r$, '', 'g'), $r${q}$r$)) % 2 = 0)" for q in ("'", '"', "`"))})) > 0""",
+    "index_counts": f"""
+        SELECT (SELECT count(*) FROM {_symbols(_CODE)}) AS symbols, (SELECT count(*) FROM {_IMPORTS}) AS imports, (SELECT count(*) FROM {_calls(_CODE)}) AS calls, (SELECT count(*) FROM {_TESTS}) AS tests""",
     "read_mode": f"SELECT path, CASE WHEN len({_LIST}) < 100 THEN 'full' ELSE 'skeleton' END AS mode FROM {_ITEMS}",
     "language_detect": f"""
         SELECT summary_id, {_language(G.READ_LANGUAGES, "NULL")} AS read, {_language(G.INDEX_LANGUAGES, "'Unknown'")} AS "index", {_language(G.MAP_LANGUAGES, "NULL", True)} AS "map",
@@ -169,6 +185,9 @@ SQL = {
     "symbol_visibility": f"""
         SELECT path, name, CASE WHEN path LIKE '%.rs' THEN CASE WHEN starts_with(trim(line), 'pub') THEN 'public' ELSE 'private' END
           WHEN path LIKE '%.py' THEN CASE WHEN starts_with(name, '_') THEN 'private' ELSE 'public' END
-          WHEN path LIKE '%.ts' THEN CASE WHEN starts_with(trim(line), 'export') THEN 'public' ELSE 'private' END END AS visibility
-        FROM {_symbols(SOURCES.sql)} JOIN {_lines(SOURCES.sql)} USING (path, line_no)""",
+          WHEN regexp_matches(path, '\\.[tj]sx?$') THEN CASE WHEN starts_with(trim(line), 'export') THEN 'public' ELSE 'private' END
+          WHEN path LIKE '%.go' THEN CASE WHEN regexp_matches(name, '^[A-Z]') THEN 'public' ELSE 'private' END
+          WHEN regexp_matches(path, '\\.(?:java|php|swift|cpp|cc|cxx|hpp|hh|hxx|c|h)$') THEN CASE WHEN regexp_matches(line, '\\bprivate\\b') THEN 'private' WHEN regexp_matches(line, '\\bprotected\\b') THEN 'protected' WHEN NOT regexp_matches(path, '\\.[ch]$') THEN 'public' END
+          WHEN regexp_matches(line, '\\bprivate\\b') THEN 'private' WHEN regexp_matches(line, '\\bprotected\\b') THEN 'protected' END AS visibility
+        FROM {_symbols(_CODE)} JOIN {_lines(_CODE)} USING (path, line_no)""",
 }

@@ -14,15 +14,9 @@ MOST = 6
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "run_results", "run_id", "command", "command_type", "raw_lines", "compressed_lines", "compressed_output").distinct()
-
-
-def _fixture(how, id: int | None = None):  # noqa: A002, ANN001, ANN202
-    def query(spark: SparkSession, d: str) -> DataFrame:
-        df = LOGS.df(spark)
-        return (df if id is None else df.where(F.col("id") == id)).select("id", how(F.col("raw"), MOST).alias("short"))
-
-    return query
+    """The runs, each once, and literal ones of formats that the table does not hold."""
+    runs = load(spark, d, "run_results", "run_id", "command", "command_type", "raw_lines", "compressed_lines", "compressed_output").distinct()
+    return runs.unionByName(LOGS.df(spark).select((-F.col("id")).cast("bigint").alias("run_id"), "command", F.col("raw").alias("compressed_output")), allowMissingColumns=True)
 
 
 def _outputs(how):  # noqa: ANN001, ANN202
@@ -63,12 +57,9 @@ QUERIES = {
     "compress_git": lambda s, d: load(s, d, "context_items", "item_id", "content").select("item_id", L.git(F.col("content"), MOST).alias("short")),
     "compress_test": _outputs(L.test_output),
     "compress_compiler": _outputs(L.compiler),
-    "compress_linter": _fixture(L.linter),
-    "compress_packages": _fixture(L.package_manager),
-    "compress_formatter": _fixture(L.formatter),
-    "compress_linter_runs": _outputs(L.linter),
-    "compress_packages_runs": _outputs(L.package_manager),
-    "compress_formatter_runs": _outputs(L.formatter),
+    "compress_linter": _outputs(L.linter),
+    "compress_packages": _outputs(L.package_manager),
+    "compress_formatter": _outputs(L.formatter),
     "compress_dispatch": lambda s, d: _runs(s, d).select("run_id", L.classify(F.col("command")).alias("kind"), L.compress(F.col("command"), F.col("compressed_output"), MOST).alias("short")),
     "search_prefixes": search_prefixes,
     "diff_totals": diff_totals,
@@ -81,7 +72,7 @@ QUERIES = {
     "project_context_triage": context_triage,
 }
 
-_RUNS = "(SELECT DISTINCT run_id, command, command_type, raw_lines, compressed_lines, compressed_output FROM run_results)"
+_RUNS = f"(SELECT DISTINCT run_id, command, command_type, raw_lines, compressed_lines, compressed_output FROM run_results UNION ALL SELECT -id, command, NULL, NULL, NULL, raw FROM {LOGS.sql})"
 _ALL = "string_split(replace({t}, chr(13) || chr(10), chr(10)), chr(10))"
 
 
@@ -120,8 +111,9 @@ files AS (SELECT item_id, f, max(CASE WHEN starts_with(x, 'diff --git ') THEN re
   count(*) FILTER (WHERE x LIKE '+%' AND NOT x LIKE '+++%') AS added, count(*) FILTER (WHERE x LIKE '-%' AND NOT x LIKE '---%') AS removed, count(*) FILTER (WHERE x LIKE '@@%') AS hunks
   FROM g WHERE f > 0 GROUP BY item_id, f)
 """.replace("{lines}", _lines("content"))
+_RAW = f"(SELECT run_id AS id, compressed_output AS raw FROM {_RUNS})"
 _BLOCK = f"""
-WITH x AS (SELECT id, raw, i, l[i] AS x, l[i + 1] AS y, len(l) AS n FROM (SELECT id, raw, {_lines("raw")} AS l FROM {LOGS.sql}), unnest(range(1, len(l) + 1)) AS u(i)),
+WITH x AS (SELECT id, raw, i, l[i] AS x, l[i + 1] AS y, len(l) AS n FROM (SELECT id, raw, {_lines("raw")} AS l FROM {_RAW}), unnest(range(1, len(l) + 1)) AS u(i)),
 """
 
 SQL = {
@@ -144,7 +136,7 @@ SQL = {
     + f"""b AS (SELECT *, CASE WHEN x LIKE 'error:%' OR x LIKE 'error[%' THEN 0 WHEN x LIKE 'warning:%' THEN 1 WHEN x LIKE 'suggestion:%' OR x LIKE 'note:%' OR x LIKE 'help:%' THEN 2 END AS sev, coalesce(ltrim(y) LIKE '-->%', false) AS p FROM x),
         u AS (SELECT *, sum(CASE WHEN p THEN 2 ELSE 1 END) OVER (PARTITION BY id ORDER BY sev, i) AS used FROM b WHERE sev IS NOT NULL),
         s AS (SELECT id, string_agg(x || CASE WHEN p THEN chr(10) || y ELSE '' END, chr(10) ORDER BY sev, i) AS body FROM u WHERE used <= {MOST} GROUP BY id)
-        SELECT a.id, CASE WHEN n <= {MOST} OR n IS NULL THEN a.raw ELSE coalesce(body, '') END AS short FROM {LOGS.sql} a LEFT JOIN (SELECT DISTINCT id, n FROM x) USING (id) LEFT JOIN s USING (id)""",
+        SELECT a.id AS run_id, CASE WHEN n <= {MOST} OR n IS NULL THEN a.raw ELSE coalesce(body, '') END AS short FROM {_RAW} a LEFT JOIN (SELECT DISTINCT id, n FROM x) USING (id) LEFT JOIN s USING (id)""",
     "compress_formatter": _BLOCK
     + f"""b AS (SELECT id, i, trim(x) AS x, trim(x) LIKE 'Formatted %' OR trim(x) LIKE 'Reformatted %' AS done FROM x),
         e AS (SELECT id, max(i) AS i FROM b WHERE NOT done AND x LIKE '%file%' AND (x LIKE '%formatted%' OR x LIKE '%changed%') GROUP BY id),
@@ -152,7 +144,7 @@ SQL = {
         p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k, i) AS pos FROM o),
         s AS (SELECT id, string_agg(x, chr(10) ORDER BY pos) AS body FROM p WHERE pos <= {MOST} GROUP BY id),
         h AS (SELECT id, string_agg(x, chr(10) ORDER BY i) AS head FROM x WHERE i <= {MOST} GROUP BY id)
-        SELECT a.id, CASE WHEN n <= {MOST} OR n IS NULL THEN a.raw ELSE coalesce(body, head) END AS short FROM {LOGS.sql} a LEFT JOIN (SELECT DISTINCT id, n FROM x) USING (id) LEFT JOIN s USING (id) LEFT JOIN h USING (id)""",
+        SELECT a.id AS run_id, CASE WHEN n <= {MOST} OR n IS NULL THEN a.raw ELSE coalesce(body, head) END AS short FROM {_RAW} a LEFT JOIN (SELECT DISTINCT id, n FROM x) USING (id) LEFT JOIN s USING (id) LEFT JOIN h USING (id)""",
     "compress_packages": _BLOCK
     + f"""q AS (SELECT *, NOT regexp_matches(x, '^(?: {{1,4}}Downloading | {{2,4}}Fetching | {{2,3}}Unpacking |  Locking )') AS quiet,
           regexp_matches(ltrim(x), '^(?:error|warning|Downloaded|added |Compiling|Finished|Installing|Installed|Removed|Summary)') AS matter FROM x),
@@ -160,7 +152,7 @@ SQL = {
         k AS (SELECT q.*, row_number() OVER (PARTITION BY q.id ORDER BY i) AS pos, count(*) OVER (PARTITION BY q.id) AS total FROM q JOIN c USING (id) WHERE CASE WHEN nq > {MOST} THEN matter ELSE quiet END),
         s AS (SELECT id, string_agg(x, chr(10) ORDER BY pos) FILTER (WHERE pos <= {MOST}) || CASE WHEN max(total) > {MOST} THEN chr(10) || '... ' || (max(total) - {MOST}) || ' more lines' ELSE '' END AS body FROM k GROUP BY id),
         h AS (SELECT id, string_agg(x, chr(10) ORDER BY i) AS tail FROM x WHERE i > n - {MOST} GROUP BY id)
-        SELECT a.id, CASE WHEN n <= {MOST} OR n IS NULL THEN a.raw ELSE coalesce(body, tail) END AS short FROM {LOGS.sql} a LEFT JOIN (SELECT DISTINCT id, n FROM x) USING (id) LEFT JOIN s USING (id) LEFT JOIN h USING (id)""",
+        SELECT a.id AS run_id, CASE WHEN n <= {MOST} OR n IS NULL THEN a.raw ELSE coalesce(body, tail) END AS short FROM {_RAW} a LEFT JOIN (SELECT DISTINCT id, n FROM x) USING (id) LEFT JOIN s USING (id) LEFT JOIN h USING (id)""",
     "search_prefixes": f"SELECT string_split(x, ':')[1] AS prefix, count(*) AS lines FROM (SELECT unnest({_lines('compressed_output')}) AS x FROM {_RUNS}) WHERE x LIKE '%:%' GROUP BY 1",
     "diff_totals": _DIFF + "SELECT item_id, count(*) AS files, CAST(sum(added) AS BIGINT) AS additions, CAST(sum(removed) AS BIGINT) AS deletions, CAST(sum(hunks) AS BIGINT) AS hunks FROM files GROUP BY item_id",
     "error_signature": f"SELECT run_id, {_SIGNATURE} AS signature FROM {_SIGNED.format(t=_RUNS)}",

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from contextframe.operators import codegraph as G
 from contextframe.operators import policy as P
 from contextframe.operators import quality as Q
-from contextframe.plans.codegraph import SOURCES, _lines, _symbols
+from contextframe.plans.codegraph import _CODE, SOURCES, _language, _lines, _symbols, code_files
 from contextframe.plans.fixtures import Fixture
-from contextframe.sources import git
+from contextframe.sources import files, git
 from contextframe.sources.tables import load
 
 OLD = Fixture("name string, kind string, signature string, visibility string, size int", [("a", "function", "fn a()", "public", 3), ("b", "function", "fn b()", "private", 2), ("c", "struct", "struct c", "public", 5), ("e", "function", "fn e()", "public", 9)])
@@ -57,11 +57,11 @@ CALLS = Fixture(
 TASKS = [("browser", "screenshot"), ("search", "search"), ("git", "commit")]
 
 
-def _tests(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    files = SOURCES.df(spark).withColumn("lang", G.language(F.col("path"), G.READ_LANGUAGES))
+def _tests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sources = code_files(spark, d).unionByName(SOURCES.df(spark)).withColumn("lang", G.language(F.col("path"), G.READ_LANGUAGES))
     is_test = F.coalesce(Q.is_test_file(F.col("path"), F.col("content"), F.col("lang")), F.lit(False))
-    functions = G.symbols(files.where(~is_test)).where("kind = 'function'")
-    return functions, files.where(is_test)
+    functions = G.symbols(sources.where(~is_test)).where("kind = 'function'")
+    return functions, sources.where(is_test)
 
 
 def untested(spark: SparkSession, d: str) -> DataFrame:
@@ -100,15 +100,23 @@ def project_map(spark: SparkSession, d: str) -> DataFrame:
     """Source files of limited depth by lines, with their language and symbols."""
     from contextframe.sources.files import project_map as mapped
 
-    return mapped(SOURCES.df(spark), 3)
+    return mapped(code_files(spark, d).unionByName(SOURCES.df(spark)), 5)
+
+
+def prefetch(spark: SparkSession, d: str) -> DataFrame:
+    """The files to read next to those of the context items, among the summarised ones; those without a hash count as read."""
+    summaries = load(spark, d, "file_summaries", "path", "hash").where("path IS NOT NULL")
+    files = summaries.select("path").unionByName(SOURCES.df(spark).select("path")).distinct()
+    opened = load(spark, d, "context_items", "path").where("path IS NOT NULL").unionByName(SOURCES.df(spark).select("path").where("path = 'src/auth.rs'")).distinct()
+    return Q.prefetch(opened, files, summaries.where("hash IS NULL").select("path").distinct())
 
 
 QUERIES = {
-    "coverage_map": lambda s, d: Q.coverage(Q.tested(*_tests(s))),
+    "coverage_map": lambda s, d: Q.coverage(Q.tested(*_tests(s, d))),
     "untested_functions": untested,
-    "test_selection": lambda s, d: Q.selected_tests(_tests(s)[1], "auth", ["login", "audit"]),
-    "test_command": lambda s, d: Q.test_command(Q.selected_tests(_tests(s)[1], "auth", ["login"])),
-    "prefetch": lambda s, d: Q.prefetch(SOURCES.df(s).select("path").where("path = 'src/auth.rs'"), SOURCES.df(s), SOURCES.df(s).where("path = 'docs/empty.md'")),
+    "test_selection": lambda s, d: Q.selected_tests(_tests(s, d)[1], "auth", ["login", "audit"]),
+    "test_command": lambda s, d: Q.test_command(Q.selected_tests(_tests(s, d)[1], "auth", ["login"])),
+    "prefetch": prefetch,
     "semantic_diff": lambda s, d: Q.semantic_diff(OLD.df(s), NEW.df(s)),
     "edit_confidence": lambda s, d: Q.confidence(EDITS.df(s)).select("id", *Q.CONFIDENCE, "score", "verdict", "weakest", "suggestion"),
     "health_scores": health_scores,
@@ -137,9 +145,9 @@ QUERIES = {
     "project_map": project_map,
 }
 
-_IS_TEST = "(regexp_matches(path, '(?:^|/)tests?/') OR (path LIKE '%.rs' AND (contains(content, '#[test]') OR contains(content, '#[cfg(test)]'))) OR (path LIKE '%.py' AND regexp_matches(path, '(?:^|/)test_[^/]*$|_test\\.py$')) OR (regexp_matches(path, '\\.[tj]sx?$') AND regexp_matches(path, '\\.(?:test|spec)\\.')))"
-_FN = f"(SELECT * FROM {_symbols(f'(SELECT * FROM {SOURCES.sql} WHERE NOT {_IS_TEST})')} WHERE kind = 'function')"
-_TF = f"(SELECT path AS t, content FROM {SOURCES.sql} WHERE {_IS_TEST})"
+_IS_TEST = "(regexp_matches(path, '(?:^|/)tests?/') OR (path LIKE '%.java' AND regexp_matches(path, '(?:Test|Spec)\\.java$')) OR (path LIKE '%.rs' AND (contains(content, '#[test]') OR contains(content, '#[cfg(test)]'))) OR (path LIKE '%.py' AND regexp_matches(path, '(?:^|/)test_[^/]*$|_test\\.py$')) OR (regexp_matches(path, '\\.[tj]sx?$') AND regexp_matches(path, '\\.(?:test|spec)\\.')))"
+_FN = f"(SELECT * FROM {_symbols(f'(SELECT * FROM {_CODE} WHERE NOT coalesce({_IS_TEST}, false))')} WHERE kind = 'function')"
+_TF = f"(SELECT path AS t, content FROM {_CODE} WHERE {_IS_TEST})"
 _HEALTH = """
 WITH p AS (SELECT path, count(*) AS n, max(coalesce(estimated_tokens, 0)) AS t, count(hash) AS h FROM file_summaries GROUP BY path),
 s AS (SELECT path AS file, CAST(round(round(least(n * 20, 100) * 0.25::DOUBLE + 50 * 0.2::DOUBLE + 50 * 0.2::DOUBLE + CASE WHEN t <= 50 THEN 100 WHEN t <= 100 THEN 85 WHEN t <= 200 THEN 70 WHEN t <= 500 THEN 50 ELSE 30 END * 0.2::DOUBLE
@@ -179,8 +187,16 @@ SQL = {
         SELECT t AS path, array_to_string(list_filter([CASE WHEN contains(content, 'auth') THEN 'references module ''auth''' END, CASE WHEN contains(content, 'login') THEN 'references symbol ''login''' END,
           CASE WHEN contains(content, 'audit') THEN 'references symbol ''audit''' END], lambda x: x IS NOT NULL), ', ') AS reason FROM {_TF}
         WHERE contains(content, 'auth') OR contains(content, 'login') OR contains(content, 'audit')""",
-    "test_command": "SELECT 'cargo test --test auth_test' AS command",
-    "prefetch": "SELECT 'src/auth.rs' AS path, unnest(['tests/auth_test.rs', 'src/db.rs']) AS next, unnest([1, 2]) AS k",
+    "test_command": f"""
+        SELECT array_to_string(['cargo test'] || coalesce(list_sort(list(DISTINCT '--test ' || regexp_extract(t, '([^/]*)\\.rs$', 1)) FILTER (WHERE regexp_extract(t, '([^/]*)\\.rs$', 1) <> '')), []), ' ') AS command
+        FROM {_TF} WHERE contains(content, 'auth') OR contains(content, 'login')""",
+    "prefetch": f"""
+        WITH a AS (SELECT DISTINCT path FROM file_summaries WHERE path IS NOT NULL UNION SELECT path FROM {SOURCES.sql}), o AS (SELECT DISTINCT path FROM context_items WHERE path IS NOT NULL UNION SELECT 'src/auth.rs'),
+        r AS (SELECT DISTINCT path FROM file_summaries WHERE hash IS NULL), f AS (SELECT path, regexp_extract(path, '([^/]*)$', 1) AS file, regexp_extract(path, '^(.*/)?[^/]*$', 1) AS folder FROM a WHERE path NOT IN (SELECT path FROM r WHERE path IS NOT NULL)),
+        q AS (SELECT path, regexp_extract(path, '([^/]*?)\\.[^./]*$', 1) AS stem, regexp_extract(path, '^(.*/)?[^/]*$', 1) AS folder FROM o),
+        c AS (SELECT q.path, f.path AS next, 0 AS rank FROM q JOIN f ON f.file IN ('test_' || stem || '.py', stem || '_test.rs', 'test_' || stem || '.rs', stem || '.test.ts') UNION ALL SELECT q.path, f.path, 1 FROM q JOIN f USING (folder) WHERE q.path <> f.path),
+        m AS (SELECT path, next, min(rank) AS rank FROM c GROUP BY 1, 2)
+        SELECT path, next, row_number() OVER (PARTITION BY path ORDER BY rank, next) AS k FROM m QUALIFY k <= 3""",
     "semantic_diff": f"""
         WITH o AS (SELECT * FROM {OLD.sql}), n AS (SELECT * FROM {NEW.sql}), j AS (SELECT o.name, o.signature AS os, n.signature AS ns, o.visibility AS ov, n.visibility AS nv, o.size AS oz, n.size AS nz FROM o JOIN n ON o.name = n.name AND o.kind = n.kind)
         SELECT name, 'symbol_removed' AS change, signature AS before, NULL AS after, true AS breaking FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.name = o.name AND n.kind = o.kind)
@@ -225,10 +241,16 @@ SQL = {
         a AS (SELECT id, c, max(CASE WHEN starts_with(x, 'COMMIT:') THEN x[8:] END) AS h, coalesce(string_agg(trim(x), ',' ORDER BY i) FILTER (WHERE NOT starts_with(x, 'COMMIT:') AND trim(x) <> ''), '') AS files FROM g WHERE c > 0 GROUP BY id, c)
         SELECT id, regexp_extract(h, '^([^|]*)', 1) AS hash, regexp_extract(h, '^[^|]*\\|([^|]*)', 1) AS author, regexp_extract(h, '^[^|]*\\|[^|]*\\|(.*)$', 1) AS subject, files,
           CASE WHEN starts_with(lower(regexp_extract(h, '^[^|]*\\|[^|]*\\|(.*)$', 1)), 'feat') THEN 'feature' WHEN starts_with(lower(regexp_extract(h, '^[^|]*\\|[^|]*\\|(.*)$', 1)), 'fix') THEN 'bugfix' ELSE 'other' END AS category FROM a""",
-    "git_blame": "SELECT 1 AS id, unnest([1, 2, 3, 4])::INTEGER AS line_no, unnest(['abcdef1', 'abcdef1', '1234567', 'abcdef1']) AS hash, unnest(['Ann', 'Ann', 'Bob', 'Ann']) AS author, unnest(['2023-11-14', '2023-11-14', '2020-09-13', '2023-11-14']) AS date, unnest(['fn a() {', '}', 'fn b() {}', 'last']) AS content",
+    "git_blame": f"""
+        WITH l AS (SELECT id, i, p[i] AS x FROM (SELECT id, string_split(text, chr(10)) AS p FROM {BLAME.sql}), unnest(range(1, len(p) + 1)) AS u(i)),
+        h AS (SELECT *, nullif(regexp_extract(x, '^([0-9a-f]{{7,40}}) \\d+ (\\d+)', 1), '') AS h, nullif(regexp_extract(x, '^[0-9a-f]{{7,40}} \\d+ (\\d+)', 1), '') AS n FROM l),
+        c AS (SELECT *, last_value(h IGNORE NULLS) OVER w AS hash, last_value(n IGNORE NULLS) OVER w AS line_no FROM h WINDOW w AS (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+        a AS (SELECT id, hash, max(CASE WHEN starts_with(x, 'author ') THEN x[8:] END) AS author, max(CASE WHEN starts_with(x, 'author-time ') THEN x[13:] END) AS t FROM c GROUP BY 1, 2)
+        SELECT c.id, c.line_no::INTEGER AS line_no, c.hash, author, strftime(to_timestamp(t::BIGINT) AT TIME ZONE 'UTC', '%Y-%m-%d') AS date, x[2:] AS content FROM c JOIN a ON c.id = a.id AND c.hash = a.hash WHERE starts_with(x, chr(9))""",
     "commit_category": "SELECT doc_id, CASE " + " ".join(f"WHEN starts_with(lower(text), '{p}') THEN '{n}'" for p, n in git.COMMITS.items()) + " ELSE 'other' END AS category FROM documents WHERE kind = 'commit' AND text IS NOT NULL",
     "project_map": f"""
-        WITH l AS (SELECT path, count(*) FILTER (WHERE trim(line) <> '') AS loc FROM {_lines(SOURCES.sql)} GROUP BY path), s AS (SELECT path, count(*) AS symbols FROM {_symbols(SOURCES.sql)} GROUP BY path)
-        SELECT path, CASE WHEN path LIKE '%.rs' THEN 'rust' WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.ts' THEN 'typescript' ELSE 'markdown' END AS language, coalesce(loc, 0) AS loc, coalesce(symbols, 0) AS symbols
-        FROM {SOURCES.sql} LEFT JOIN l USING (path) LEFT JOIN s USING (path)""",
+        WITH l AS (SELECT path, count(*) FILTER (WHERE trim(line) <> '') AS loc FROM {_lines(_CODE)} GROUP BY path), s AS (SELECT path, count(*) AS symbols FROM {_symbols(_CODE)} GROUP BY path)
+        SELECT path, {_language(G.MAP_LANGUAGES, "NULL", True)} AS language, coalesce(loc, 0) AS loc, coalesce(symbols, 0) AS symbols
+        FROM {_CODE} LEFT JOIN l USING (path) LEFT JOIN s USING (path)
+        WHERE len(string_split(path, '/')) <= 5 AND NOT list_has_any(string_split(path, '/'), {list(files.IGNORED)!r}) AND lower(regexp_extract(path, '\\.([^./]+)$', 1)) NOT IN {files.BINARY!r}""",
 }
