@@ -159,6 +159,28 @@ def context_items(found: DataFrame, used: DataFrame, made: DataFrame, tests: Dat
     return items.withColumn("tokens", estimate_tokens_marks(F.col("content")))
 
 
+#: Files and tokens of a package that is made of summaries, and what stands in one without anything.
+SUMMARY_FILES, SUMMARY_TOKENS = 8, 30_000
+STUB = "No context was found for this goal."
+
+
+def task_context(found: DataFrame, used: DataFrame, made: DataFrame, tests: DataFrame, files: DataFrame, goal: str, word: str, most: int = 12) -> DataFrame:
+    """(level, section, pos, content, tokens) of a goal's package: the items of the index, else summaries of the best files, else a stub.
+
+    Files are ranked by the goal's words in their paths; summaries end with the one that
+    reaches the tokens. Paths must be unique.
+    """
+    first = context_items(found, used, made, tests, word, most).select(F.lit(1).alias("level"), "section", "pos", "content", "tokens")
+    ranked = rank_paths(files.select("path", F.lit(0).alias("pos")), goal).orderBy(F.desc("score"), "path").limit(SUMMARY_FILES)
+    texts = files.join(F.broadcast(ranked), "path").select(F.lit(0).alias("one"), "path", "score", summary(F.col("path"), F.col("content")).alias("content"))
+    placed = texts.withColumn("pos", F.row_number().over(Window.partitionBy("one").orderBy(F.desc("score"), "path"))).withColumn("tokens", estimate_tokens_marks(F.col("content")))
+    second = within_tokens(placed, SUMMARY_TOKENS, ["one"], ["pos"]).select(F.lit(2).alias("level"), F.lit(5).alias("section"), "pos", "content", "tokens")
+    third = files.sparkSession.range(1).select(F.lit(3).alias("level"), F.lit(6).alias("section"), F.lit(1).alias("pos"), F.lit(STUB).alias("content")).withColumn("tokens", estimate_tokens_marks(F.col("content")))
+    items = first.unionByName(second).unionByName(third)
+    best = items.agg(F.min("level").alias("level"))
+    return items.join(F.broadcast(best), "level")
+
+
 def within_tokens(items: DataFrame, most: int, keys: list[str], order: list[str]) -> DataFrame:
     """The items of each key before the tokens run out; the one that crosses the limit stays."""
     before = F.coalesce(F.sum("tokens").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

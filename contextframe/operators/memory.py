@@ -138,3 +138,35 @@ def context_lines(observations: DataFrame) -> DataFrame:
     """The records' lines of a context block: type, title and the first 100 characters."""
     preview = F.replace(F.substring("text", 1, 100), F.lit("\n"), F.lit(" "))
     return observations.select("id", F.format_string("  [%s] %s — %s", "observation_type", F.coalesce("title", F.lit("(untitled)")), preview).alias("line"))
+
+
+def most_accessed(counts: DataFrame, project: str | None = None) -> DataFrame:
+    """The files of :func:`access_counts`, the most read first."""
+    kept = counts if project is None else counts.where(F.col("project") == project)
+    return kept.orderBy(F.desc("access_count"), "project", "file")
+
+
+def compact_index(observations: DataFrame, n: int = 10) -> DataFrame:
+    """(id, observation_type, title) of the first n records: what is shown before any is read whole."""
+    return observations.select("id", "observation_type", "title").orderBy("id").limit(n)
+
+
+def health_rows(log: DataFrame, factors: dict[str, Column]) -> DataFrame:
+    """(file, factors, health): of a log of health rows (file, seq and the factors) the last of each file, with its score."""
+    from contextframe.operators.quality import health
+
+    last = insert_or_replace(log.select("file", "seq", *[value.alias(name) for name, value in factors.items()]), "file", ["seq"])
+    return last.select("file", *factors, health({name: F.col(name) for name in factors}).alias("health"))
+
+
+def merged_timeline(parts: list[DataFrame], n: int = 100) -> DataFrame:
+    """The last n rows of several timelines (at, key and what else they share), in order of time."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.where("at IS NOT NULL").orderBy(F.desc("at"), F.desc("key")).limit(n).orderBy("at", "key")
+
+
+def plan_steps(query: str) -> list[str]:
+    """How to read the store step by step: index, timeline, whole records."""
+    return [f"index of records for '{query}'", "timeline around the chosen ids", "whole records of the ids that are left"]

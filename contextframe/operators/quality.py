@@ -64,6 +64,26 @@ def test_command(selected: DataFrame) -> DataFrame:
     return selected.agg(F.concat_ws(" ", F.lit("cargo test"), names).alias("command"))
 
 
+def project_tests(files: DataFrame) -> DataFrame:
+    """(runner, command, test_files) of a project: one row, by the manifests in its root; Cargo if none tells.
+
+    Test files are those directly in ``tests`` with an ending of the runners.
+    """
+    has = lambda *names: F.coalesce(F.bool_or(F.col("path").isin(*names)), F.lit(False))
+    runner = F.when(has("Cargo.toml"), "cargo").when(has("package.json"), "npm").when(has("pytest.ini", "setup.py"), "pytest").otherwise("cargo")
+    count = F.count_if(F.regexp_like("path", F.lit(r"^tests/[^/]*(?:\.rs|\.py|\.test\.ts|\.test\.js)$")))
+    command = F.when(F.col("runner") == "npm", "npm test").when(F.col("runner") == "pytest", "pytest").otherwise("cargo test")
+    return files.agg(runner.alias("runner"), count.alias("test_files")).select("runner", command.alias("command"), "test_files")
+
+
+def selective_command(selected: DataFrame, runner: str) -> DataFrame:
+    """One row with the command that runs the selected tests with the project's runner: what it runs is one text."""
+    if runner == "cargo":
+        return test_command(selected)
+    names = F.array_sort(F.collect_set("path"))
+    return selected.agg(F.concat_ws(" ", F.lit("npx jest" if runner == "npm" else "pytest"), names).alias("command"))
+
+
 def semantic_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(change, name, before, after, breaking): symbols removed, added and changed between two versions, by name and kind.
 

@@ -34,6 +34,26 @@ def phases(calls: DataFrame, bucket: Column | None = None) -> DataFrame:
     return found.withColumn("phase", F.coalesce("phase", F.lit("Idle")))
 
 
+def compacted_phases(calls: DataFrame, bucket: Column | None = None) -> DataFrame:
+    """:func:`phases` with compactions: ``pre_compact`` shows Compacting and ``post_compact`` brings the phase before it back.
+
+    What happens within a compaction holds until its end; a ``post_compact`` without a
+    ``pre_compact``, and ``cwd_changed``, lead to Idle.
+    """
+    bucket = F.lit(0) if bucket is None else bucket
+    own = F.when(F.col("tool") == "cwd_changed", "Idle")
+    for tool, name in PHASES.items():
+        own = own.when(F.col("tool") == tool, name)
+    mark = F.when(F.col("tool").isin("pre_compact", "post_compact"), F.col("tool"))
+    rows = carried(calls.select("session_id", "seq", "tool"), "session_id", bucket, ["seq"], mark, "_now")
+    rows = carried(rows, "session_id", bucket, ["seq"], mark, "_before", before=True)
+    inside = F.coalesce(F.col("_now") == "pre_compact", F.lit(False))
+    orphan = (F.col("tool") == "post_compact") & ~F.coalesce(F.col("_before") == "pre_compact", F.lit(False))
+    rows = carried(rows, "session_id", bucket, ["seq"], F.when(orphan, "Idle").when(~inside, own), "_outside")
+    rows = carried(rows, "session_id", bucket, ["seq"], F.when(F.col("tool") == "pre_compact", "Compacting").when(inside, own), "_inside")
+    return rows.select("session_id", "seq", "tool", F.when(inside, F.col("_inside")).otherwise(F.coalesce("_outside", F.lit("Idle"))).alias("phase"))
+
+
 def slots(actions: DataFrame, part: int = PART) -> DataFrame:
     """(slot, seq, value, full): each read of a slot with the last value written since it was cleared, full on the first read since then.
 
@@ -111,3 +131,13 @@ def neighbours(found: DataFrame, file: str) -> DataFrame:
     """(file, evidence): the files seen together with one."""
     other = F.when(F.col("file_a") == file, F.col("file_b")).otherwise(F.col("file_a"))
     return found.where((F.col("file_a") == file) | (F.col("file_b") == file)).select(other.alias("file"), "evidence")
+
+
+def as_json(rows: DataFrame, key: str) -> DataFrame:
+    """(key, state): each row's other columns as one JSON text."""
+    return rows.select(key, F.to_json(F.struct(*[c for c in rows.columns if c != key])).alias("state"))
+
+
+def from_json(states: DataFrame, key: str, schema: str) -> DataFrame:
+    """The rows of :func:`as_json` again; a text that is no such JSON gives nulls."""
+    return states.select(key, F.from_json("state", schema).alias("_s")).select(key, "_s.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: The modules of this package that register queries.
-MODULES = ("packed", "tokens", "memory", "logs", "session", "codegraph", "quality", "texts", "streaming")
+MODULES = ("packed", "tokens", "memory", "logs", "session", "codegraph", "quality", "texts", "streaming", "store")
 
 
 def _all(what: str) -> dict:

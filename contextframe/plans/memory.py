@@ -63,9 +63,10 @@ def _search(query: str, **how):  # noqa: ANN003, ANN202
 
 
 def session_event_search(spark: SparkSession, d: str) -> DataFrame:
-    """The best 20 runs of one session for a word."""
+    """The best 20 runs of one session, the first by id, for a word; the counts are those of all sessions."""
     runs = load(spark, d, "run_results", "run_id", "session_id", "command", "summary").distinct()
-    return S.search(runs, "the", key="run_id", limit=20, columns=("command", "summary"), condition=F.col("session_id").isNotNull())
+    first = load(spark, d, "run_results", "session_id").agg(F.min("session_id"))
+    return S.search(runs, "the", key="run_id", limit=20, columns=("command", "summary"), condition=F.col("session_id") == first.scalar())
 
 
 def cluster_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +129,7 @@ SELECT id AS {key}, round(-({score}), 6) AS score FROM f, s WHERE {hit}{cond} OR
 
 def _rank_sql(query: str, *, table: str = "observations", key: str = "id", columns: tuple[str, ...] = S.COLUMNS, cols: str = "project, observation_type", cond: str = "", limit: int = 10, offset: int = 0) -> str:
     terms = S.terms_of(query)
-    joined = " || '  |  ' || ".join(f"array_to_string(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+'), '  ')" for c in columns)
+    joined = " || '  |  ' || ".join(f"array_to_string(regexp_extract_all(strip_accents(lower(coalesce({c}, ''))), '[\\p{{L}}\\p{{N}}]+'), '  ')" for c in columns)
     phrases = [" " + "  ".join(term) + " " for term in terms]
     counts = ", ".join(f"(length(t) - length(replace(t, '{p}', ''))) // {len(p)} AS f{k}" for k, p in enumerate(phrases))
     dfs = ", ".join(f"count(*) FILTER (WHERE f{k} > 0) AS d{k}" for k in range(len(terms)))
@@ -174,7 +175,7 @@ SQL = {
     "memory_search_filtered": _rank_sql("cache", limit=50, cond=f" AND project = '{HOT_PROJECT}' AND observation_type = 'bugfix'"),
     "memory_search_page2": _rank_sql("token budget", offset=10),
     "memory_search_phrase": _rank_sql('release-branch "lock-file"', limit=20),
-    "session_event_search": _rank_sql("the", table="(SELECT DISTINCT run_id, session_id, command, summary FROM run_results)", key="run_id", columns=("command", "summary"), cols="session_id", cond=" AND session_id IS NOT NULL", limit=20),
+    "session_event_search": _rank_sql("the", table="(SELECT DISTINCT run_id, session_id, command, summary FROM run_results)", key="run_id", columns=("command", "summary"), cols="session_id", cond=" AND session_id = (SELECT min(session_id) FROM run_results)", limit=20),
     "cluster_jaccard_edges": f"""
         WITH o AS (SELECT id, project, created_at, {_SET.format(c="concepts")} AS items FROM observations WHERE project IS NOT NULL),
         c AS (SELECT project, items, min(row(created_at, id)) AS first FROM o WHERE len(items) > 0 GROUP BY 1, 2),
