@@ -68,7 +68,7 @@ QUERIES = {
     "run_summary_line": lambda s, d: _runs(s, d).select("run_id", L.summary_line(L.classify(F.col("command")), F.col("compressed_output"), F.col("compressed_output")).alias("summary")),
     "line_ratio": lambda s, d: _runs(s, d).select("run_id", L.line_ratio(F.col("raw_lines"), F.col("compressed_lines")).alias("ratio")),
     "bounded_output": lambda s, d: load(s, d, "context_items", "item_id", "content").select("item_id", F.octet_length(L.bounded(F.repeat(F.col("content"), 50))).alias("bytes")),
-    "relevant_test_errors": lambda s, d: _runs(s, d).select("run_id", F.size(L.test_errors(F.col("compressed_output"))).alias("errors"), F.array_join(F.array_sort(L.file_hints(F.col("compressed_output"))), ",").alias("files")),
+    "relevant_test_errors": lambda s, d: _runs(s, d).select("run_id", F.array_join(L.test_errors(F.col("compressed_output")), "\n").alias("errors"), F.array_join(F.array_sort(L.file_hints(F.col("compressed_output"))), ",").alias("files")),
     "project_context_triage": context_triage,
 }
 
@@ -116,7 +116,48 @@ _BLOCK = f"""
 WITH x AS (SELECT id, raw, i, l[i] AS x, l[i + 1] AS y, len(l) AS n FROM (SELECT id, raw, {_lines("raw")} AS l FROM {_RAW}), unnest(range(1, len(l) + 1)) AS u(i)),
 """
 
+_PLACED = f"""
+WITH t AS (SELECT run_id, command, compressed_output AS raw, {_lines("compressed_output")} AS l FROM {_RUNS}),
+"""
+#: Errors that fit whatever came before, then closing lines, then warnings up to the first that does not fit.
+_COMPILER = f"""
+cb AS (SELECT *, list_transform(range(1, len(l) + 1), lambda i: {{'x': l[i], 'b': l[i] || CASE WHEN coalesce(ltrim(l[i + 1]) LIKE '-->%', false) THEN chr(10) || l[i + 1] ELSE '' END, 's': CASE WHEN coalesce(ltrim(l[i + 1]) LIKE '-->%', false) THEN 2 ELSE 1 END}}) AS b FROM t),
+ce AS (SELECT *, list_filter(l, lambda x: starts_with(x, 'error: aborting') OR starts_with(x, 'error: could not compile')) AS ends,
+  list_reduce(list_filter(b, lambda e: NOT starts_with(e.x, 'error: aborting') AND NOT starts_with(e.x, 'error: could not compile') AND (starts_with(e.x, 'error[') OR (starts_with(e.x, 'error') AND contains(e.x, ']:')))),
+    lambda a, e: CASE WHEN a.s + e.s <= {MOST} THEN {{'x': '', 'b': CASE WHEN a.s = 0 THEN e.b ELSE a.b || chr(10) || e.b END, 's': a.s + e.s}} ELSE a END, {{'x': '', 'b': '', 's': 0}}) AS e FROM cb),
+cs AS (SELECT *, ends[:greatest({MOST} - e.s, 0)] AS shown FROM ce),
+cw AS (SELECT *, list_reduce(list_filter(b, lambda w: starts_with(w.x, 'warning:')),
+    lambda a, w: CASE WHEN a.x = '' AND a.s + w.s <= {MOST} THEN {{'x': '', 'b': a.b || chr(10) || w.b, 's': a.s + w.s}} ELSE {{'x': 'full', 'b': a.b, 's': a.s}} END, {{'x': '', 'b': '', 's': (e.s + len(shown))::INTEGER}}) AS w FROM cs),
+compiler AS (SELECT run_id, CASE WHEN len(l) <= {MOST} THEN raw ELSE ltrim(e.b || CASE WHEN len(shown) > 0 THEN chr(10) || {_join("shown")} ELSE '' END || w.b, chr(10)) END AS short FROM cw),
+"""
+#: Blocks of failed tests: from a heading to the next one or to the list of failures; three lines that are not blank of each.
+_TESTS = f"""
+tx AS (SELECT run_id, i, l[i] AS x FROM t, unnest(range(1, len(l) + 1)) AS u(i)),
+tm AS (SELECT *, starts_with(x, '---- ') AND ends_with(x, ' stdout ----') AS begins, starts_with(x, '---- ') OR starts_with(x, 'failures:') AS marks FROM tx),
+tg AS (SELECT *, sum(marks::INT) OVER (PARTITION BY run_id ORDER BY i) AS g FROM tm),
+th AS (SELECT run_id, g, i AS first, regexp_replace(regexp_replace(x, '^(?:---- )+', ''), '(?: stdout ----)+$', '') AS name FROM tg WHERE begins),
+tl AS (SELECT th.run_id, th.g, first, name, trim(x) AS x, i, row_number() OVER (PARTITION BY th.run_id, th.g ORDER BY i) AS k FROM th JOIN tg ON tg.run_id = th.run_id AND tg.g = th.g AND NOT marks AND trim(x) <> ''),
+tb AS (SELECT th.run_id, th.first, '  ' || th.name || ' — ' || coalesce((SELECT string_agg(x, ' | ' ORDER BY i) FROM tl WHERE tl.run_id = th.run_id AND tl.g = th.g AND k <= 3), '') AS entry FROM th),
+te AS (SELECT run_id, list(entry ORDER BY first) AS entries FROM tb GROUP BY run_id),
+tr AS (SELECT t.*, list_filter(l, lambda x: starts_with(x, 'test result:'))[1] AS result, coalesce(entries, []) AS entries, list_filter(l, lambda x: starts_with(x, '=') AND (contains(x, 'passed') OR contains(x, 'failed')))[1] AS session,
+  list_transform(list_filter(l, lambda x: starts_with(x, 'FAILED ')), lambda x: trim(regexp_replace(x, '^(?:FAILED )+', ''))) AS failed FROM t LEFT JOIN te USING (run_id)),
+ts AS (SELECT *, list_transform(failed, lambda x: '  ' || CASE WHEN contains(x, ' - ') AND NOT ends_with(x, ' - ') THEN regexp_replace(x, '^(.*?) - ', '\\1 — ') ELSE regexp_replace(x, ' - $', '') END) AS failures FROM tr),
+test_runner AS (SELECT run_id, CASE WHEN len(l) <= {MOST} THEN raw
+  WHEN result IS NOT NULL THEN result || CASE WHEN len(entries) > 0 THEN chr(10) || chr(10) || 'Failures:' || chr(10) || {_join(f"entries[:{max(MOST - 4, 1)}]")} ELSE '' END
+  WHEN contains(raw, 'test session starts') AND session IS NOT NULL THEN trim(regexp_replace(session, '^=+|=+$', '', 'g')) || CASE WHEN len(failures) > 0 THEN chr(10) || chr(10) || 'Failures:' || chr(10) || {_join(f"failures[:{max(MOST - 4, 1)}]")} ELSE '' END
+  ELSE g.short END AS short FROM ts JOIN ({_generic(_RUNS, "run_id", "compressed_output")}) g USING (run_id))
+"""
+_FIRST = "list_filter(l, lambda x: {c})[1]"
+
 SQL = {
+    "compress_compiler": _PLACED + _COMPILER.rstrip().rstrip(",") + " SELECT * FROM compiler",
+    "compress_test": _PLACED + _TESTS + " SELECT * FROM test_runner",
+    "run_summary_line": f"""
+        WITH k AS (SELECT run_id, {_KIND} AS kind FROM {_CLASSIFIED.format(t=_RUNS)}), t AS (SELECT run_id, {_lines("compressed_output")} AS l FROM {_RUNS}),
+        p AS (SELECT k.*, l, {_FIRST.format(c="starts_with(x, 'error[') OR starts_with(x, 'error:')")} AS error, {_FIRST.format(c="starts_with(x, 'error[') OR starts_with(x, 'error:') OR starts_with(x, 'warning:')")} AS issue,
+          {_FIRST.format(c="starts_with(x, 'test result:')")} AS result, trim(regexp_replace({_FIRST.format(c="starts_with(x, '=') AND contains(x, 'passed')")}, '^=+|=+$', '', 'g')) AS passed,
+          coalesce({_FIRST.format(c="trim(x) <> ''")}, '(no output)') AS rest FROM k JOIN t USING (run_id))
+        SELECT run_id, coalesce(CASE kind WHEN 'compiler' THEN error WHEN 'test_runner' THEN coalesce(result, passed) WHEN 'linter' THEN issue END, rest) AS summary FROM p""",
     "classify_command": f"SELECT run_id, {_KIND} AS kind FROM {_CLASSIFIED.format(t=_RUNS)}",
     "compress_generic": _generic(_RUNS, "run_id", "compressed_output"),
     "compress_search": f"""
@@ -161,7 +202,7 @@ SQL = {
         FROM (SELECT DISTINCT run_id, session_id, command_type, exit_code FROM run_results) WHERE exit_code <> 0 AND session_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3""",
     "line_ratio": f"SELECT run_id, CASE WHEN coalesce(raw_lines, 0) = 0 THEN 0.0::DOUBLE ELSE round(1 - compressed_lines / raw_lines, 4) END AS ratio FROM {_RUNS}",
     "relevant_test_errors": f"""
-        SELECT run_id, len(list_filter(l, lambda x: regexp_matches(lower(x), 'error|failed|panic'))) AS errors,
+        SELECT run_id, array_to_string(list_filter(l, lambda x: regexp_matches(lower(x), 'error|failed|panic')), chr(10)) AS errors,
           array_to_string(list_sort(list_distinct(h)), ',') AS files FROM (
           SELECT run_id, l, list_filter(list_transform(l, lambda x: list_filter(list_transform(regexp_split_to_array(x, '\\s+'), lambda w: trim(w, ':,()')), lambda w: regexp_matches(w, '/.*\\.(?:rs|py|ts|js|php)$'))[1]), lambda w: w IS NOT NULL) AS h
           FROM (SELECT run_id, {_lines("compressed_output")} AS l FROM {_RUNS}))""",
@@ -169,3 +210,8 @@ SQL = {
         SELECT item_id, CASE WHEN regexp_matches(lower(x), 'architecture|runtime|database') THEN 'architecture' WHEN regexp_matches(lower(x), 'must|never|rule') THEN 'rule' ELSE 'noise' END AS about, count(*) AS lines
         FROM (SELECT item_id, unnest({_lines("content")}) AS x FROM context_items) WHERE trim(x) <> '' GROUP BY 1, 2""",
 }
+_GIT = SQL["compress_git"].replace("context_items", f"(SELECT run_id AS item_id, compressed_output AS content FROM {_RUNS})")
+SQL["compress_dispatch"] = f"""
+    SELECT run_id, kind, CASE kind WHEN 'test_runner' THEN te.short WHEN 'compiler' THEN co.short WHEN 'linter' THEN li.short WHEN 'git_info' THEN gi.short WHEN 'package_mgr' THEN pa.short WHEN 'formatter' THEN fo.short WHEN 'search' THEN se.short ELSE ge.short END AS short
+    FROM (SELECT run_id, {_KIND} AS kind FROM {_CLASSIFIED.format(t=_RUNS)}) JOIN ({SQL["compress_test"]}) te USING (run_id) JOIN ({SQL["compress_compiler"]}) co USING (run_id) JOIN ({SQL["compress_linter"]}) li USING (run_id)
+    JOIN (SELECT item_id AS run_id, short FROM ({_GIT})) gi USING (run_id) JOIN ({SQL["compress_packages"]}) pa USING (run_id) JOIN ({SQL["compress_formatter"]}) fo USING (run_id) JOIN ({SQL["compress_search"]}) se USING (run_id) JOIN ({SQL["compress_generic"]}) ge USING (run_id)"""

@@ -138,7 +138,46 @@ def _rank_sql(query: str, *, table: str = "observations", key: str = "id", colum
     return _RANK.format(key=key, cols=cols, joined=joined, table=table, bars=len(columns) - 1, counts=counts, dfs=dfs, score=score, hit=hit, cond=cond, limit=limit, offset=offset)
 
 
+def _leaders(rows: str, name: str) -> str:
+    """Greedy clusters of (grp, id, created_at, items): going in order, a row joins the first leader it is similar to, or leads."""
+    alike = "10 * len(list_intersect(l.items, o.items)) > {t} * len(list_distinct(l.items || o.items))".replace("{t}", str(C.JACCARD))
+    return f"""
+        {name}_o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY created_at NULLS FIRST, id) AS k FROM {rows} WHERE len(items) > 0),
+        {name}_r AS (
+          SELECT grp, k, id, id AS leader, [{{'id': id, 'items': items}}] AS leaders FROM {name}_o WHERE k = 1
+          UNION ALL SELECT grp, k, id, coalesce(m.id, id), CASE WHEN m IS NULL THEN list_append(leaders, {{'id': id, 'items': items}}) ELSE leaders END
+          FROM (SELECT o.grp, o.k, o.id, o.items, r.leaders, list_filter(r.leaders, lambda l: {alike})[1] AS m FROM {name}_r r JOIN {name}_o o ON o.grp = r.grp AND o.k = r.k + 1)),
+        {name} AS (SELECT id, leader FROM {name}_r UNION ALL SELECT id, id FROM {rows} WHERE len(items) = 0)"""
+
+
+_CLUSTERS = f"""
+WITH RECURSIVE base AS (SELECT id, project AS grp, created_at, {_SET.format(c="files")} AS items, {_SET.format(c="concepts")} AS concepts FROM observations WHERE project IS NOT NULL),
+{_leaders("base", "f")},
+parts AS (SELECT b.id, b.grp AS project, f.leader AS grp, created_at, concepts AS items FROM base b JOIN f USING (id)),
+{_leaders("parts", "c")},
+k AS (SELECT p.id, p.project, p.grp AS leader, c.leader AS cluster FROM parts p JOIN c USING (id))
+"""
+_RUN = "list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))"
+_DUPLICATES = f""",
+w AS (SELECT k.id, cluster, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM k JOIN observations o ON o.id = k.id WHERE text IS NOT NULL),
+g AS (SELECT id, cluster, list_distinct({_RUN}) AS items FROM w),
+d AS (SELECT a.id FROM g a WHERE EXISTS (SELECT 1 FROM g b WHERE b.cluster = a.cluster AND b.id > a.id AND 10 * len(list_intersect(a.items, b.items)) > {C.OVERLAP} * least(len(a.items), len(b.items))))
+"""
+
 SQL = {
+    "cluster_leaders": _CLUSTERS + "SELECT id, project, leader, cluster FROM k",
+    "cluster_topics": _CLUSTERS
+    + f""",
+        e AS (SELECT k.cluster, {_SET.format(c="o.files")} AS files, {_SET.format(c="o.concepts")} AS concepts FROM k JOIN observations o ON o.id = k.id),
+        a AS (SELECT cluster, regexp_replace(regexp_extract(v, '([^/]+)/*$', 1), '(.)\\.[^.]*$', '\\1') AS v, count(*) AS n FROM (SELECT cluster, unnest(files) AS v FROM e) GROUP BY 1, 2),
+        b AS (SELECT cluster, v, count(*) AS n FROM (SELECT cluster, unnest(concepts) AS v FROM e) GROUP BY 1, 2),
+        x AS (SELECT cluster, v FROM a QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, v) = 1), y AS (SELECT cluster, v FROM b QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, v) = 1)
+        SELECT cluster, CASE WHEN x.v IS NOT NULL AND y.v IS NOT NULL THEN x.v || ' (' || y.v || ')' ELSE coalesce(x.v, y.v, 'uncategorized') END AS topic
+        FROM (SELECT DISTINCT cluster FROM k) LEFT JOIN x USING (cluster) LEFT JOIN y USING (cluster)""",
+    "shingle_duplicates": _CLUSTERS + _DUPLICATES + "SELECT id FROM d",
+    "summarize_counters": _CLUSTERS
+    + _DUPLICATES
+    + """SELECT (SELECT count(DISTINCT cluster) FROM k) AS clusters, (SELECT count(DISTINCT cluster) FROM k WHERE id NOT IN (SELECT id FROM d)) AS summaries_created, (SELECT count(*) FROM d) AS duplicates_removed""",
     "observations_valid": f"""
         SELECT id, observation_type FROM observations WHERE text <> '' AND strlen(text) <= 65536 AND coalesce(observation_type, 'discovery') IN {M.TYPES}
           AND list_has_all({list(M.CONCEPTS)}, {_SET.format(c="concepts")})""",
