@@ -176,6 +176,20 @@ def _path_matches(value: str, patterns: tuple[str, ...]) -> str:
     return f"({_matches(value, patterns)} OR {_matches(name, patterns)})"
 
 
+_FINDINGS = f"""
+WITH c AS (SELECT path, content, regexp_extract(path, '([^/]*)$', 1) AS name, CASE WHEN json_valid(content) THEN content END AS j FROM {CONFIGS.sql}),
+a AS (SELECT path, unnest(from_json(json_extract(j, '$.permissions.allow'), '["VARCHAR"]')) AS entry FROM c WHERE name = 'settings.json'),
+f AS (
+  SELECT path, 'SEC-002' AS code, 'critical' AS severity FROM c WHERE name = 'settings.json' AND j IS NULL
+  UNION ALL SELECT path, 'QUL-001', 'warning' FROM c WHERE upper(name) LIKE '%.MD' AND len(string_split(regexp_replace(content, '\\n$', ''), chr(10))) > 200
+  UNION ALL SELECT path, 'QUL-002', 'suggestion' FROM c WHERE upper(name) LIKE '%.MD' AND NOT regexp_matches(content, '(?i:build)|cargo|npm|make')
+  UNION ALL SELECT path, 'SEC-003', 'warning' FROM c WHERE name LIKE '%.toml' AND contains(content, 'scan_secrets = false')
+  UNION ALL SELECT path, 'QUL-003', 'warning' FROM c WHERE name LIKE '%.toml' AND NOT contains(content, 'languages')
+  UNION ALL SELECT path, 'EFF-001', 'suggestion' FROM c WHERE name LIKE '%.toml' AND NOT contains(content, '[compression]')
+  UNION ALL SELECT path, 'EFF-002', 'suggestion' FROM c WHERE name LIKE '%.toml' AND NOT contains(content, 'skeleton_threshold_loc')
+  UNION ALL SELECT path, 'SEC-001', 'critical' FROM a WHERE entry IN ('Bash(*)', 'Bash') UNION ALL SELECT path, 'SEC-002', 'critical' FROM a WHERE contains(entry, '.env'))
+"""
+
 SQL = {
     "coverage_map": f"""
         WITH t AS (SELECT path, name, EXISTS (SELECT 1 FROM {_TF} WHERE contains(content, name)) AS hit FROM {_FN})
@@ -207,6 +221,25 @@ SQL = {
     "edit_confidence": _EDIT,
     "health_scores": _HEALTH + "SELECT * FROM s",
     "unhealthiest_topk": _HEALTH + "SELECT * FROM s ORDER BY health, file LIMIT 10",
+    "path_normalise": f"""
+        WITH p AS (SELECT id, path, list_filter(string_split(path, '/'), lambda x: x <> '' AND x <> '.') AS p FROM {PATHS.sql}),
+        n AS (SELECT id, CASE WHEN starts_with(path, '/') THEN '/' ELSE '' END || array_to_string(list_reduce(list_transform(p, lambda x: [x]), lambda a, x: CASE WHEN x[1] = '..' THEN a[:-2] ELSE a || x END, CAST([] AS VARCHAR[])), '/') AS clean FROM p)
+        SELECT id, clean, (clean = '/work' OR starts_with(clean, '/work/')) AND NOT (regexp_matches(clean, '(?:^|/)\\.(?:git|svn|hg)(?:/|$)') AND NOT ends_with(clean, '/.git/HEAD')) AS inside FROM n""",
+    "health_fold": """
+        WITH RECURSIVE e AS (SELECT session_id AS file, CASE WHEN command_type = 'git' THEN 'edit' WHEN exit_code = 0 THEN 'passed' ELSE 'failed' END AS event, row_number() OVER (PARTITION BY session_id ORDER BY run_id) AS k
+          FROM (SELECT DISTINCT run_id, session_id, command_type, exit_code FROM run_results WHERE session_id IS NOT NULL)),
+        r AS (
+          SELECT file, 0::BIGINT AS k, 50 AS stability, 50 AS test_coverage, 50 AS error_rate FROM e WHERE k = 1
+          UNION ALL SELECT r.file, e.k, CASE event WHEN 'edit' THEN greatest(stability - 5, 10) ELSE stability END, CASE event WHEN 'passed' THEN least(test_coverage + 10, 100) ELSE test_coverage END,
+            CASE event WHEN 'passed' THEN least(error_rate + 5, 100) WHEN 'failed' THEN greatest(error_rate - 15, 0) ELSE error_rate END FROM r JOIN e ON e.file = r.file AND e.k = r.k + 1)
+        SELECT file, stability, test_coverage, error_rate FROM r QUALIFY row_number() OVER (PARTITION BY file ORDER BY k DESC) = 1""",
+    "config_findings": _FINDINGS + "SELECT * FROM f",
+    "config_score": _FINDINGS
+    + """, s AS (SELECT CASE severity WHEN 'critical' THEN 3.0 WHEN 'warning' THEN 1.0 ELSE 0.5 END AS cost, code FROM f),
+        g AS (SELECT floor(greatest(0, 10 - coalesce(sum(cost) FILTER (WHERE code LIKE 'SEC%'), 0)))::INTEGER AS security, floor(greatest(0, 10 - coalesce(sum(cost) FILTER (WHERE code LIKE 'QUL%'), 0)))::INTEGER AS quality,
+          floor(greatest(0, 10 - coalesce(sum(cost) FILTER (WHERE code LIKE 'EFF%'), 0)))::INTEGER AS efficiency FROM s),
+        t AS (SELECT *, floor((security + quality + efficiency) * 100 / 30)::INTEGER AS score FROM g)
+        SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM t""",
     "precision_score": """
         WITH r AS (SELECT DISTINCT run_id, command, command_type FROM run_results), c AS (SELECT (trim(command) LIKE 'git %') = coalesce(command_type = 'git', false) AS ok FROM r)
         SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS "right", round(count(*) FILTER (WHERE ok) / count(*), 6) AS precision FROM c""",

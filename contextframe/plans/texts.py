@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from contextframe.functions import edits as X
 from contextframe.operators import cluster as C
 from contextframe.operators import tokens as T
-from contextframe.plans.codegraph import SOURCES
+from contextframe.plans.codegraph import SOURCES, code_files
 from contextframe.plans.fixtures import Fixture
 from contextframe.sources import files as S
 from contextframe.sources.python_symbols import python_symbols
@@ -54,8 +54,8 @@ QUERIES = {
     "sentences": lambda s, d: load(s, d, "observations", "id", "text").where("text IS NOT NULL").select("id", F.size(C.sentences(F.col("text"))).alias("sentences"), F.size(C.norm_words(F.col("text"))).alias("words")),
     "workspace_members": lambda s, d: S.members(MANIFESTS.df(s), TREE.df(s)),
     "discovery_topk": lambda s, d: S.discover(load(s, d, "file_summaries", "path").distinct(), "server store query", 100),
-    "python_symbols": lambda s, d: python_symbols(SOURCES.df(s).where("path LIKE '%.py'")).select("path", "name", "kind", "parent", "start_line", "end_line", "visibility"),
-    "symbols_tree": lambda s, d: symbols(SOURCES.df(s)).select("path", "name", "kind", "parent", "signature", "start_line", "end_line", "visibility"),
+    "python_symbols": lambda s, d: python_symbols(code_files(s, d).unionByName(SOURCES.df(s)).where("path LIKE '%.py'")).select("path", "name", "kind", "parent", "start_line", "end_line", "visibility"),
+    "symbols_tree": lambda s, d: symbols(code_files(s, d).unionByName(SOURCES.df(s))).select("path", "name", "kind", "parent", "signature", "start_line", "end_line", "visibility"),
     "registered_functions": registered_functions,
     "resent_events": lambda s, d: load(s, d, "token_events", "id").groupBy("id").agg(F.count("*").alias("times")).where("times > 1"),
     "savings_ratio_check": lambda s, d: load(s, d, "token_events", "id", "estimated_raw_tokens", "estimated_compressed_tokens", "saved_tokens").distinct().select(
@@ -73,6 +73,13 @@ SQL = {
         WITH e AS (SELECT *, string_split(text, chr(10)) AS l FROM {EDITS.sql})
         SELECT id, CASE WHEN (length(text) - length(replace(text, old, ''))) // length(old) = 1 THEN replace(text, old, new) END AS once,
           CASE WHEN first >= 1 AND first <= last AND last <= len(l) THEN array_to_string(l[:first - 1] || [new] || l[last + 1:], chr(10)) END AS by_lines FROM e""",
+    "text_edit_sequence": f"""
+        WITH a AS (SELECT id, new, CASE WHEN (length(text) - length(replace(text, old, ''))) // length(old) = 1 THEN replace(text, old, new) END AS once FROM {EDITS.sql})
+        SELECT id, CASE WHEN (length(once) - length(replace(once, new, ''))) // length(new) = 1 THEN replace(once, new, '!') END AS edited FROM a""",
+    "workspace_members": f"""
+        WITH q AS (SELECT unnest(regexp_extract_all(regexp_extract(content, '(?s)\\[workspace\\].*?members\\s*=\\s*\\[(.*?)\\]', 1), '"([^"]+)"', 1)) AS pattern FROM {MANIFESTS.sql} WHERE path = 'Cargo.toml'),
+        f AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]+$', 1) AS folder FROM {TREE.sql})
+        SELECT 'cargo' AS kind, pattern AS member FROM q WHERE NOT ends_with(pattern, '/*') UNION SELECT 'cargo', folder FROM f JOIN q ON regexp_extract(folder, '^(.*)/[^/]+$', 1) || '/*' = pattern""",
     "guarded_edit": f"SELECT id, CASE WHEN id < 3 THEN new END AS edited FROM {EDITS.sql}",
     "relative_time": "SELECT x AS id, CASE WHEN x < 60 THEN x || 's ago' WHEN x < 3600 THEN (x // 60) || 'm ago' WHEN x < 86400 THEN (x // 3600) || 'h ago' ELSE (x // 86400) || 'd ago' END AS said FROM range(0, 400000, 7777) AS t(x)",
     "word_shingles": """

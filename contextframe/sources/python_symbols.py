@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,8 +30,9 @@ def python_symbols(files: DataFrame) -> DataFrame:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    tree = ast.parse(content or "")
-                except (SyntaxError, ValueError, RecursionError):
+                    with warnings.catch_warnings(action="ignore"):
+                        tree = ast.parse(content or "")
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
                     continue
                 rows += [(path, *row) for row in _walk(tree, (content or "").splitlines(), None)]
             yield pd.DataFrame(rows, columns=[part.split()[0] for part in SCHEMA.split(", ")])

@@ -9,6 +9,7 @@ preprocessor branches are not followed.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -117,7 +118,8 @@ def visible(lang: str, signature: str, name: str, parent_part: str) -> str | Non
 
 def scan(source: str, lang: str) -> list[tuple]:
     """(name, kind, parent, signature, start_line, end_line, doc, visibility) of each definition, in order."""
-    bare, lines = _bare(source, lang), source.splitlines()
+    bare, lines = _bare(source, lang), source.split("\n")
+    breaks = [at for at, c in enumerate(source) if c == "\n"]
     found: dict[int, tuple[str, str, int, int]] = {}
     for kind, pattern in _COMPILED[lang]:
         for match in pattern.finditer(bare):
@@ -140,7 +142,7 @@ def scan(source: str, lang: str) -> list[tuple]:
             kind = "method" if parent else kind
         if kind in ("impl", "extension"):
             continue
-        first, last = source.count("\n", 0, begin), source.count("\n", 0, max(begin, end - 1))
+        first, last = bisect_left(breaks, begin), bisect_left(breaks, max(begin, end - 1))
         doc = re.match(r"\s*(?:///?|/?\*+|#)\s?(.*?)(?:\*/)?\s*$", lines[first - 1]) if first else None
         rows.append((name, kind, parent[0] if parent else None, lines[first].strip(), first + 1, last + 1, doc[1] if doc else None, visible(lang, lines[first].strip(), name, bare[parent[2] : begin] if parent else "")))
     return rows
