@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from contextframe.functions.text import let
 from contextframe.operators.memory import csv_set
-from contextframe.sources.tables import cut_lineage
+from contextframe.sources.tables import cut_lineage, drop_cut
 
 #: Thresholds that must be exceeded, in tenths, and words of a shingle.
 JACCARD, OVERLAP, SIMILAR = 3, 7, 6
 SHINGLE, SENTENCE_SHINGLE = 4, 3
+#: States of a set while leaders are chosen.
+UNDECIDED, LEADS, TAKEN = 0, 1, 2
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -58,20 +60,25 @@ def leaders(rows: DataFrame, group: str, order: list[str], key: str = "id") -> D
 
     Going through the rows in order, a row joins the first leader its set is similar to, else
     leads a cluster of its own; empty sets are alone. The leaders are the first maximal
-    independent set of the similarity graph in that order: a set leads as soon as no earlier
-    neighbour is undecided, and its later neighbours are then decided. Each round decides at
-    least every first undecided set; rounds are as many as the longest chain of such.
+    independent set of the similarity graph in that order: an undecided set is taken if an
+    earlier neighbour leads, and leads if no earlier neighbour is undecided. Steps are at
+    most twice as many as the longest chain of undecided sets; two are made between writes.
     """
     sets = cut_lineage(classes(rows, group, order, key))
     edges = cut_lineage(set_edges(sets, group))
-    undecided = cut_lineage(edges.select(group, F.col("a").alias("v")).union(edges.select(group, F.col("b").alias("v"))).distinct())
-    led = undecided.limit(0)
-    while not undecided.isEmpty():
-        open_edges = edges.join(undecided.withColumnRenamed("v", "a"), [group, "a"], "left_semi").join(undecided.withColumnRenamed("v", "b"), [group, "b"], "left_semi")
-        new = cut_lineage(undecided.join(open_edges.select(group, F.col("b").alias("v")), [group, "v"], "left_anti"))
-        taken = edges.join(new.withColumnRenamed("v", "a"), [group, "a"], "left_semi").select(group, F.col("b").alias("v"))
-        undecided = cut_lineage(undecided.join(new, [group, "v"], "left_anti").join(taken, [group, "v"], "left_anti"))
-        led = cut_lineage(led.union(new))
+
+    def step(state: DataFrame) -> DataFrame:
+        earlier = edges.select(group, "a", F.col("b").alias("v")).join(state.select(group, F.col("v").alias("a"), F.col("s").alias("_s")), [group, "a"])
+        seen = earlier.groupBy(group, "v").agg(F.bool_or(F.col("_s") == UNDECIDED).alias("open"), F.bool_or(F.col("_s") == LEADS).alias("led"))
+        after = F.when(F.col("s") != UNDECIDED, F.col("s")).when(F.coalesce("led", F.lit(False)), TAKEN).when(~F.coalesce("open", F.lit(False)), LEADS).otherwise(UNDECIDED)
+        return state.join(seen, [group, "v"], "left").select(group, "v", after.alias("s"))
+
+    nodes = edges.select(group, F.col("a").alias("v")).union(edges.select(group, F.col("b").alias("v"))).distinct()
+    state = cut_lineage(step(nodes.withColumn("s", F.lit(UNDECIDED))))
+    while not state.where(F.col("s") == UNDECIDED).isEmpty():
+        before, state = state, cut_lineage(step(step(state)))
+        drop_cut(before)
+    led = state.where(F.col("s") == LEADS).select(group, "v")
     joins = (
         edges.join(led.withColumnRenamed("v", "a"), [group, "a"], "left_semi")
         .join(led.withColumnRenamed("v", "b"), [group, "b"], "left_anti")
