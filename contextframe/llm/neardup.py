@@ -47,18 +47,30 @@ COPIES, SALT = 1_000, 64
 #: Counters of the sketch of word frequencies: its size is what is broadcast, 4 MB.
 COUNTERS = 1 << 20
 _WORDS = re.compile(r"\w+")
+#: Numbers of words that a worker keeps.
+KEPT = 300_000
+_NUMBERS: dict[str, int] = {}
 #: Bits of a word map in regions, and of the one that candidates are asked again by.
 _BITS, _WIDE = 256, 1024
 
 
+def _number(word: str) -> int:
+    """The 64-bit number of a word; those of words seen before are kept, up to KEPT of them."""
+    known = _NUMBERS.get(word)
+    if known is None:
+        if len(_NUMBERS) >= KEPT:
+            _NUMBERS.clear()
+        known = _NUMBERS[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+    return known
+
+
 def elements(text: str) -> np.ndarray:
     """The words of a text as sorted 64-bit numbers, the n-th occurrence of a word with a number of its own."""
     found = []
     for word, n in Counter(_WORDS.findall(text.lower())).items():
-        data = word.encode("utf-8", "surrogatepass")
-        found.append(xxhash.xxh3_64_intdigest(data))
+        found.append(_number(word))
         # the occurrence goes into the bytes: seeds of this hash make short words collide
-        found += [xxhash.xxh3_64_intdigest(data + b" " + str(k).encode()) for k in range(1, n)]
+        found += [_number(f"{word} {k}") for k in range(1, n)]
     return np.sort(np.array(found, np.uint64).view(np.int64))
 
 
@@ -190,9 +202,11 @@ def split(found: DataFrame, distinct: DataFrame, sketch: np.ndarray, leaf: int =
 
     Two bags of a region meet if at least one is at home and, in a pair of blocks, they are
     not both of the same block. A split counts if it leaves at most half of the comparisons,
-    so its largest part is smaller by a third and the levels end.
+    so its largest part is smaller by a third and the levels end. ``late`` is how many words of
+    a bag no other bag of the region can have in common with it.
     """
-    kept = ["region", "no", "n", *_MAPS, "home"]
+    late = (F.col("rank") - F.col("depth") + 1).alias("late")
+    kept = ["region", "no", "n", late, *_MAPS, "home"]
     done = []
     here = found.withColumn("home", F.lit(True)).withColumn("depth", F.lit(1))
     level = 0
@@ -237,7 +251,7 @@ def split(found: DataFrame, distinct: DataFrame, sketch: np.ndarray, leaf: int =
             .withColumn("k", k)
             .withColumn("own", F.pmod(F.xxhash64("no"), F.col("k")).cast("int"))
             .select(F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"), "*")
-            .select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"), F.lit("block")).alias("region"), "no", "n", *_MAPS, "home", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("block"))
+            .select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"), F.lit("block")).alias("region"), "no", "n", late, *_MAPS, "home", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("block"))
         )
         here = cut_lineage(parts[0].unionByName(parts[1]))
         level += 1
@@ -264,6 +278,7 @@ class _Sweep:
         held = 0 if self.rest is None else len(self.rest["n"])
         rows = part if not held else {k: np.concatenate([self.rest[k], v]) for k, v in part.items()}
         region, n, home, block, bits = rows["region"], rows["n"], rows["home"], rows["block"], rows["bits"]
+        common = 10 * (n - rows["late"])  # at most so many tenths of words in common with a bag of the region
         total = len(n)
         left, right = [], []
         active = np.arange(total)
@@ -271,7 +286,7 @@ class _Sweep:
         while len(active):
             active = active[active + step < total]
             later = active + step
-            fits = (region[active] == region[later]) & (10 * n[active] >= TENTHS * n[later])
+            fits = (region[active] == region[later]) & (common[active] >= TENTHS * n[later])
             active, later = active[fits], later[fits]
             new = (later >= held) & (home[active] | home[later]) & ((block[active] != block[later]) | (block[active] < 0))
             a, b = active[new], later[new]
@@ -283,7 +298,7 @@ class _Sweep:
             step += 1
         keep = np.zeros(total, bool)
         if total:
-            keep = (region == region[-1]) & (10 * n >= TENTHS * n[-1])
+            keep = (region == region[-1]) & (common >= TENTHS * n[-1])
         self.rest = {k: v[keep] for k, v in rows.items()}
         return np.concatenate([np.empty(0, np.int64), *left]), np.concatenate([np.empty(0, np.int64), *right])
 
@@ -298,6 +313,7 @@ def candidates(found: DataFrame) -> DataFrame:
             part = {
                 "region": get["region"].to_numpy(),
                 "n": get["n"].to_numpy().astype(np.int64),
+                "late": get["late"].to_numpy().astype(np.int64),
                 "home": get["home"].to_numpy(zero_copy_only=False),
                 "block": get["block"].to_numpy(),
                 "bits": np.stack([get[b].to_numpy() for b in _MAPS], 1).view(np.uint64),
@@ -307,7 +323,7 @@ def candidates(found: DataFrame) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    ordered = found.repartition("region").sortWithinPartitions("region", "n", "no").select("region", "no", "n", *_MAPS, "home", "block")
+    ordered = found.repartition("region").sortWithinPartitions("region", "n", "no").select("region", "no", "n", "late", *_MAPS, "home", "block")
     return ordered.mapInArrow(sweep, "a bigint, b bigint").where("a <> b").distinct()
 
 
