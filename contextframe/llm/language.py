@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 from uuid import uuid4
 
 import numpy as np
@@ -147,6 +148,16 @@ class Model:
     def __init__(self, index: dict[str, int], weights: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> None:
         self.index, self.weights, self.transitions, self.start = index, weights, transitions, start
 
+    def save(self, path: str | Path) -> None:
+        """Writes the model to a file, so that later runs need not fit it again."""
+        np.savez_compressed(path, names=np.array(list(self.index), object).astype(str), weights=self.weights, transitions=self.transitions, start=self.start)
+
+    @classmethod
+    def load(cls, path: str | Path) -> Model:
+        """The model of a file that :meth:`save` wrote."""
+        with np.load(path) as held:
+            return cls({name: k for k, name in enumerate(held["names"].tolist())}, held["weights"], held["transitions"], held["start"])
+
     def emissions(self, words: list[str]) -> np.ndarray:
         """The scores of words in lower case."""
         found = [[k for f in features(word) if (k := self.index.get(f)) is not None] for word in words]
@@ -491,6 +502,16 @@ def sample(documents: DataFrame, text: str, lang: str, key: str, rows: int = SAM
     return sorted((row.t, row.l) for row in chosen.limit(2 * rows).collect())
 
 
+def fitted(documents: DataFrame, text: str, lang: str, key: str, path: str | Path | None = None) -> Model:
+    """The model of ``path``, or one fitted to a sample of the documents, which is then kept there if a path is given."""
+    if path is not None and Path(path).exists():
+        return Model.load(path)
+    model = fit(sample(documents, text, lang, key))
+    if path is not None:
+        model.save(path)
+    return model
+
+
 def find_segments(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
     """(key, label, segments, seg_no, lang, first_chunk, end_chunk, words, confidence): a row for each segment of each document.
 

@@ -117,7 +117,7 @@ def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = load(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    return language.find_segments(documents, language.fit(language.sample(documents, "text", "lang", "doc_id")))
+    return language.find_segments(documents, language.fitted(documents, "text", "lang", "doc_id"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

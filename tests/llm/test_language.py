@@ -93,3 +93,13 @@ def test_fitting_is_not_cut_short():
     import inspect
 
     assert inspect.signature(L.fit).parameters["steps"].default >= 160
+
+
+def test_a_kept_model(spark, tmp_path):
+    rows = [(k, text, lang) for k, (text, lang) in enumerate([("the cat sits on the mat and looks at us.", "en"), ("die Katze sitzt auf der Matte und sieht uns an.", "de")] * 40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    file = tmp_path / "model.npz"
+    made = L.fitted(df, "text", "lang", "doc_id", file)
+    again = L.fitted(df.limit(0), "text", "lang", "doc_id", file)
+    words = ["katze", "mat", "und", "the"]
+    assert again.index == made.index and (again.emissions(words) == made.emissions(words)).all() and (again.transitions == made.transitions).all()
