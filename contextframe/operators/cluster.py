@@ -168,18 +168,22 @@ def scored_sentences(observations: DataFrame, clustered: DataFrame) -> DataFrame
 def summaries(observations: DataFrame, clustered: DataFrame, most: int = 3) -> DataFrame:
     """(cluster, summary): the best sentences that are not much alike, joined by bars.
 
-    Each of the ``most`` rounds takes the best sentence left in each cluster and drops those
-    that share over 0.6 of their three-word runs with it, so no cluster is ever gathered.
+    Each of the ``most`` rounds takes the best sentence of each cluster that does not share
+    over 0.6 of its three-word runs with one taken before, so no cluster is ever gathered.
+    The sentences are written once, and after that only those taken, one for a cluster.
     """
-    left = cut_lineage(scored_sentences(observations, clustered))
-    chosen = None
+    found = cut_lineage(scored_sentences(observations, clustered).withColumn("runs", shingles(F.col("sentence"), SENTENCE_SHINGLE)))
+    taken: list[DataFrame] = []
     for number in range(most):
-        best = cut_lineage(left.groupBy("cluster").agg(F.min_by("sentence", F.struct(-F.col("score"), "id", "pos")).alias("best")).withColumn("no", F.lit(number)))
-        chosen = best if chosen is None else chosen.unionByName(best)
-        if number + 1 < most:
-            a, b = shingles(F.col("best"), SENTENCE_SHINGLE), shingles(F.col("sentence"), SENTENCE_SHINGLE)
-            alike = F.size(F.array_intersect(a, b)) * 10 > F.least(F.size(a), F.size(b)) * SIMILAR
-            left = cut_lineage(left.join(best.drop("no"), "cluster").where(~alike).drop("best"))
+        left = found
+        for before in taken:
+            alike = F.size(F.array_intersect("runs", "best_runs")) * 10 > F.least(F.size("runs"), F.size("best_runs")) * SIMILAR
+            left = left.join(before.select("cluster", "best_runs"), "cluster").where(~alike).drop("best_runs")
+        best = left.groupBy("cluster").agg(F.min_by(F.struct("sentence", "runs"), F.struct(-F.col("score"), "id", "pos")).alias("b"))
+        taken.append(cut_lineage(best.select("cluster", F.col("b.sentence").alias("best"), F.col("b.runs").alias("best_runs"), F.lit(number).alias("no"))))
+    chosen = taken[0]
+    for part in taken[1:]:
+        chosen = chosen.unionByName(part)
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "best"))), lambda x: x["best"]), " | ")
     return chosen.groupBy("cluster").agg(texts.alias("summary"))
 
