@@ -248,5 +248,5 @@ def test_log_queries_read_all_runs(spark, data):
     from contextframe.plans import logs
 
     runs = logs._runs(spark, data).count()
-    for name in ("compress_test", "compress_compiler", "compress_linter_runs", "compress_packages_runs", "compress_formatter_runs", "compress_dispatch", "run_summary_line"):
+    for name in ("compress_test", "compress_compiler", "compress_linter", "compress_packages", "compress_formatter", "compress_dispatch", "run_summary_line"):
         assert logs.QUERIES[name](spark, data).count() == runs, name
