@@ -120,6 +120,16 @@ def impact(changed: str, found: DataFrame, used: DataFrame, tests: DataFrame) ->
     return counts.select(F.lit(changed).alias("changed_path"), "symbols", "imports", "tests", (3 * F.col("symbols") + 2 * F.col("imports") + F.col("tests")).alias("risk_score"))
 
 
+def build_index(files: DataFrame, most: int = 500, ending: str = ".rs") -> dict[str, DataFrame]:
+    """The parts of an index over the first ``most`` files by path with an ending: symbols, imports, calls and tests.
+
+    The number of candidates is what an index is limited to; ``sources/config.py: write_index``
+    keeps the parts, so that questions need not build them again.
+    """
+    chosen = files.where(F.col("path").endswith(ending)).orderBy("path").limit(most)
+    return {"symbols": symbols(chosen), "imports": imports(chosen), "calls": calls(chosen), "tests": test_lines(chosen)}
+
+
 def index_counts(found: DataFrame, used: DataFrame, made: DataFrame, tests: DataFrame) -> DataFrame:
     """(symbols, imports, calls, tests): how many rows each part of an index has; one row each, so the joins are of single rows."""
     parts = [part.agg(F.count("*").alias(name)) for name, part in (("symbols", found), ("imports", used), ("calls", made), ("tests", tests))]

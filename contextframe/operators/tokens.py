@@ -93,7 +93,10 @@ def quality(exit_code: Column, failed: Column, duration_ms: Column) -> Column:
 
 
 def experiment_report(runs: DataFrame, pipelines: DataFrame) -> DataFrame:
-    """Mean ratio and runs of each pipeline; run number i took the pipeline at place i modulo the enabled ones."""
+    """Mean ratio and runs of each pipeline; run number i took the pipeline at place i modulo the enabled ones.
+
+    Pipelines are settings of an experiment, a handful, so they are numbered in one task and broadcast.
+    """
     enabled = pipelines.where("enabled").withColumn("slot", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("position")) - 1)
     width = enabled.agg(F.count("*").alias("width"))
     return (

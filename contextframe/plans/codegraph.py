@@ -87,12 +87,14 @@ QUERIES = {
         G.intelligence(G.language(F.col("path"), G.READ_LANGUAGES), F.lit(False)).alias("level"),
     ),
     "index_counts": lambda s, d: G.index_counts(*_index(s, d)),
+    "index_build": lambda s, d: G.index_counts(*G.build_index(code_files(s, d).unionByName(SOURCES.df(s)), 50).values()),
     "symbol_visibility": lambda s, d: _index(s, d)[0].join(G.numbered(code_files(s, d).unionByName(SOURCES.df(s))), ["path", "line_no"]).select("path", "name", G.visibility(G.language(F.col("path"), G.READ_LANGUAGES), F.trim("line"), F.col("name")).alias("visibility")),
 }
 
 _ITEMS = "(SELECT 'item/' || item_id AS path, content FROM context_items WHERE content IS NOT NULL)"
 _CODE = f"""(SELECT 'item/' || item_id || '/' || coalesce(path, '') AS path, content FROM context_items WHERE content IS NOT NULL
   UNION ALL SELECT 'doc/' || doc_id || '/' || coalesce(path, ''), text FROM documents WHERE kind = 'code' AND text IS NOT NULL UNION ALL SELECT path, content FROM {SOURCES.sql})"""
+_CANDIDATES = f"(SELECT path, content FROM {_CODE} WHERE ends_with(path, '.rs') ORDER BY path LIMIT 50)"
 _PARTS = "string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10))"
 _LIST = f"CASE WHEN {_PARTS}[-1] = '' THEN {_PARTS}[:-2] ELSE {_PARTS} END"
 
@@ -178,6 +180,9 @@ SQL = {
         WHERE NOT regexp_matches(line, '^ *(?://|#|--|;;|%|/\*|\*)') AND len(list_filter(b, lambda x: {" AND ".join(f"(len(regexp_extract_all(regexp_replace(x, $r$\\{q}$r$, '', 'g'), $r${q}$r$)) % 2 = 0)" for q in ("'", '"', "`"))})) > 0""",
     "index_counts": f"""
         SELECT (SELECT count(*) FROM {_symbols(_CODE)}) AS symbols, (SELECT count(*) FROM {_IMPORTS}) AS imports, (SELECT count(*) FROM {_calls(_CODE)}) AS calls, (SELECT count(*) FROM {_TESTS}) AS tests""",
+    "index_build": f"""
+        SELECT (SELECT count(*) FROM {_symbols(_CANDIDATES)}) AS symbols, (SELECT count(*) FROM {_lines(_CANDIDATES)} WHERE regexp_matches(trim(line), '^(?:use |pub use |mod )')) AS imports,
+          (SELECT count(*) FROM {_calls(_CANDIDATES)}) AS calls, (SELECT count(*) FROM {_lines(_CANDIDATES)} WHERE starts_with(trim(line), 'fn test_')) AS tests""",
     "read_mode": f"SELECT path, CASE WHEN len({_LIST}) < 100 THEN 'full' ELSE 'skeleton' END AS mode FROM {_ITEMS}",
     "language_detect": f"""
         SELECT summary_id, {_language(G.READ_LANGUAGES, "NULL")} AS read, {_language(G.INDEX_LANGUAGES, "'Unknown'")} AS "index", {_language(G.MAP_LANGUAGES, "NULL", True)} AS "map",

@@ -164,7 +164,27 @@ g AS (SELECT id, cluster, list_distinct({_RUN}) AS items FROM w),
 d AS (SELECT a.id FROM g a WHERE EXISTS (SELECT 1 FROM g b WHERE b.cluster = a.cluster AND b.id > a.id AND 10 * len(list_intersect(a.items, b.items)) > {C.OVERLAP} * least(len(a.items), len(b.items))))
 """
 
+#: Sentences end behind a mark that a blank, a line break or the end follows.
+_SENTENCES = r"""list_filter(list_transform(regexp_extract_all({t}, '(?s).*?[.!?](?:[ \n]+|$)|.+$'), lambda s: trim(CASE WHEN regexp_matches(s, '(?s)[.!?][ \n]+$') THEN regexp_replace(s, '[ \n]+$', '') ELSE s END)), lambda s: s <> '')"""
+_NORM = r"list_filter(list_transform(regexp_split_to_array({t}, '\s+'), lambda w: regexp_replace(lower(w), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')), lambda w: strlen(w) >= 2)"
+_RUNS3 = "list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' ')))"
+_BEST = "SELECT cluster, sentence, runs FROM {left} QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY score DESC, id, pos) = 1"
+_UNLIKE = "SELECT l.* FROM {left} l JOIN {best} b USING (cluster) WHERE NOT 10 * len(list_intersect(l.runs, b.runs)) > {t} * least(len(l.runs), len(b.runs))".replace("{t}", str(C.SIMILAR))
+_SUMMARIES = f""",
+t AS (SELECT k.id, cluster, text FROM k JOIN observations o ON o.id = k.id WHERE text IS NOT NULL),
+n AS (SELECT cluster, count(*) AS n FROM t GROUP BY 1),
+df AS (SELECT cluster, word, count(*) AS df FROM (SELECT cluster, unnest(list_distinct({_NORM.format(t="text")})) AS word FROM t) GROUP BY 1, 2),
+s0 AS (SELECT id, cluster, unnest(v) AS sentence, generate_subscripts(v, 1) AS pos FROM (SELECT id, cluster, {_SENTENCES.format(t="text")} AS v FROM t)),
+s1 AS (SELECT *, list_filter(regexp_split_to_array(lower(sentence), '\\s+'), lambda w: w <> '') AS w FROM s0 WHERE len(regexp_split_to_array(sentence, '\\s+')) >= 3),
+sw AS (SELECT id, cluster, pos, unnest({_NORM.format(t="sentence")}) AS word FROM s1),
+sc AS (SELECT sw.id, sw.cluster, pos, round(avg(ln(n / df) + 1), 6) AS score FROM sw JOIN df ON df.cluster = sw.cluster AND df.word = sw.word JOIN n ON n.cluster = sw.cluster GROUP BY 1, 2, 3),
+l1 AS (SELECT s1.id, s1.cluster, s1.pos, sentence, coalesce(score, 0) AS score, {_RUNS3} AS runs FROM s1 LEFT JOIN sc ON sc.id = s1.id AND sc.cluster = s1.cluster AND sc.pos = s1.pos),
+b1 AS ({_BEST.format(left="l1")}), l2 AS ({_UNLIKE.format(left="l1", best="b1")}), b2 AS ({_BEST.format(left="l2")}), l3 AS ({_UNLIKE.format(left="l2", best="b2")}), b3 AS ({_BEST.format(left="l3")})
+SELECT cluster, string_agg(sentence, ' | ' ORDER BY no) AS summary FROM (SELECT cluster, sentence, 1 AS no FROM b1 UNION ALL SELECT cluster, sentence, 2 FROM b2 UNION ALL SELECT cluster, sentence, 3 FROM b3) GROUP BY cluster
+"""
+
 SQL = {
+    "sentence_summaries": _CLUSTERS + _SUMMARIES,
     "cluster_leaders": _CLUSTERS + "SELECT id, project, leader, cluster FROM k",
     "cluster_topics": _CLUSTERS
     + f""",

@@ -10,6 +10,7 @@ from contextframe.operators import cluster as C
 from contextframe.operators import tokens as T
 from contextframe.plans.codegraph import SOURCES, code_files
 from contextframe.plans.fixtures import Fixture
+from contextframe.plans.memory import _NORM, _SENTENCES
 from contextframe.sources import files as S
 from contextframe.sources.python_symbols import python_symbols
 from contextframe.sources.symbols import symbols
@@ -51,7 +52,7 @@ QUERIES = {
     "guarded_edit": lambda s, d: EDITS.df(s).select("id", X.guarded(F.col("text"), F.sha2(F.when(F.col("id") < 3, F.col("text")).otherwise(F.lit("?")), 256), F.col("new")).alias("edited")),
     "relative_time": lambda s, d: s.range(0, 400_000, 7_777).select("id", X.relative_time(F.col("id")).alias("said")),
     "word_shingles": lambda s, d: load(s, d, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", F.size(C.shingles(F.col("text"), 4)).alias("shingles")),
-    "sentences": lambda s, d: load(s, d, "observations", "id", "text").where("text IS NOT NULL").select("id", F.size(C.sentences(F.col("text"))).alias("sentences"), F.size(C.norm_words(F.col("text"))).alias("words")),
+    "sentences": lambda s, d: load(s, d, "observations", "id", "text").where("text IS NOT NULL").select("id", F.array_join(C.sentences(F.col("text")), " | ").alias("sentences"), F.array_join(C.norm_words(F.col("text")), " ").alias("words")),
     "workspace_members": lambda s, d: S.members(MANIFESTS.df(s), TREE.df(s)),
     "discovery_topk": lambda s, d: S.discover(load(s, d, "file_summaries", "path").distinct(), "server store query", 100),
     "python_symbols": lambda s, d: python_symbols(code_files(s, d).unionByName(SOURCES.df(s)).where("path LIKE '%.py'")).select("path", "name", "kind", "parent", "start_line", "end_line", "visibility"),
@@ -85,6 +86,7 @@ SQL = {
     "word_shingles": """
         WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' ')))) AS shingles FROM w""",
+    "sentences": f"""SELECT id, array_to_string({_SENTENCES.format(t="text")}, ' | ') AS sentences, array_to_string({_NORM.format(t="text")}, ' ') AS words FROM observations WHERE text IS NOT NULL""",
     "discovery_topk": """
         WITH f AS (SELECT DISTINCT path FROM file_summaries ORDER BY path LIMIT 100), p AS (SELECT path, row_number() OVER (ORDER BY path) AS pos, len(list_filter(['server', 'store', 'query'], lambda t: contains(lower(path), t))) AS score FROM f)
         SELECT path, pos, score, CASE WHEN score > 0 THEN 'Matched goal keywords' ELSE 'Fallback candidate' END AS reason FROM p""",
