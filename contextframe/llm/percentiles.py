@@ -272,7 +272,7 @@ def rank_checks(events: DataFrame, shares: tuple[float, ...] = PERCENTILES, k: i
     )
     counts = exact.groupBy(*KEYS, "leaf").agg(F.count("*").alias("c"))
     same = [counts[key].eqNullSafe(found[key]) for key in KEYS]
-    joined = counts.join(F.broadcast(found), same[0] & same[1] & same[2])
+    joined = counts.join(found, same[0] & same[1] & same[2])
     under = [F.sum(F.when(F.col("leaf") < leaf(F.col(name)), F.col("c")).otherwise(0)).alias(f"_u_{name}") for name in names]
     upto = [F.sum(F.when(F.col("leaf") <= leaf(F.col(name)), F.col("c")).otherwise(0)).alias(f"_o_{name}") for name in names]
     summed = joined.groupBy(*[counts[key] for key in KEYS]).agg(F.sum("c").alias("n"), F.max(found["n"]).alias("_n"), F.max("rank_error").alias("_e"), *under, *upto)
