@@ -288,9 +288,10 @@ def summary_line(kind: Column, compressed: Column, raw: Column) -> Column:
 
 def bounded(text: Column) -> Column:
     """The first MAX_OUTPUT bytes of a text, cut between characters."""
-    over = F.octet_length(text) > MAX_OUTPUT
-    cut = F.try_to_binary(text, F.lit("utf-8"))
-    kept = F.regexp_replace(F.decode(F.substring(cut, 1, MAX_OUTPUT), "utf-8"), "�+$", "")
+    over, octets = F.octet_length(text) > MAX_OUTPUT, text.cast("binary")
+    # the four bytes up to the one behind the limit end in as many bytes within a character as have to go
+    inner = F.regexp_extract(F.hex(F.substring(octets, MAX_OUTPUT - 2, 4)), "^(?:..)*?((?:[89AB].)*)$", 1)
+    kept = F.substring(octets, F.lit(1), MAX_OUTPUT - (F.length(inner) / 2).cast("int")).cast("string")
     return F.when(over, kept).otherwise(text)
 
 

@@ -144,6 +144,15 @@ def test_bounded_output(spark):
     assert one(spark, L.bounded(F.col("t")), t="short") == "short"
 
 
+def test_bounded_output_ends_between_characters(spark):
+    """The limit may lie anywhere in a character, and a replacement character of the text itself stays."""
+    texts = ["a" * shift + char * (L.MAX_OUTPUT // len(char.encode()) + 2) for char in "aé€😀�" for shift in range(4)]
+    texts += ["a" * (L.MAX_OUTPUT - 3) + "�" + "b", "é" * (L.MAX_OUTPUT // 2), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", L.bounded(F.col("t")).alias("short"))
+    for k, short in df.collect():
+        assert short == (texts[k] and texts[k].encode()[: L.MAX_OUTPUT].decode(errors="ignore")), k
+
+
 def test_rename_keeps_strings_and_comments(spark):
     source = "main()\n# main\nprint('main')\nx = main + 'main'\nmaintain()\n"
     rows = G.renames(spark.createDataFrame([("a.py", source)], "path string, content string"), "main", "start").collect()
