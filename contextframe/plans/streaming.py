@@ -13,8 +13,8 @@ from contextframe.sources.tables import shared_dir
 from contextframe.streaming import events as E
 
 
-def _drain(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    return E.drained(stream, f"{shared_dir(spark)}/stream-{uuid4().hex}", mode)
+def _drain(spark: SparkSession, stream: DataFrame, mode: str, once: str | None = None) -> DataFrame:
+    return E.drained(stream, f"{shared_dir(spark)}/stream-{uuid4().hex}", mode, once)
 
 
 def stream_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -28,13 +28,13 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return _drain(spark, stream.select("id", "category"), "append").groupBy("category").agg(F.count("*").alias("events"))
 
 
-def _stateful(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """A stream with keyed state, drained with the state store that it needs."""
+def _stateful(spark: SparkSession, stream: DataFrame, mode: str = "append", once: str | None = None) -> DataFrame:
+    """A stream with keyed state, drained with a state store that need not fit into memory."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return _drain(spark, stream, "append")
+        return _drain(spark, stream, mode, once)
     finally:
         spark.conf.set(name, before)
 
@@ -42,7 +42,7 @@ def _stateful(spark: SparkSession, stream: DataFrame) -> DataFrame:
 def stream_error_loops(spark: SparkSession, d: str) -> DataFrame:
     """Tools that a session calls at least fifty times, told by a stateful stream."""
     calls = E.read(spark, f"{d}/token_events.parquet").where("session_id IS NOT NULL AND tool IS NOT NULL")
-    return _stateful(spark, E.error_loops(calls.select("session_id", F.col("tool").alias("signature")), 50))
+    return _stateful(spark, E.error_loops(calls.select("session_id", F.col("tool").alias("signature")), 50), "update", "true")
 
 
 def stream_post_call(spark: SparkSession, d: str) -> DataFrame:

@@ -50,33 +50,6 @@ def windowed(events: DataFrame, width: str = "1 day", late: str = "2 days") -> D
     return spans.agg(F.count("*").alias("calls"), F.sum("estimated_raw_tokens").alias("raw_tokens"))
 
 
-LOOP_SCHEMA = StructType([StructField("session_id", StringType()), StructField("signature", StringType()), StructField("times", LongType())])
-
-
-class _Loops(StatefulProcessor):
-    """Counts a session's error signatures and speaks up when one reaches the threshold."""
-
-    def __init__(self, least: int) -> None:
-        self.least = least
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getMapState("counts", StructType([StructField("signature", StringType())]), StructType([StructField("n", LongType())]))
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        told = []
-        for part in rows:
-            for signature, n in part["signature"].value_counts().items():
-                before = self.counts.getValue((signature,))[0] if self.counts.containsKey((signature,)) else 0
-                after = before + int(n)
-                self.counts.updateValue((signature,), (after,))
-                if before < self.least <= after:
-                    told.append((key[0], signature, self.least))
-        yield pd.DataFrame(told, columns=["session_id", "signature", "times"])
-
-    def close(self) -> None:
-        pass
-
-
 PIPELINE_SCHEMA = StructType([StructField("session_id", StringType()), StructField("kind", StringType()), StructField("detail", StringType())])
 
 
@@ -125,18 +98,22 @@ def post_call(events: DataFrame, most_calls: int = 40, most_tokens: int = 500_00
 
 
 def error_loops(errors: DataFrame, least: int = 3) -> DataFrame:
-    """(session_id, signature, times): told once, when a session meets a signature for the ``least``-th time.
+    """(session_id, signature, times): a session that met a signature ``least`` times, for the update mode.
 
-    Needs the RocksDB state store provider. State is one counter for a session's signature.
+    The row comes with the batch that reaches ``least`` and, the same, with each later one that
+    has the signature again; ``drained`` with ``once`` gives it once. State is one counter for a
+    session's signature, partial sums of which are made before the shuffle.
     """
-    return errors.groupBy("session_id").transformWithStateInPandas(_Loops(least), LOOP_SCHEMA, "Append", "None")
+    counts = errors.groupBy("session_id", "signature").agg(F.count("*").alias("_n"))
+    return counts.where(F.col("_n") >= least).select("session_id", "signature", F.lit(least).cast("bigint").alias("times"))
 
 
-def drained(stream: DataFrame, place: str, mode: str) -> DataFrame:
+def drained(stream: DataFrame, place: str, mode: str, once: str | None = None) -> DataFrame:
     """All that is there run through a stream into files below ``place``, and those.
 
     A batch that runs again after a loss writes its own folder again. In the complete mode
-    the last batch is the result.
+    the last batch is the result. In the update mode rows come again; where the condition
+    ``once`` holds, equal rows of the files are one.
     """
     empty = stream.sparkSession.createDataFrame([], stream.schema)
 
@@ -145,9 +122,10 @@ def drained(stream: DataFrame, place: str, mode: str) -> DataFrame:
 
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
     try:
-        return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{place}/result")
+        found = stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{place}/result")
     except AnalysisException:
         return empty
+    return found if once is None else found.where(once).distinct().unionByName(found.where(~F.expr(once)))
 
 
 def append_snapshots(stream: DataFrame, path: str, checkpoint: str, seconds: int = 2):  # noqa: ANN201

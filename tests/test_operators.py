@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -259,3 +260,21 @@ def test_log_queries_read_all_runs(spark, data):
     runs = logs._runs(spark, data).count()
     for name in ("compress_test", "compress_compiler", "compress_linter", "compress_packages", "compress_formatter", "compress_dispatch", "run_summary_line"):
         assert logs.QUERIES[name](spark, data).count() == runs, name
+
+
+def _calls(spark, path, seed, files=5, rows=60):
+    """Random calls in several files, with a session that has most of them, nulls, and a batch for each file."""
+    rng = random.Random(seed)
+    calls = [[(rng.choice(["s", "s", "s", "t", None]), rng.choice(["read", "edit", None]), rng.choice([".env", "a.py", None]), rng.choice([0, 10, None])) for _ in range(rows)] for _ in range(files)]
+    for part in calls:
+        spark.createDataFrame(part, "session_id string, tool string, subject string, estimated_raw_tokens long").withColumn("created_at", F.lit("2025-01-01").cast("timestamp")).coalesce(1).write.mode("append").parquet(path)
+    return [call for part in calls for call in part], E.read(spark, path, files_per_trigger=1)
+
+
+def test_stream_tells_loops_once_without_python(spark, tmp_path):
+    calls, stream = _calls(spark, str(tmp_path / "events"), 4)
+    loops = E.error_loops(stream.withColumnRenamed("tool", "signature"), 7)
+    assert "Python" not in (plan := loops._jdf.queryExecution().analyzed().toString()) and "TransformWithState" not in plan
+    told = E.drained(loops, str(tmp_path / "run"), "update", "true").collect()
+    counts = Counter((call[0], call[1]) for call in calls)
+    assert Counter(map(tuple, told)) == Counter((*key, 7) for key, n in counts.items() if n >= 7)
