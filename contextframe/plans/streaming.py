@@ -28,7 +28,7 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return _drain(spark, stream.select("id", "category"), "append").groupBy("category").agg(F.count("*").alias("events"))
 
 
-def _stateful(spark: SparkSession, stream: DataFrame, mode: str = "append", once: str | None = None) -> DataFrame:
+def _stateful(spark: SparkSession, stream: DataFrame, mode: str, once: str) -> DataFrame:
     """A stream with keyed state, drained with a state store that need not fit into memory."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
@@ -47,7 +47,7 @@ def stream_error_loops(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_post_call(spark: SparkSession, d: str) -> DataFrame:
     """What follows the calls of each session, told by one stateful stream."""
-    return _stateful(spark, E.post_call(E.read(spark, f"{d}/token_events.parquet")))
+    return _stateful(spark, E.post_call(E.read(spark, f"{d}/token_events.parquet")), "update", "kind <> 'governance'")
 
 
 QUERIES = {"stream_metrics": stream_metrics, "stream_dedup": stream_dedup, "stream_error_loops": stream_error_loops, "stream_post_call": stream_post_call}

@@ -6,15 +6,9 @@ one, so that the caller chooses sink and trigger. Each has a batch twin of the s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from contextframe.operators.policy import read_denied
 
@@ -50,51 +44,22 @@ def windowed(events: DataFrame, width: str = "1 day", late: str = "2 days") -> D
     return spans.agg(F.count("*").alias("calls"), F.sum("estimated_raw_tokens").alias("raw_tokens"))
 
 
-PIPELINE_SCHEMA = StructType([StructField("session_id", StringType()), StructField("kind", StringType()), StructField("detail", StringType())])
-
-
-class _Pipeline(StatefulProcessor):
-    """All that a session's calls lead to, from one state: hints, loops and, call by call, records and warnings."""
-
-    def __init__(self, most_calls: int, most_tokens: int, least: int) -> None:
-        self.most_calls, self.most_tokens, self.least = most_calls, most_tokens, least
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sums = handle.getValueState("sums", StructType([StructField("calls", LongType()), StructField("tokens", LongType())]))
-        self.tools = handle.getMapState("tools", StructType([StructField("tool", StringType())]), StructType([StructField("n", LongType())]))
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        calls, tokens = self.sums.get() if self.sums.exists() else (0, 0)
-        for part in rows:
-            told = [(key[0], "governance", subject) for subject in part.loc[part["guarded"], "subject"]]
-            more_calls, more_tokens = calls + len(part), tokens + int(part["tokens"].sum())
-            if calls <= self.most_calls < more_calls:
-                told.append((key[0], "hint", "calls"))
-            if tokens <= self.most_tokens < more_tokens:
-                told.append((key[0], "hint", "tokens"))
-            calls, tokens = more_calls, more_tokens
-            for tool, n in part["tool"].dropna().value_counts().items():
-                before = self.tools.getValue((tool,))[0] if self.tools.containsKey((tool,)) else 0
-                self.tools.updateValue((tool,), (before + int(n),))
-                if before < self.least <= before + int(n):
-                    told.append((key[0], "loop", tool))
-            yield pd.DataFrame(told, columns=["session_id", "kind", "detail"])
-        self.sums.update((calls, tokens))
-
-    def close(self) -> None:
-        pass
-
-
 def post_call(events: DataFrame, most_calls: int = 40, most_tokens: int = 500_000, least: int = 50) -> DataFrame:
-    """(session_id, kind, detail): what follows the calls of each session, in one stream.
+    """(session_id, kind, detail): what follows the calls of each session, in one stream for the update mode.
 
     A hint once a session passes the calls or the raw tokens, a loop once it used one tool
     ``least`` times, and a governance row for each call whose subject must not be read. None
-    depends on the order in which calls arrive. State is two sums and a counter for each tool
-    of a session. Needs the RocksDB state store provider.
+    depends on the order in which calls arrive. Hints and loops come again as in
+    ``error_loops``; governance rows come once for each call and may be equal, so ``once`` must
+    leave them out. State is two sums and a counter for each tool of a session.
     """
-    calls = events.where("session_id IS NOT NULL").select("session_id", "tool", "subject", F.coalesce("estimated_raw_tokens", F.lit(0)).alias("tokens"), F.coalesce(read_denied(F.col("subject")), F.lit(False)).alias("guarded"))
-    return calls.groupBy("session_id").transformWithStateInPandas(_Pipeline(most_calls, most_tokens, least), PIPELINE_SCHEMA, "Append", "None")
+    calls = events.where("session_id IS NOT NULL")
+    guarded = calls.where(read_denied(F.col("subject"))).select("session_id", F.lit("governance").alias("kind"), F.col("subject").alias("detail"))
+    part = lambda kind, detail, n: F.struct(F.lit(kind).alias("kind"), detail.alias("detail"), n.cast("bigint").alias("n"))
+    parts = F.array(part("hint", F.lit("calls"), F.lit(1)), part("hint", F.lit("tokens"), F.coalesce("estimated_raw_tokens", F.lit(0))), part("loop", F.col("tool"), F.lit(1)))
+    sums = calls.select("session_id", F.inline(parts)).where("detail IS NOT NULL").groupBy("session_id", "kind", "detail").agg(F.sum("n").alias("_n"))
+    most = F.when(F.col("kind") == "loop", least - 1).when(F.col("detail") == "calls", most_calls).otherwise(most_tokens)
+    return sums.where(F.col("_n") > most).select("session_id", "kind", "detail").unionByName(guarded)
 
 
 def error_loops(errors: DataFrame, least: int = 3) -> DataFrame:

@@ -278,3 +278,16 @@ def test_stream_tells_loops_once_without_python(spark, tmp_path):
     told = E.drained(loops, str(tmp_path / "run"), "update", "true").collect()
     counts = Counter((call[0], call[1]) for call in calls)
     assert Counter(map(tuple, told)) == Counter((*key, 7) for key, n in counts.items() if n >= 7)
+
+
+def test_stream_of_calls_tells_each_governance_row_without_python(spark, tmp_path):
+    calls, stream = _calls(spark, str(tmp_path / "events"), 5)
+    told = E.post_call(stream, 30, 400, 20)
+    assert "Python" not in (plan := told._jdf.queryExecution().analyzed().toString()) and "TransformWithState" not in plan
+    got = E.drained(told, str(tmp_path / "run"), "update", "kind <> 'governance'").collect()
+    calls = [call for call in calls if call[0]]
+    wanted = Counter((session, "governance", subject) for session, _, subject, _ in calls if subject == ".env")
+    wanted.update((key, "hint", "calls") for key in "st" if sum(call[0] == key for call in calls) > 30)
+    wanted.update((key, "hint", "tokens") for key in "st" if sum(call[3] or 0 for call in calls if call[0] == key) > 400)
+    wanted.update((*key, tool) for (key, tool), n in Counter(((session, "loop"), tool) for session, tool, _, _ in calls if tool).items() if n >= 20)
+    assert Counter(map(tuple, got)) == wanted and max(wanted.values()) > 1
